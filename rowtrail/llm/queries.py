@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, line_dedup, lm, media, minhash, mixing, url_filter
+from . import bpe, exact_dedup, language_id, line_dedup, lm, media, minhash, mixing, pii, url_filter
 from .common import documents
 
 #: Name of a tokenizer file in the folder of public tokenizers.
@@ -47,6 +47,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.join(F.broadcast(by_source), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir, "doc_id", "text"))
+    counts = [F.size(F.filter("base", pii.is_kind(number))).cast("long").alias(f"n_{kind}") for number, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(documents(spark, sf_dir, "doc_id", "text"), exact_dedup.DigestIndex(spark))
 
@@ -87,6 +93,7 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_pii": op2_pii,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_media": op4_media,
     "op5_bpe": op5_bpe,
