@@ -16,7 +16,7 @@ line AS (
   SELECT doc_id, generate_subscripts(lines, 1) AS no, unnest(lines) AS line, len(lines) AS n FROM cut
 ), placed AS (
   SELECT *, length(line) + CASE WHEN no < n THEN 1 ELSE 0 END AS size,
-    list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), w -> w <> '') AS words
+    list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
   FROM line
 ), offsets AS (
   SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY no) AS stop, array_to_string(words, ' ') AS unit FROM placed
@@ -41,7 +41,7 @@ WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' '))) END AS s
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s
   FROM words
 ), items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
 shared AS (
