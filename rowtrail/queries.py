@@ -1,10 +1,349 @@
-"""The registered queries of the provenance engine, and DuckDB SQL for the same rows."""
+"""The registered queries of the provenance engine, and DuckDB SQL for the same rows.
+
+Most return the source rows behind some result rows; the SQL finds the same rows
+without any provenance.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .faults.isolate import isolate_frame
+from .harness.recall import recalled
+from .operators.traced import Traced
+from .session import RowTrail
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+class Tables:
+    """The tables of one folder, as traced sources."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, granularity: str = "exact"):
+        self.trail, self.sf_dir = RowTrail(spark, granularity), sf_dir
+
+    def __getattr__(self, name: str) -> Traced:
+        return self.trail.parquet(f"{self.sf_dir}/{name}.parquet", name)
+
+
+def query(sql: str | None, granularity: str = "exact"):
+    """Register a function of the tables under its name."""
+
+    def register(f: Callable[[Tables], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir, granularity))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def flags(t: Tables) -> Traced:
+    return t.lineitem.group_by("l_returnflag").agg(F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT * FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'O'")
+def trace_filter_project(t):
+    found = t.orders.where("o_totalprice > 200000").select("o_orderkey", "o_orderstatus", (F.col("o_totalprice") * 2).alias("twice"))
+    return found.trace("o_orderstatus = 'O'").show()
+
+
+@query("SELECT * FROM lineitem WHERE l_returnflag = 'R'")
+def trace_groupby(t):
+    return flags(t).trace("l_returnflag = 'R'").go_back().show()
+
+
+@query("SELECT * FROM orders WHERE year(o_orderdate) = (SELECT min(year(o_orderdate)) FROM orders)")
+def trace_groupby_expression(t):
+    years = t.orders.group_by(F.year("o_orderdate").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    first = years.top(1, F.asc("y"), keys=["y"])
+    return first.trace().go_back_all().show()
+
+
+@query("SELECT * FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) >= 15)")
+def trace_having(t):
+    return t.orders.group_by("o_custkey").count().having("`count` >= 15").trace().go_back().show()
+
+
+@query("SELECT * FROM customer")
+def trace_global_aggregate(t):
+    return t.customer.agg(F.sum("c_acctbal").alias("s")).trace().go_back().show()
+
+
+@query("SELECT * FROM part WHERE p_brand = (SELECT max(p_brand) FROM part)")
+def trace_sort_aggregate(t):
+    top = t.part.group_by("p_brand").agg(F.max("p_name").alias("name")).top(1, F.desc("p_brand"), keys=["p_brand"])
+    return top.trace().go_back_all().show()
+
+
+@query("SELECT * FROM orders WHERE o_orderpriority = (SELECT min(o_orderpriority) FROM orders)")
+def trace_collect_list(t):
+    lists = t.orders.group_by("o_orderpriority").agg(F.collect_list("o_orderkey").alias("keys"))
+    return lists.top(1, F.asc("o_orderpriority"), keys=["o_orderpriority"]).trace().go_back_all().show()
+
+
+@query("SELECT * FROM customer WHERE c_mktsegment = 'BUILDING'")
+def trace_distinct(t):
+    return t.customer.select("c_mktsegment").distinct().trace("c_mktsegment = 'BUILDING'").go_back().show()
+
+
+@query("SELECT * FROM lineitem WHERE l_suppkey IN (SELECT l_suppkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) > (SELECT avg(n) FROM (SELECT count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY l_suppkey)))")
+def trace_count_distinct(t):
+    parts = t.lineitem.group_by("l_suppkey").agg(F.count_distinct("l_partkey").alias("n"))
+    mean = parts.result.agg(F.avg("n").alias("mean"))
+    return parts.join(t.trail.keyed(mean, "mean", name="mean"), F.col("n") > F.col("mean")).trace().go_back_all().show()
+
+
+def priced(t: Tables) -> Traced:
+    return t.orders.join(t.customer.rename("c_custkey", "o_custkey"), "o_custkey")
+
+
+@query("SELECT o.* FROM orders o JOIN customer c ON o_custkey = c_custkey WHERE c_mktsegment = 'MACHINERY' AND o_totalprice > 300000")
+def trace_join_left(t):
+    return priced(t).trace("c_mktsegment = 'MACHINERY' and o_totalprice > 300000").go_back(0).show()
+
+
+@query("SELECT * FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def trace_join_right(t):
+    return priced(t).trace("c_mktsegment = 'MACHINERY' and o_totalprice > 300000").go_back(1).show()
+
+
+@query("SELECT * FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)", "key")
+def trace_join_key_granularity(t):
+    return priced(t).trace("o_totalprice > 400000").go_back(0).show()
+
+
+@query("SELECT * FROM orders WHERE o_totalprice > 400000")
+def trace_join_exact(t):
+    return priced(t).trace("o_totalprice > 400000").go_back(0).show()
+
+
+@query("SELECT * FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def trace_left_join_unmatched(t):
+    joined = t.customer.join(t.orders.where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left")
+    return joined.trace("o_orderkey is null").go_back(0).show()
+
+
+@query("SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
+def trace_right_join_unmatched(t):
+    rich = t.customer.where("c_acctbal > 5000")
+    return rich.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "right").trace("c_custkey is null").go_back(1).show()
+
+
+@query("SELECT 0 AS side, count(*) AS n FROM customer WHERE c_acctbal > 9000 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000) UNION ALL SELECT 1, count(*) FROM orders WHERE o_totalprice > 350000 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)")
+def trace_full_join_unmatched(t):
+    joined = t.customer.where("c_acctbal > 9000").join(t.orders.where("o_totalprice > 350000"), F.col("c_custkey") == F.col("o_custkey"), "full")
+    alone = joined.trace("c_custkey is null or o_custkey is null")
+    sides = [alone.go_back(i).show().agg(F.lit(i).alias("side"), F.count(F.lit(1)).alias("n")) for i in (0, 1)]
+    return sides[0].union(sides[1])
+
+
+@query("SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9500)")
+def trace_semi_join_right(t):
+    rich = t.customer.where("c_acctbal > 9500")
+    return rich.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "semi").trace().go_back(1).show()
+
+
+@query("SELECT * FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def trace_anti_join(t):
+    large = t.orders.where("o_totalprice > 300000")
+    return t.customer.join(large, F.col("c_custkey") == F.col("o_custkey"), "anti").trace().go_back(0).show()
+
+
+@query("SELECT DISTINCT s.* FROM supplier s JOIN customer c ON s_nationkey = c_nationkey AND s_acctbal < c_acctbal WHERE c_mktsegment = 'FURNITURE'")
+def trace_theta_join(t):
+    near = (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("s_acctbal") < F.col("c_acctbal"))
+    return t.supplier.join(t.customer, near).trace("c_mktsegment = 'FURNITURE'").go_back(0).show()
+
+
+@query("SELECT n.* FROM nation n, region r WHERE r_name = 'ASIA'")
+def trace_cross_join(t):
+    return t.nation.cross_join(t.region).trace("r_name = 'ASIA'").go_back(0).show()
+
+
+@query("SELECT b.* FROM customer b WHERE EXISTS (SELECT * FROM customer a WHERE a.c_nationkey = b.c_nationkey AND a.c_acctbal > 9900)")
+def trace_self_join(t):
+    other = t.customer.select(F.col("c_nationkey"), F.col("c_acctbal").alias("other"))
+    return other.join(t.customer, "c_nationkey").trace("other > 9900").go_back(1).show()
+
+
+def totals(t: Tables) -> Traced:
+    return priced(t).group_by("c_mktsegment").agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT o.* FROM orders o JOIN customer c ON o_custkey = c_custkey WHERE c_mktsegment = 'AUTOMOBILE'")
+def trace_join_then_aggregate(t):
+    return totals(t).trace("c_mktsegment = 'AUTOMOBILE'").go_back().go_back(0).show()
+
+
+@query("SELECT * FROM customer WHERE c_mktsegment = 'AUTOMOBILE' AND c_custkey IN (SELECT o_custkey FROM orders)")
+def trace_join_then_aggregate_right(t):
+    return totals(t).trace("c_mktsegment = 'AUTOMOBILE'").go_back().go_back(1).show()
+
+
+@query("SELECT * FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) = (SELECT max(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)))")
+def trace_nested_aggregate(t):
+    sizes = t.lineitem.group_by("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    orders = sizes.group_by("n").agg(F.count(F.lit(1)).alias("orders"))
+    return orders.top(1, F.desc("n"), keys=["n"]).trace().go_back_all().show()
+
+
+def rolled(t: Tables) -> Traced:
+    return t.lineitem.rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))
+
+
+@query("SELECT * FROM lineitem")
+def trace_rollup_total(t):
+    return rolled(t).trace("gid = 3").go_back().show()
+
+
+@query("SELECT * FROM lineitem WHERE l_returnflag = 'A'")
+def trace_rollup_detail(t):
+    return rolled(t).trace("gid = 1 and l_returnflag = 'A'").go_back().show()
+
+
+@query("SELECT * FROM lineitem WHERE l_linestatus = 'F'")
+def trace_cube(t):
+    cubed = t.lineitem.cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))
+    return cubed.trace("gid = 2 and l_linestatus = 'F'").go_back().show()
+
+
+@query("SELECT * FROM orders WHERE o_orderstatus = 'P'")
+def trace_grouping_sets(t):
+    sets = t.orders.grouping_sets([[0], [1]], "o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    return sets.trace("o_orderstatus = 'P'").go_back().show()
+
+
+def ranked(t: Tables, **how) -> Traced:
+    return t.customer.with_windows(["c_nationkey"], [F.desc("c_acctbal"), "c_custkey"], rank=F.rank(), **how)
+
+
+@query("SELECT * FROM customer WHERE c_nationkey IN (3, 7)")
+def trace_window_peers(t):
+    return ranked(t).trace("rank = 1 and c_nationkey in (3, 7)").go_back().show()
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) WHERE r <= 2")
+def trace_window_own_row(t):
+    return ranked(t, own_row=True).trace("rank <= 2").go_back().show()
+
+
+@query("SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def trace_topk(t):
+    return t.orders.top(20, F.desc("o_totalprice"), F.asc("o_orderkey")).select("o_custkey").trace().go_back().show()
+
+
+@query("SELECT * FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM customer ORDER BY c_nationkey, c_custkey LIMIT 1)", "key")
+def trace_topk_peers(t):
+    return t.customer.top(1, F.asc("c_nationkey"), F.asc("c_custkey"), keys=["c_nationkey"]).trace().go_back().show()
+
+
+def names(t: Tables) -> Traced:
+    return t.customer.select(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance")).union(t.supplier.select("s_nationkey", "s_acctbal"))
+
+
+@query("SELECT * FROM customer WHERE c_acctbal < 0")
+def trace_union_first(t):
+    return names(t).trace("balance < 0").go_back(0).show()
+
+
+@query("SELECT * FROM supplier WHERE s_acctbal > 0")
+def trace_union_second(t):
+    return names(t).trace("balance > 0").go_back(1).show()
+
+
+@query("SELECT * FROM supplier WHERE s_nationkey BETWEEN 5 AND 14")
+def trace_union_aggregate(t):
+    sums = names(t).group_by("nation").agg(F.round(F.sum("balance"), 2).alias("sum"))
+    return sums.trace("nation between 5 and 14").go_back().go_back(1).show()
+
+
+@query("SELECT * FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)")
+def trace_intersect(t):
+    return t.customer.select("c_nationkey").intersect(t.supplier.select("s_nationkey")).trace().go_back(0).show()
+
+
+@query("SELECT * FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000)")
+def trace_except(t):
+    return t.nation.select("n_nationkey").subtract(t.supplier.where("s_acctbal > 8000").select("s_nationkey")).trace().go_back(0).show()
+
+
+@query("SELECT DISTINCT p.* FROM part p WHERE list_contains(string_split(p_name, ' '), split_part((SELECT min(p_name) FROM part), ' ', 1))")
+def trace_explode(t):
+    words = t.part.explode("word", F.split("p_name", " ")).group_by("word").agg(F.count(F.lit(1)).alias("n"))
+    first = t.part.result.agg(F.split(F.min("p_name"), " ")[0].alias("word"))
+    return words.join(t.trail.keyed(first, "word", name="first"), "word").trace().go_back(0).go_back().show()
+
+
+@query("SELECT * FROM customer WHERE length(c_name) % 3 = 0")
+def trace_udf(t):
+    @F.pandas_udf("long")
+    def rest(names: pd.Series) -> pd.Series:
+        return names.str.len() % 3
+
+    return t.customer.with_column("rest", rest("c_name")).where("rest = 0").select("c_custkey").trace().show()
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_nationkey < 5")
+def trace_frame_source(t):
+    cached = t.trail.frame(t.supplier.result.cache(), "cached")
+    return cached.group_by("s_nationkey").count().trace("s_nationkey < 5").go_back().show()
+
+
+@query("SELECT DISTINCT l_returnflag FROM lineitem WHERE l_quantity > 49.5 AND l_discount > 0.09")
+def forward_from_source(t):
+    groups = flags(t)
+    back = groups.trace().go_back()
+    reached = back.where("l_quantity > 49.5 and l_discount > 0.09").go_next()
+    return reached.ids.select(F.col("__id.k0").alias("l_returnflag"))
+
+
+@query("SELECT 'orders' AS source, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'customer', count(*) FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey IN (SELECT o_custkey FROM orders)")
+def all_sources_frontier(t):
+    found = totals(t).trace("c_mktsegment = 'BUILDING'").all_sources()
+    counts = [rows.agg(F.lit(name).alias("source"), F.count(F.lit(1)).alias("n")) for name, rows in found]
+    return counts[0].union(counts[1])
+
+
+@query("SELECT c_mktsegment, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1")
+def reexecution_recall(t):
+    """The result row again, from its witnesses alone."""
+    return recalled(t.trail, {"orders": t.orders, "customer": t.customer}, lambda s: s["orders"].join(s["customer"].rename("c_custkey", "o_custkey"), "o_custkey").group_by("c_mktsegment").agg(F.round(F.sum("o_totalprice"), 2).alias("total")), "c_mktsegment = 'BUILDING'")
+
+
+@query("SELECT * FROM orders WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders)")
+def isolate_maximum(t):
+    """The order that makes a customer's largest price the largest of all."""
+    most = t.orders.result.agg(F.max("o_totalprice")).first()[0]
+    found = isolate_frame(t.trail, t.orders, lambda o: o.group_by("o_custkey").agg(F.max("o_totalprice").alias("largest")), F.col("largest") >= most)
+    return found.culprits
+
+
+# answers with row ids carried along equal plain answers
+
+
+@query("SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")
+def answer_aggregate(t):
+    rows = t.lineitem.where("l_shipdate <= timestamp_ntz '1998-09-02 00:00:00'").group_by("l_returnflag", "l_linestatus")
+    return rows.agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("n")).result
+
+
+@query("SELECT n_name, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def answer_joins(t):
+    named = priced(t).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return named.group_by("n_name").agg(F.count(F.lit(1)).alias("orders")).result
+
+
+@query("SELECT s_nationkey AS k FROM supplier INTERSECT ALL SELECT c_nationkey FROM customer WHERE c_acctbal > 9000")
+def answer_intersect_all(t):
+    return t.supplier.select(F.col("s_nationkey").alias("k")).intersect_all(t.customer.where("c_acctbal > 9000").select("c_nationkey")).result
+
+
+@query("SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 EXCEPT ALL SELECT s_nationkey FROM supplier")
+def answer_except_all(t):
+    return t.customer.where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k")).except_all(t.supplier.select("s_nationkey")).result
