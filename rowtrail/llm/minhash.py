@@ -32,6 +32,8 @@ from .common import extended, words_of, written
 MISS = 1e-6
 ROWS = 6
 CACHED_WORDS = 500_000
+#: Buckets up to this size are worked out pair by pair, larger ones in blocks of members.
+FEW, BLOCK = 16, 512
 U64 = np.uint64
 
 
@@ -180,6 +182,56 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         before = now
 
 
+def linked_in_blocks(many: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links between members of large buckets (bucket, id, root, first) that are in different components.
+
+    Buckets that share members are taken together, so that each set travels once.
+    Members outside the largest component of such a cluster are held against all
+    members, block by block: a task holds two blocks of about BLOCK members, and the
+    common shingles of one member with all others come from one sorted index. Of
+    the links of a member to one component, one is returned.
+    """
+    hung = written(many.select("id", "first", "root").distinct(), "minhash-large")
+    cluster = components(hung.select(F.col("first").alias("a"), F.col("id").alias("b")))
+    own = written(hung.select("id", "root").distinct().join(cluster.withColumnRenamed("root", "cluster"), "id", "left").withColumn("cluster", F.coalesce("cluster", "id")), "minhash-clusters")
+    sizes = own.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("m"))
+    large = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("m", "root")).alias("largest"), F.sum("m").alias("size"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = own.join(large, "cluster").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    asked = dealt.where("root <> largest").select("cluster", F.col("own").alias("i"), F.explode(every).alias("j"), "id", "root", F.lit(True).alias("asks"))
+    held = dealt.select("cluster", F.explode(every).alias("i"), F.col("own").alias("j"), "id", "root", F.lit(False).alias("asks"))
+    rows = asked.union(held).join(full, "id").select("cluster", "i", "j", "asks", "id", "root", "shingles")
+    schema = StructType([StructField("a", full.schema["id"].dataType), StructField("b", full.schema["id"].dataType)])
+
+    def block(table: pa.Table) -> pa.Table:
+        asks = np.array(table.column("asks").to_pylist(), bool)
+        ids, found_roots = table.column("id").to_pylist(), table.column("root").to_pylist()
+        taken = [np.frombuffer(x.as_buffer(), U64) for x in table.column("shingles")]
+        there = np.flatnonzero(~asks)
+        sizes_ = np.array([len(taken[i]) for i in there], np.int64)
+        codes = {r: c for c, r in enumerate(dict.fromkeys(found_roots))}
+        roots_ = np.array([codes[found_roots[i]] for i in there], np.int64)
+        index = np.concatenate([taken[i] for i in there]) if len(there) else np.empty(0, U64)
+        order = np.argsort(index, kind="stable")
+        index, owner = index[order], np.repeat(np.arange(len(there)), sizes_)[order]
+        out: list[tuple] = []
+        for q in np.flatnonzero(asks):
+            mine = taken[q]
+            low, high = np.searchsorted(index, mine), np.searchsorted(index, mine, side="right")
+            spans = high - low
+            at = np.repeat(low - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
+            both = np.bincount(owner[at], minlength=len(there))
+            fits = (100 * both >= percent * (len(mine) + sizes_ - both)) & (roots_ != codes[found_roots[q]])
+            hits = np.flatnonzero(fits)
+            for h in hits[np.unique(roots_[hits], return_index=True)[1]]:
+                out.append((ids[q], ids[there[h]]))
+        columns = list(zip(*out, strict=True)) or [(), ()]
+        return pa.Table.from_arrays([pa.array(c, table.schema.field("id").type) for c in columns], names=["a", "b"])
+
+    return rows.groupBy("cluster", "i", "j").applyInArrow(block, schema)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rows: int = ROWS) -> DataFrame:
     """Groups of near duplicates: key, n_shingles, class_id, component_id, kept.
 
@@ -207,12 +259,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
     roots = components(links)
     # members of one bucket that are not joined yet, hubs aside, are held against each other
     placed = members.where(F.col("id") != F.col("hub")).join(roots, "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
-    open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    rest = placed.join(open_, "bucket", "left_semi")
-    one, other = rest.alias("p"), rest.alias("q")
+    open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).where("low <> high")
+    rest = written(placed.join(open_.select("bucket", "size", "first"), "bucket"), "minhash-open")
+    few = rest.where(F.col("size") <= FEW)
+    one, other = few.alias("p"), few.alias("q")
     apart = one.join(other, "bucket").where("p.id < q.id and p.root <> q.root").where(fits(F.col("p.n"), F.col("q.n")))
     more = similar(apart.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct(), full, percent)
-    roots = components(links.union(more))
+    many = rest.where(F.col("size") > FEW)
+    roots = components(links.union(more).union(linked_in_blocks(many, full, percent)))
     by_set = classes.select("same", F.col("id").alias("class_id")).join(roots.withColumnRenamed("id", "class_id"), "class_id", "left").select("same", "class_id", F.coalesce("root", "class_id").alias("component_id"))
     placed = base.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("same")).alias("same")).join(by_set, "same", "left")
     component = F.coalesce("component_id", "id")
