@@ -1,0 +1,149 @@
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rowtrail.llm import minhash, pii, url_filter
+from rowtrail.llm.queries import URL_RULES
+
+
+def components_by_brute_force(texts, width, percent):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return root, [len(s) for s in sets]
+
+
+def edited_copies(seed, groups, copies):
+    rng, texts = random.Random(seed), []
+    for _ in range(groups):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.choice([60, 120]))]
+        for _ in range(copies):
+            words = list(base)
+            for _ in range(rng.randrange(5)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize(("few", "width", "percent"), [(16, 3, 85), (0, 3, 85), (16, 5, 80)])
+def test_near_duplicates(spark, monkeypatch, few, width, percent):
+    monkeypatch.setattr(minhash, "FEW", few)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    texts = [*edited_copies(few + width, 4, 15), None, "", "a", "A", "a b", "a b c", "w " * 20_000, "w " * 300]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] + [(None, "a", "clash")], "doc_id long, text string, n_shingles string")
+    got = {r.doc_id: r for r in minhash.near_duplicates(docs, width=width, percent=percent).collect()}
+    root, sizes = components_by_brute_force(texts, width, percent)
+    assert [got[i].component_id for i in range(len(texts))] == root
+    assert [got[i].n_shingles for i in range(len(texts))] == sizes
+    assert [got[i].kept for i in range(len(texts))] == [r == i for i, r in enumerate(root)] and got[None].kept
+    assert minhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_signatures_estimate_similarity():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 2**63, 1000, dtype=np.uint64)
+    b = np.concatenate((a[:800], rng.integers(0, 2**63, 200, dtype=np.uint64)))
+    same = (minhash.signature(a, 2000) == minhash.signature(b, 2000)).mean()
+    assert abs(same - 800 / 1200) < 0.05
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
+    got = {r.id: r.root for r in minhash.components(links).collect()}
+    assert got == {i: 0 for i in range(1, 61)} | {101: 100}
+
+
+RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def passes(kind, found):
+    digits = re.sub("[^0-9]", "", found)
+    if kind == "card":
+        doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+        return 12 <= len(digits) <= 19 and sum(d - 9 * (d > 9) for d in doubled) % 10 == 0
+    return kind == "email" or (all(int(p) <= 255 for p in found.split(".")) if kind == "ip" else 9 <= len(digits) <= 15)
+
+
+def base_spans(text):
+    return sorted((m.start(), k, m.end()) for k, (kind, rule) in enumerate(RULES.items()) for m in re.finditer(rule, text) if passes(kind, m.group()))
+
+
+PII_TEXTS = [
+    None, "", "plain words only", "a@b.c%x@e.f and x@y. z@@q.r", "1.2.3.4.5.6.7.8 999.1.1.1 0001.2.3.255 1.2.3", "4111 1111 1111 1111, 4111-1111-1111-1112 1--2 3 4",
+    "+1 (017) 555-7713 or +49 30 1234567. +1 2", "é😀 mail me@host.example.org é 10.0.0.1", "1" * 30_000, "a" * 30_000 + "@x.y", "1.1" * 5000, "a.b@" * 3000, "+" + "1 " * 20_000,
+]
+
+
+def test_pii_base_spans(spark):
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(PII_TEXTS)] + [(3, PII_TEXTS[3], "clash"), (None, "q@r.s", "clash")], "doc_id long, text string, spans string")
+    got = pii.find(docs).collect()
+    assert len(got) == len(PII_TEXTS) + 2
+    for r in got:
+        text = "q@r.s" if r.doc_id is None else PII_TEXTS[r.doc_id] or ""
+        base = [tuple(s) for s in r.base]
+        assert base == base_spans(text) and set(base) <= {tuple(s) for s in r.spans}
+    assert pii.find(docs.limit(0)).count() == 0
+
+
+def test_pii_adds_unusual_forms_and_leaves_clean_texts_alone(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(1000):
+        kind = i % 6
+        number = f"({rng.randrange(100, 1000)}) 555-{rng.randrange(1000, 10000)}"
+        name = rng.choice(["jo.li", "ann", "bob.d.k", f"user{rng.randrange(100)}.x"])
+        rows.append((i, {0: f"call +1 {number} now", 1: f"write {name}@mail{i % 9}.example.com soon", 2: f"in {rng.randrange(1900, 2020)} it was {rng.randrange(50)} of 12 3", 3: f"ask {name}@mail{i % 7}.example.org today", 4: f"lot {rng.randrange(10**5)} sold", 5: f"at {10 + i % 90} / {i % 60}"}[kind]))
+    rows += [(1000, f"write to {'jane.doe'} at mail3.example dot com please"), (1001, "call 1 (415) 555-0199 today"), (1002, "sold 12 of 30 lots in 1999")]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [s[1] for s in got[1000]] == [0] and got[1002] == []
+    assert all(got[i] == [] for i in range(1000) if i % 6 in (2, 4, 5))
+
+
+def test_redaction(spark):
+    docs = spark.createDataFrame([(1, "é a@b.c x 1.2.3.4", [(2, 0, 7), (10, 1, 17)]), (2, "none", [])], "doc_id long, text string, spans array<struct<start:long,kind:int,end:long>>")
+    assert [r.text for r in pii.redacted(docs, F.col("spans")).orderBy("doc_id").collect()] == ["é [email] x [ip]", "none"]
+
+
+def judged(url, rules):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest).group()
+        path = re.match(r"[^?#]*", rest[len(host) :]).group() if rest[len(host) : len(host) + 1] == "/" else ""
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fits = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=None)
+    return host, path, best and best[2], best[3] if best else "allow"
+
+
+def test_url_rules_by_brute_force(spark):
+    rng = random.Random(5)
+    labels, words = ["com", "net", "example", "www", "a", "b"], ["en", "es", "e", "é", ""]
+    host = lambda: ".".join(rng.choices(labels, k=rng.randint(1, 4)))
+    path = lambda: "/" + "/".join(rng.choices(words, k=rng.randint(0, 3)))
+    rules = list({(h, p): (h, p, rng.choice(["allow", "block"])) for h, p in ((host(), path()) for _ in range(80))}.values())
+    urls = [f"https://{host()}{path()}{rng.choice(['', '?q=/x', '#t'])}" for _ in range(400)] + [None, "", "no scheme", "http://", "http://COM/", "x://a://b", "http://com", "http://com?/en", "http://" + "a." * 500 + "com/" + "x" * 5000] + ["http://net/es/"] * 5
+    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    for used in (rules, URL_RULES, []):
+        table = spark.createDataFrame(used, "host string, path string, verdict string")
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, table).collect()}
+        assert len(got) == len(urls) and [got[i] for i in range(len(urls))] == [judged(u, used) for u in urls]
+    assert url_filter.judge(pages.limit(0), table).count() == 0
+
+
+def test_digest_of_empty_spans(spark):
+    row = spark.range(1).select(F.sha2(pii.joined(F.array().cast("array<struct<start:long,kind:int,end:long>>")), 256).alias("h")).first()
+    assert row.h == hashlib.sha256(b"").hexdigest() and collections.Counter(pii.KINDS).total() == 4
