@@ -75,6 +75,10 @@ class Cursor:
         rows = self._rows().drop(ID)
         return rows.select(*columns) if columns else rows
 
+    def show_json(self, *columns: str) -> DataFrame:
+        """The source rows as one JSON text each."""
+        return self.show(*columns).select(F.to_json(F.struct("*")).alias("json"))
+
     def all_sources(self) -> list[tuple[str, DataFrame]]:
         """(name, source rows) for each source below, over every branch."""
         if self.at_scan:

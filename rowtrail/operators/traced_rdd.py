@@ -146,6 +146,19 @@ class TracedRDD:
     def coalesce(self, n: int) -> TracedRDD:
         return self._same(self.rdd.coalesce(n))
 
+    def repartition_and_sort_within_partitions(self, n: int, ascending: bool = True) -> TracedRDD:
+        """Pair records dealt by key to n partitions, sorted by key within each."""
+        keyed = self.rdd.map(lambda r: (r[1][0], r)).repartitionAndSortWithinPartitions(n, ascending=ascending)
+        return self._same(keyed.values())
+
+    def zip_with_unique_id(self) -> TracedRDD:
+        return self._same(self.rdd.zipWithUniqueId().map(lambda x: (x[0][0], (x[0][1], x[1]))))
+
+    def zip(self, other: TracedRDD) -> TracedRDD:
+        """Records at the same place of both; the id is the pair of their ids."""
+        inputs, both = (self, other), self.rdd.zip(other.rdd).map(lambda x: ((x[0][0], x[1][0]), (x[0][1], x[1][1])))
+        return TracedRDD(both, inputs, lambda b: both.keys().map(lambda i: (i, i[b])).distinct())
+
     # keyed: one level
 
     def _keyed(self, result: RDD, *others: TracedRDD) -> TracedRDD:
@@ -201,6 +214,10 @@ class TracedRDD:
     def save_as_text_file(self, path: str) -> None:
         self.rdd.values().saveAsTextFile(path)
 
+    def save_as_hadoop_file(self, path: str, output_format: str, **classes) -> None:
+        """Pair records by a Hadoop output format."""
+        self.rdd.values().saveAsHadoopFile(path, output_format, **classes)
+
     def lineage(self, predicate: Callable[[Any], bool] | None = None) -> RddCursor:
         """A cursor on the result records for which the predicate holds, or on all."""
         rows = self.rdd if predicate is None else self.rdd.filter(lambda r: predicate(r[1]))

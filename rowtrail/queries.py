@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .faults.isolate import isolate_frame
+from .harness.coverage import coverage
 from .harness.recall import recalled
 from .operators.traced import Traced
 from .session import RowTrail
@@ -316,6 +317,21 @@ def reexecution_recall(t):
     return recalled(t.trail, {"orders": t.orders, "customer": t.customer}, lambda s: s["orders"].join(s["customer"].rename("c_custkey", "o_custkey"), "o_custkey").group_by("c_mktsegment").agg(F.round(F.sum("o_totalprice"), 2).alias("total")), "c_mktsegment = 'BUILDING'")
 
 
+@query("""
+SELECT 'pricing_summary' AS shape, n AS rows, n AS recalled FROM (SELECT count(DISTINCT (l_returnflag, l_linestatus)) AS n FROM lineitem)
+UNION ALL SELECT 'shipping_priority', n, n FROM (SELECT least(10, count(DISTINCT l_orderkey)) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING')
+UNION ALL SELECT 'order_priority', n, n FROM (SELECT count(DISTINCT o_orderpriority) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 48))
+UNION ALL SELECT 'local_volume', n, n FROM (SELECT count(DISTINCT n_name) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')
+UNION ALL SELECT 'customer_distribution', n, n FROM (SELECT count(DISTINCT k) AS n FROM (SELECT c_custkey, count(o_orderkey) AS k FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1))
+UNION ALL SELECT 'large_orders', n, n FROM (SELECT count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING sum(l_quantity) > 200))
+UNION ALL SELECT 'ranked_customers', n, n FROM (SELECT count(DISTINCT c_nationkey) AS n FROM customer)
+UNION ALL SELECT 'sales_by_flag_and_status', n, n FROM (SELECT count(DISTINCT (l_returnflag, l_linestatus)) + count(DISTINCT l_returnflag) + 1 AS n FROM lineitem)
+""")
+def coverage_recall(t):
+    """Result rows of typical shapes, and how many come again from their witnesses alone: all of them."""
+    return coverage(t.trail, lambda name: getattr(t, name))
+
+
 @query("SELECT * FROM orders WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders)")
 def isolate_maximum(t):
     """The order that makes a customer's largest price the largest of all."""

@@ -51,6 +51,15 @@ def test_join_union_and_intermediate_show(spark):
     assert orders.map_partitions(lambda it: it, one_to_one=True).count() == 3
 
 
+def test_zip_and_sorting(spark):
+    sc = spark.sparkContext
+    a, b = TracedRDD.parallelize(sc, [("x", 1), ("y", 2)], 2), TracedRDD.parallelize(sc, ["p", "q"], 2)
+    at = a.zip(b).lineage(lambda v: v[1] == "q")
+    assert at.go_back(0).show().collect() == [("y", 2)] and at.go_back(1).show().collect() == ["q"]
+    assert a.repartition_and_sort_within_partitions(1, ascending=False).collect() == [("y", 2), ("x", 1)]
+    assert sorted(v for v, _ in a.zip_with_unique_id().collect()) == [("x", 1), ("y", 2)]
+
+
 def test_isolate_rdd(spark):
     source = TracedRDD.parallelize(spark.sparkContext, [("a", 1), ("b", 9999999), ("b", 2), ("c", 3)], 2)
     found = isolate_rdd(source, lambda s: s.reduce_by_key(max), lambda kv: kv[1] > 1000)
