@@ -14,6 +14,7 @@ are; it alone is solved on the driver.
 from __future__ import annotations
 
 from collections import deque
+from dataclasses import dataclass
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,6 +47,13 @@ def quotas(weights: dict, sizes: dict, total: int, max_repeats: int) -> dict:
         fixed |= {s: limit[s] for s in over}
 
 
+@dataclass(frozen=True)
+class Quota:
+    """The node of a source; a pattern's node is the pattern itself."""
+
+    source: object
+
+
 def route(patterns: dict[tuple, int], demand: dict, max_repeats: int) -> dict[tuple, dict]:
     """Tokens from each pattern to each source, filling the quotas at the least cost of repetition.
 
@@ -66,17 +74,17 @@ def route(patterns: dict[tuple, int], demand: dict, max_repeats: int) -> dict[tu
                 before, queue, end = {start: None}, deque([start]), None
                 while queue and end is None:
                     node = queue.popleft()
-                    if node in patterns:
+                    if not isinstance(node, Quota):
                         for s in node:
-                            if ("to", s) not in before and s in need:
-                                before["to", s] = node
-                                queue.append(("to", s))
+                            if Quota(s) not in before and s in need:
+                                before[Quota(s)] = node
+                                queue.append(Quota(s))
                                 if need[s] > 0:
-                                    end = ("to", s)
+                                    end = Quota(s)
                                     break
                     else:
-                        for p in members[node[1]]:
-                            if p not in before and flow[p].get(node[1], 0) > 0:
+                        for p in members[node.source]:
+                            if p not in before and flow[p].get(node.source, 0) > 0:
                                 before[p] = node
                                 queue.append(p)
                 if end is None:
@@ -85,14 +93,14 @@ def route(patterns: dict[tuple, int], demand: dict, max_repeats: int) -> dict[tu
                 while before[path[-1]] is not None:
                     path.append(before[path[-1]])
                 path.reverse()
-                amount = min(level * patterns[start] - used[start], need[end[1]], *(flow[path[i + 1]][path[i][1]] for i in range(1, len(path) - 1, 2)))
+                amount = min(level * patterns[start] - used[start], need[end.source], *(flow[path[i + 1]][path[i].source] for i in range(1, len(path) - 1, 2)))
                 for i in range(0, len(path) - 1, 2):
-                    p, s = path[i], path[i + 1][1]
+                    p, s = path[i], path[i + 1].source
                     flow[p][s] = flow[p].get(s, 0) + amount
                     if i + 2 < len(path):
                         flow[path[i + 2]][s] -= amount
                 used[start] += amount
-                need[end[1]] -= amount
+                need[end.source] -= amount
     return flow
 
 
