@@ -4,25 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.traced import Traced
 from ..session import RowTrail
 from .recall import Query, recalled
 
-revenue = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-on_order = F.col("l_orderkey") == F.col("o_orderkey")
-on_customer = F.col("o_custkey") == F.col("c_custkey")
+
+def revenue() -> Column:
+    return F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue")
+
+
+def on_customer() -> Column:
+    return F.col("o_custkey") == F.col("c_custkey")
 
 
 def pricing_summary(t: dict[str, Traced]) -> Traced:
-    return t["lineitem"].group_by("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(revenue), 2).alias("revenue"))
+    return t["lineitem"].group_by("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), revenue())
 
 
 def shipping_priority(t: dict[str, Traced]) -> Traced:
-    joined = t["customer"].where("c_mktsegment = 'BUILDING'").join(t["orders"], on_customer).join(t["lineitem"], on_order)
-    return joined.group_by("l_orderkey").agg(F.round(F.sum(revenue), 2).alias("revenue")).top(10, F.desc("revenue"), F.asc("l_orderkey"), keys=["l_orderkey"])
+    joined = t["customer"].where("c_mktsegment = 'BUILDING'").join(t["orders"], on_customer()).join(t["lineitem"], F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.group_by("l_orderkey").agg(revenue()).top(10, F.desc("revenue"), F.asc("l_orderkey"), keys=["l_orderkey"])
 
 
 def order_priority(t: dict[str, Traced]) -> Traced:
@@ -32,11 +36,11 @@ def order_priority(t: dict[str, Traced]) -> Traced:
 
 def local_volume(t: dict[str, Traced]) -> Traced:
     nations = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey")).where("r_name = 'ASIA'")
-    return t["customer"].join(nations, F.col("c_nationkey") == F.col("n_nationkey")).join(t["orders"], on_customer).group_by("n_name").agg(F.round(F.sum("o_totalprice"), 2).alias("volume"))
+    return t["customer"].join(nations, F.col("c_nationkey") == F.col("n_nationkey")).join(t["orders"], on_customer()).group_by("n_name").agg(F.round(F.sum("o_totalprice"), 2).alias("volume"))
 
 
 def customer_distribution(t: dict[str, Traced]) -> Traced:
-    counts = t["customer"].join(t["orders"], on_customer, "left").group_by("c_custkey").agg(F.count("o_orderkey").alias("n"))
+    counts = t["customer"].join(t["orders"], on_customer(), "left").group_by("c_custkey").agg(F.count("o_orderkey").alias("n"))
     return counts.group_by("n").agg(F.count(F.lit(1)).alias("customers"))
 
 

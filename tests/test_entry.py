@@ -1,4 +1,7 @@
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -30,3 +33,8 @@ def test_queries_equal_their_sql(spark, name):
     assert columns == sorted(want.columns)
     shown = lambda rows, names: sorted(tuple(str(r[names.index(c)]) for c in columns) for r in rows)
     assert shown(got.collect(), got.columns) == shown(want.fetchall(), want.columns)
+
+
+def test_import_needs_no_session():
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=Path(entry.__file__).parent, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0, said.stderr
