@@ -23,7 +23,7 @@ PROFILE_SIZE = 400
 #: More languages than this are refused: the profiles go to every worker.
 MAX_LANGUAGES = 1000
 #: Characters whose n-grams are counted at a time.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 BORDER = np.uint64(1)
 
 
