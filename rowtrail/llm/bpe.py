@@ -14,6 +14,7 @@ never merges across their border. The answers are kept in a table.
 from __future__ import annotations
 
 import gc
+import hashlib
 import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -21,17 +22,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import extended
 
 #: How byte-level BPE cuts a text into words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries after which the tables of a worker are dropped and built anew. This bounds memory and changes no result.
-MAX_CACHED = 600_000
+#: Words and pairs of tokens after which a worker's tables are dropped and built anew. This bounds memory and changes no result.
+MAX_CACHED, MAX_PAIRS = 300_000, 300_000
 #: Characters of text whose words share one trie.
-TRIE_CHARS = 4_000_000
+TRIE_CHARS = 1_500_000
 START = -1
 NEVER = 1 << 60
 
@@ -68,6 +69,10 @@ class Vocabulary:
             return self.special_pattern.split(text)
         return [text]
 
+    def text(self, ids: bytes) -> str:
+        """Decode little-endian unsigned 32-bit ids; bytes that are not UTF-8 become U+FFFD."""
+        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+
     def merged(self, data: bytes) -> list[bytes]:
         return self.merging(data)[-1][1]
 
@@ -170,7 +175,7 @@ class TrieEncoder:
         if len(self.encoded) + len(new) > MAX_CACHED:
             self.encoded.clear()
             new = words
-        if len(self.adjacent) > MAX_CACHED:
+        if len(self.adjacent) > MAX_PAIRS:
             self.adjacent.clear()
         gc.disable()  # the trie has no cycles, and looking for some takes most of the time
         try:
@@ -256,6 +261,13 @@ def in_blocks(texts: Iterable[str], most: int) -> Iterator[list[str]]:
         yield block
 
 
+def encoded_blocks(batch: pa.RecordBatch, text_at: int, encoder: TrieEncoder) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    done = 0
+    for block in in_blocks(((x.as_py() or "") for x in batch.column(text_at)), TRIE_CHARS):
+        yield batch.slice(done, len(block)), encoder.encode(block)
+        done += len(block)
+
+
 def encode(docs: DataFrame, tokenizer_json: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Token ids of each row's whole text.
 
@@ -272,12 +284,7 @@ def encode(docs: DataFrame, tokenizer_json: str, text_col: str = "text", keep: t
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(tokenizer_json)
         for batch in it:
-            done = 0
-            texts = ((x.as_py() or "") for x in batch.column(len(keep)))
-            for block in in_blocks(texts, TRIE_CHARS):
-                ids = encoder.encode(block)
-                rows = batch.slice(done, len(block))
-                done += len(block)
+            for rows, ids in encoded_blocks(batch, len(keep), encoder):
                 columns = [rows.column(i) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=schema.names)
 
@@ -292,21 +299,31 @@ def decode(encoded: DataFrame, tokenizer_json: str, keep: tuple[str, ...] = ("do
     schema = extended(encoded.select(*keep).schema, "text string")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = encoder_for(tokenizer_json).v.bytes.__getitem__
+        vocabulary = encoder_for(tokenizer_json).v
         for batch in it:
-            texts = [b"".join(map(part, np.frombuffer(x.as_py() or b"", "<u4").tolist())).decode("utf-8", "replace") for x in batch.column(len(keep))]
+            texts = [vocabulary.text(x.as_py() or b"") for x in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(texts, pa.string())], names=schema.names)
 
     return encoded.select(*keep, F.col(ids_col)).mapInArrow(batches, schema)
 
 
 def digests(docs: DataFrame, tokenizer_json: str, text_col: str = "text", key: str = "doc_id") -> DataFrame:
-    """Encode, decode, and return the digests of both: key, n_tokens, ids_sha256, decoded_sha256."""
-    encoded = encode(docs, tokenizer_json, text_col, (key,))
-    ids = encoded.withColumn("ids_sha256", F.sha2("ids", 256))
-    decoded = decode(ids, tokenizer_json, (key, "n_tokens", "ids_sha256"))
-    return decoded.select(key, "n_tokens", "ids_sha256", sha256(F.col("text")).alias("decoded_sha256"))
+    """Encode, decode what was encoded, and return the digests of both: key, n_tokens, ids_sha256, decoded_sha256.
+
+    One Python worker does both, so that a task needs one set of tables. Nulls,
+    repeated rows and empty tables are treated as in encode().
+    """
+    schema = extended(docs.select(key).schema, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_for(tokenizer_json)
+        for batch in it:
+            for rows, ids in encoded_blocks(batch, 1, encoder):
+                columns = [len(x) // 4 for x in ids], [sha256(x) for x in ids], [sha256(encoder.v.text(x).encode("utf-8")) for x in ids]
+                yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True))], names=schema.names)
+
+    return docs.select(key, F.col(text_col).cast("string")).mapInArrow(batches, schema)
 
 
-def sha256(text: Column) -> Column:
-    return F.sha2(F.encode(text, "UTF-8"), 256)
+def sha256(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()

@@ -28,7 +28,7 @@ from .minhash import mixed
 
 U64 = np.uint64
 END = b""  #: no word is empty
-BLOCK_CHARS, SLICE_CHARS = 4_000_000, 16_000_000
+BLOCK_CHARS, SLICE_CHARS = 2_000_000, 16_000_000
 BITS, PROBES, LEVELS = 8, 4, 60
 #: The filter takes BITS bits for each entry, but never more than this; beyond it, false positives rise.
 MAX_FILTER_BYTES = 256 << 20
@@ -53,7 +53,7 @@ class Words:
 
     def block(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         """The distinct words, their hashes, the word numbers of all tokens, and each text's token count."""
-        if len(self.hashes) > 500_000:
+        if len(self.hashes) > 200_000:
             self.hashes.clear()
         number: dict[bytes, int] = {END: 0}
         codes, sizes = [], []

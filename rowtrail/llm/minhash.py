@@ -31,7 +31,7 @@ from .common import extended, words_of, written
 #: The chance that banding misses a pair that is exactly as similar as the threshold.
 MISS = 1e-6
 ROWS = 6
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 #: Buckets up to this size are worked out pair by pair, larger ones in blocks of members.
 FEW, BLOCK = 16, 512
 U64 = np.uint64

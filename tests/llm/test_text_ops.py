@@ -61,6 +61,15 @@ def test_bpe_digests(docs, spark):
     assert bpe.digests(docs.limit(0), tokenizer_json()).count() == 0
 
 
+def test_bpe_stored_ids_decode_to_the_texts(docs):
+    stored = bpe.encode(docs.drop("n_tokens"), tokenizer_json(), keep=("doc_id", "source"))
+    assert stored.columns == ["doc_id", "source", "n_tokens", "ids"]
+    back = bpe.decode(stored, tokenizer_json())
+    assert rows(back) == sorted(((r[0], r[1] or "") for r in ROWS), key=repr)
+    with pytest.raises(ValueError):
+        bpe.encode(docs, tokenizer_json(), keep=("n_tokens",))
+
+
 def test_media_round_trip(docs):
     got = media.describe(media.to_streams(docs)).collect()
     assert len(got) == len(ROWS)
