@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended
+from .common import extended, written
 
 BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n(?:[\x20\x09\x0B-\x0D]*\n)+")}
 
@@ -59,6 +59,7 @@ def repeated_units(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
     """
     rows = hashed_units(docs, key, text_col, unit, min_words)
     first = rows.groupBy("digest").agg(F.min(F.struct(F.col(key).alias("id"), F.col("unit_no").alias("no"))).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = written(first.select("digest", "first"), "repeated-units")  # so that Spark can split a digest with very many units
     later = (F.col(key) != F.col("first.id")) | (F.col("unit_no") != F.col("first.no"))
     return rows.join(first, "digest").where(later).select(key, "unit_no", "start", "end", F.col("first.id").alias("first_id"), F.col("first.no").alias("first_no"))
 
