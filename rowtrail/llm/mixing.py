@@ -25,7 +25,7 @@ from .common import WORD, extended, written
 #: More patterns than this are refused rather than collected.
 MAX_PATTERNS = 20_000
 #: Rows whose running sums one task computes, on average.
-BIN_ROWS = 20_000
+BIN_ROWS = 2_000
 
 
 def n_words(text_col: str = "text") -> Column:
