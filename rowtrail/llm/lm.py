@@ -6,9 +6,11 @@ pair (n-gram, level) for each level up to it. A count is read back by probing th
 levels in turn until one is missing. A token's probability interpolates the
 quantised pair frequency with the add-one word frequency.
 
-The exact counts behind the add-one base score never leave their slice: each
-slice of the words holds the postings of all documents, and sends back one partial
-sum for each document.
+Words and n-grams are dealt to slices by hash. A slice of the n-grams builds its
+part of the filter, with the same bits an entry at every size, and reads back the
+n-grams that each block of documents asked for; a slice of the words sends back the
+exact counts behind the add-one base score. So no task and no driver holds the
+whole filter.
 """
 
 from __future__ import annotations
@@ -30,10 +32,10 @@ U64 = np.uint64
 END = b""  #: no word is empty
 BLOCK_CHARS, SLICE_CHARS = 2_000_000, 16_000_000
 BITS, PROBES, LEVELS = 8, 4, 60
-#: The filter takes BITS bits for each entry, but never more than this; beyond it, false positives rise.
-MAX_FILTER_BYTES = 256 << 20
+#: Low bits of an n-gram's hash that are dropped; of 1e9 n-grams, 48 bits confuse about 4 in a million.
+GRAM_SHIFT = U64(16)
 WEIGHT = 0.7  #: of the pair frequency
-STATS = "kind string, slice long, block long, a binary, b binary, c binary, d binary, e binary"
+STATS = "kind string, slice long, block long, a binary, b binary, c binary"
 
 
 def pack(values) -> bytes:
@@ -94,40 +96,50 @@ def blocks_of(it: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.R
                 begin, texts, chars = i + 1, [], 0
 
 
+def planes(values: np.ndarray) -> bytes:
+    """The numbers byte by byte, packed: first all low bytes, then all next ones."""
+    return pack(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T))
+
+
+def unplaned(data: bytes, kind) -> np.ndarray:
+    raw = unpack(data, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(kind).ravel()
+
+
+def grams_of(hashes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a block, its distinct words first and then its distinct pairs, and each token's pair."""
+    pairs, back = np.unique(lefts(codes) * len(hashes) + codes, return_inverse=True)
+    grams = np.concatenate((one(hashes), two(hashes[pairs // len(hashes)], hashes[pairs % len(hashes)])))
+    return grams >> GRAM_SHIFT << GRAM_SHIFT, back
+
+
 def gathered(rows: DataFrame, slices: int) -> DataFrame:
-    """From (key, mark, train, text) to STATS: words with postings, n-gram counts, and the rows' keys."""
+    """From (key, train, text) to STATS: words and n-grams with their counts in training texts, and the rows' keys and tokens."""
     def stats(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, block = Words(), TaskContext.get().partitionId() << 32
         names = [x.split()[0] for x in STATS.split(", ")]
-        types = [pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
-        for batch, texts in blocks_of(it, 3):
+        types = [pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * 3]
+        for batch, texts in blocks_of(it, 2):
             found, hashes, codes, sizes = words.block(texts)
-            train = np.array(batch.column(2).to_pylist(), bool)
-            doc = np.repeat(np.arange(len(texts)), sizes)
-            trained = np.repeat(train, sizes)
+            trained = np.repeat(np.array(batch.column(1).to_pylist(), bool), sizes)
             out: list[tuple] = []
-            # postings, by slice and word
-            pairs, tf = np.unique(codes * len(texts) + doc, return_counts=True)
-            at_word, at_doc = pairs // len(texts), pairs % len(texts)
             counts = np.bincount(codes[trained], minlength=len(found))
-            post = np.bincount(at_word, minlength=len(found))
-            begin = np.cumsum(post) - post
-            place = (hashes % U64(slices)).astype(np.int64)
-            order = np.argsort(place, kind="stable")
-            for s, own in zip(*by_run(place, order), strict=True):
-                pick = np.repeat(begin[own] - np.cumsum(post[own]) + post[own], post[own]) + np.arange(post[own].sum())
-                out.append(("word", s, block, pack(b"\n".join(found[i] for i in own)), pack(counts[own]), pack(post[own].astype(np.int32)), pack(at_doc[pick].astype(np.int32)), pack(tf[pick].astype(np.int32))))
-            # counts of the training texts' words and pairs
-            grams, n = np.unique(np.concatenate((one(hashes)[codes[trained]], two(hashes[lefts(codes)], hashes[codes])[trained])), return_counts=True)
+            for s, own in zip(*by_run(*placed(hashes, slices)), strict=True):
+                out.append(("word", s, block, pack(b"\n".join(found[i] for i in own)), planes(counts[own]), None))
+            # all n-grams, also those that no training text of the block has: their levels are asked for
+            grams, back = grams_of(hashes, codes)
+            order = np.argsort(grams)
+            n = np.concatenate((counts, np.bincount(back[trained], minlength=len(grams) - len(found))))[order]
+            grams = grams[order]
             edges = np.searchsorted(grams, np.array([(s << 64) // slices for s in range(1, slices)], U64)).tolist()
             for s, (i, j) in enumerate(zip([0, *edges], [*edges, len(grams)], strict=True)):
                 if i < j:
-                    out.append(("gram", s, block, pack(np.diff(grams[i:j], prepend=U64(0))), pack(n[i:j].astype(np.int32)), None, None, None))
-            rows_ = pa.Table.from_batches([batch.select([0, 1, 2])]).append_column("n_tokens", pa.array(sizes))
+                    out.append(("gram", s, block, planes(np.diff(grams[i:j] >> GRAM_SHIFT, prepend=U64(0))), planes(n[i:j].astype(np.int32)), None))
+            rows_ = pa.Table.from_batches([batch.select([0, 1])]).append_column("n_tokens", pa.array(sizes))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows_.schema) as writer:
                 writer.write_table(rows_)
-            out.append(("rows", block, block, pack(sink.getvalue().to_pybytes()), None, None, None, None))
+            out.append(("rows", block, block, pack(sink.getvalue().to_pybytes()), pack(b"\n".join(found)), planes(codes.astype(np.uint32))))
             block += 1
             for i in range(0, len(out), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 64], strict=True), types, strict=True)], names=names)
@@ -135,6 +147,12 @@ def gathered(rows: DataFrame, slices: int) -> DataFrame:
     return rows.mapInArrow(stats, STATS)
 
 
+def placed(hashes: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slice of each word, and the words' order by slice."""
+    place = (hashes % U64(slices)).astype(np.int64)
+    return place, np.argsort(place, kind="stable")
+
+
 def by_run(place: np.ndarray, order: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
     sorted_ = place[order]
     edges = np.flatnonzero(np.diff(sorted_)) + 1
@@ -142,38 +160,46 @@ def by_run(place: np.ndarray, order: np.ndarray) -> tuple[list[int], list[np.nda
 
 
 def reduced(kind: str, number: int, table: pa.Table, slices: int) -> pa.Table:
-    """One slice of the words or n-grams, or one block's keys, to rows of STATS."""
+    """One slice of the words or n-grams, or one block's keys and tokens, to rows of STATS.
+
+    Each block gets back the exact counts of its words and the levels of its
+    n-grams, in the order in which it sent them. The slice's part of the filter
+    never leaves this task.
+    """
     rows = sorted(table.to_pylist(), key=lambda r: r["block"])
     out: list[tuple] = []
     if kind == "rows":
-        out = [(kind, number, r["block"], r["a"], None, None, None, None) for r in rows]
+        out = [(kind, number, r["block"], r["a"], r["b"], r["c"]) for r in rows]
     elif kind == "gram":
-        values = np.concatenate([np.cumsum(unpack(r["a"], U64), dtype=U64) for r in rows])
-        counts = np.concatenate([unpack(r["b"], np.int32) for r in rows]).astype(np.int64)
-        grams, back = np.unique(values, return_inverse=True)
-        bits, size = filled(grams, np.bincount(back, weights=counts).astype(np.int64), MAX_FILTER_BYTES * 8 // slices)
-        out = [(kind, number, size, bits, None, None, None, None)]
+        values = [np.cumsum(unplaned(r["a"], U64), dtype=U64) << GRAM_SHIFT for r in rows]
+        counts = np.concatenate([unplaned(r["b"], np.int32) for r in rows])
+        ends = np.cumsum([len(x) for x in values])[:-1]
+        grams, back = np.unique(np.concatenate(values), return_inverse=True)
+        part = CountFilter([(0, *filled(grams, np.bincount(back, weights=counts).astype(np.int64)))], 1)
+        levels = np.split(part.levels(grams).astype(np.uint8)[back], ends)
+        out = [(kind, number, r["block"], pack(own), None, None) for r, own in zip(rows, levels, strict=True)]
     else:
         number_of: dict[bytes, int] = {}
         words = [[number_of.setdefault(w, len(number_of)) for w in unpack(r["a"]).split(b"\n")] for r in rows]
         total = np.zeros(len(number_of), np.int64)
         for own, r in zip(words, rows, strict=True):
-            total[own] += unpack(r["b"], np.int64)
-        logs, known = np.log10(total + 1.0), total > 0
-        for own, r in zip(words, rows, strict=True):
-            post, doc, tf = (unpack(r[x], np.int32) for x in "cde")
-            weights = np.repeat(logs[own], post) * tf
-            out.append((kind, number, r["block"], pack(np.bincount(doc, weights)), pack(np.bincount(doc, np.repeat(known[own], post) * tf).astype(np.int64)), None, None, None))
-        out.append(("total", number, 0, np.array([total.sum(), known.sum()], np.int64).tobytes(), None, None, None, None))
+            total[own] += unplaned(r["b"], np.int64)
+        out = [(kind, number, r["block"], planes(total[own]), None, None) for own, r in zip(words, rows, strict=True)]
+        out.append(("total", number, 0, np.array([total.sum(), (total > 0).sum()], np.int64).tobytes(), None, None))
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), table.schema, strict=True)], schema=table.schema)
 
 
-def filled(grams: np.ndarray, counts: np.ndarray, most: int) -> tuple[bytes, int]:
-    """The slice's part of the filter and its size in bits, at most ``most``."""
+def filled(grams: np.ndarray, counts: np.ndarray, most: int | None = None) -> tuple[bytes, int]:
+    """The slice's part of the filter and its size in bits: BITS for each entry, or ``most`` if that is given and less.
+
+    N-grams whose count is 0 have no entry.
+    """
+    grams, counts = grams[counts > 0], counts[counts > 0]
     levels = 1 + np.floor(np.log2(counts)).astype(np.int64)
-    size = max(64, min(most, int(levels.sum()) * BITS) // 8 * 8)
+    size = int(levels.sum()) * BITS
+    size = max(64, (size if most is None else min(most, size)) // 8 * 8)
     bits = np.zeros(size, bool)
-    for level in range(1, int(levels.max()) + 1):
+    for level in range(1, int(levels.max(initial=0)) + 1):
         entry = grams[levels >= level]
         for probe in range(PROBES):
             bits[position(entry, level, probe, U64(size))] = True
@@ -210,51 +236,36 @@ class CountFilter:
             found[left] = level
         return found
 
-    def counts(self, grams: np.ndarray) -> np.ndarray:
-        """The middle of the range of counts that share the level; 0 if the n-gram is absent."""
-        level = self.levels(grams)
-        low = 2.0 ** (level - 1)
-        return np.where(level > 0, (3 * low - 1) / 2, 0.0)
-
-
-def scored(rows: DataFrame, counts, train_tokens: int, distinct: int) -> DataFrame:
-    """From (key, mark, text) to (key, mark, score); ``counts`` is the broadcast filter."""
-    schema = extended(rows.select(rows.columns[0], rows.columns[1]).schema, "score double")
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model = Words(), counts.value
-        for batch, texts in blocks_of(it, 2):
-            _, hashes, codes, sizes = words.block(texts)
-            single = model.counts(one(hashes))
-            before = lefts(codes)
-            pairs, back = np.unique(before * len(hashes) + codes, return_inverse=True)
-            pair = model.counts(two(hashes[pairs // len(hashes)], hashes[pairs % len(hashes)]))[back]
-            follows = np.minimum(pair / np.maximum(single[before], 1.0), 1.0)
-            alone = (single[codes] + 1.0) / (train_tokens + distinct + 1.0)
-            logs = np.log10(WEIGHT * follows + (1 - WEIGHT) * np.minimum(alone, 1.0))
-            begin = np.cumsum(sizes) - sizes
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.add.reduceat(logs, begin))], names=schema.names)
 
-    return rows.mapInArrow(batches, schema)
+def middle(levels: np.ndarray) -> np.ndarray:
+    """The middle of the range of counts that share the level; 0 if the n-gram is absent."""
+    low = 2.0 ** (levels.astype(np.float64) - 1)
+    return np.where(levels > 0, (3 * low - 1) / 2, 0.0)
 
 
-def finished(rows: DataFrame, key_schema, train_tokens: int, distinct: int) -> DataFrame:
-    """Adds up the partial sums of each block: key, mark, held_out, n_tokens, n_known, base_score."""
-    schema = key_schema
-    per_token = float(np.log10(train_tokens + distinct + 1.0))
+def finished(rows: DataFrame, schema, slices: int, train_tokens: int, distinct: int) -> DataFrame:
+    """Puts what the slices sent back to each block's tokens: key, held_out, n_tokens, n_known, base_score, score."""
+    whole = train_tokens + distinct + 1.0
 
     def block(table: pa.Table) -> pa.Table:
         parts = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["slice"]))
-        own = next(pa.ipc.open_stream(unpack(r["a"])).read_all() for r in parts if r["kind"] == "rows")
-        n = own.column("n_tokens").to_numpy()
-        base, known = np.zeros(len(n)), np.zeros(len(n), np.int64)
-        for r in parts:
-            if r["kind"] == "word":
-                logs = unpack(r["a"], np.float64)
-                base[: len(logs)] += logs
-                known[: len(logs)] += unpack(r["b"], np.int64)
-        held = [not x for x in own.column(2).to_pylist()]
-        columns = [own.column(0), own.column(1), pa.array(held), pa.array(n), pa.array(known), pa.array(base - n * per_token)]
+        own = next(r for r in parts if r["kind"] == "rows")
+        keys = pa.ipc.open_stream(unpack(own["a"])).read_all()
+        sizes, codes = keys.column("n_tokens").to_numpy(), unplaned(own["c"], np.uint32).astype(np.int64)
+        words = unpack(own["b"]).split(b"\n")
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, len(words))
+        total = np.empty(len(words), np.int64)
+        total[placed(hashes, slices)[1]] = np.concatenate([unplaned(r["a"], np.int64) for r in parts if r["kind"] == "word"])
+        grams, back = grams_of(hashes, codes)
+        levels = np.empty(len(grams), np.uint8)
+        levels[np.argsort(grams)] = np.concatenate([unpack(r["a"], np.uint8) for r in parts if r["kind"] == "gram"])
+        single, pair = middle(levels[: len(words)]), middle(levels[len(words) :])[back]
+        follows = np.minimum(pair / np.maximum(single[lefts(codes)], 1.0), 1.0)
+        logs = np.log10(WEIGHT * follows + (1 - WEIGHT) * np.minimum((single[codes] + 1.0) / whole, 1.0))
+        begin = np.cumsum(sizes) - sizes
+        sums = lambda values: pa.array(np.add.reduceat(values, begin))
+        held = pa.array([not x for x in keys.column(1).to_pylist()])
+        columns = [keys.column(0), held, pa.array(sizes), sums((total > 0)[codes].astype(np.int64)), sums((np.log10(total + 1.0) - np.log10(whole))[codes]), sums(logs)]
         return pa.Table.from_arrays(columns, names=schema.names)
 
     return rows.groupBy("block").applyInArrow(block, schema)
@@ -270,9 +281,7 @@ def score(docs: DataFrame, train, key: str = "doc_id", text_col: str = "text") -
     get equal scores. Without training rows all counts are 0. An empty table gives
     an empty table.
     """
-    spark = docs.sparkSession
-    mark = F.unhex(F.md5(F.encode(text_of(text_col), "UTF-8")))
-    rows = docs.select(F.col(key), mark.alias("mark"), F.coalesce(train, F.lit(False)).alias("train"), text_of(text_col).alias("text"))
+    rows = docs.select(F.col(key), F.coalesce(train, F.lit(False)).alias("train"), text_of(text_col).alias("text"))
     chars = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     slices = max(8, chars // SLICE_CHARS)
     groups = gathered(rows, slices).groupBy("kind", "slice")
@@ -281,12 +290,6 @@ def score(docs: DataFrame, train, key: str = "doc_id", text_col: str = "text") -
     for r in parts.where("kind = 'total'").select("a").collect():
         total += np.frombuffer(r.a, np.int64)
     train_tokens, distinct = map(int, total)
-    # at most MAX_FILTER_BYTES, whatever the input
-    model = CountFilter([(r["slice"], bytes(r.a), r.block) for r in parts.where("kind = 'gram'").select("slice", "a", "block").collect()], slices)
-    shared = spark.sparkContext.broadcast(model)
-    schema = extended(rows.select(rows.columns[0], "mark").schema, "held_out boolean, n_tokens long, n_known long, base_score double")
-    based = finished(parts.where("kind in ('rows', 'word')"), schema, train_tokens, distinct).withColumnRenamed(key, "key")
-    scores = scored(rows.select(rows.columns[0], "mark", "text"), shared, train_tokens, distinct).withColumnRenamed(key, "k").withColumnRenamed("mark", "m")
-    scores = scores.groupBy("k", "m").agg(F.max("score").alias("score"))
-    joined = based.join(scores, F.col("key").eqNullSafe(F.col("k")) & (F.col("mark") == F.col("m")))
-    return joined.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    schema = extended(rows.select(F.col(rows.columns[0]).alias("key")).schema, "held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    done = finished(parts.where("kind <> 'total'"), schema, slices, train_tokens, distinct)
+    return done.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -202,3 +202,16 @@ def test_flow_prefers_fresh_tokens_and_reroutes():
     flow = mixing.route({("a", "b"): 10, ("b",): 4}, {"a": 12, "b": 8}, 3)
     assert sum(f.get("a", 0) for f in flow.values()) == 12 and sum(f.get("b", 0) for f in flow.values()) == 8
     assert sum(flow[("b",)].values()) >= 4
+
+
+def test_lm_slices_keep_their_bits_at_any_number_of_slices(spark):
+    """A slice's part of the filter must not shrink as the corpus and so the slices grow."""
+    texts = [(i, True, " ".join(f"w{i * 20 + k}" for k in range(20))) for i in range(300)]
+    asked = (1000, False, " ".join(f"w{k * 37 % 6000}" for k in range(2000)))
+    docs = spark.createDataFrame([*texts, asked], "doc_id long, train boolean, text string").coalesce(1)
+    table = lm.gathered(docs, 1).where("kind = 'gram'").toArrow()
+    (row,) = lm.reduced("gram", 0, table, 1 << 26).to_pylist()
+    levels = lm.unpack(row["a"], np.uint8)
+    wanted = lm.unplaned(table.to_pylist()[0]["b"], np.int32)
+    assert (levels >= (wanted > 0)).all() and (wanted == 0).sum() > 1900
+    assert (levels[wanted == 0] > 0).mean() < 0.06
