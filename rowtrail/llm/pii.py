@@ -32,9 +32,11 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WIDE = {
-    "address": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:\x20?[\[(]at[\])]\x20?|\x20at\x20|\x20?@\x20?)[A-Za-z0-9-]++(?:(?:\x20?[\[(]dot[\])]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]++)++",
+    "address": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:\x20?[\[(](?i:at)[\])]\x20?|\x20(?i:at)\x20|\x20?@\x20?)[A-Za-z0-9-]++(?:(?:\x20?[\[(](?i:dot)[\])]\x20?|\x20(?i:dot)\x20|\.)[A-Za-z0-9-]++)++",
     "number": r"(?:\G|(?<![0-9]))\+?\(?[0-9](?:[\x20().\x2D/]{0,2}[0-9])++",
 }
+#: Every address has one of these; texts without them are spared the generator.
+AT_SIGN = r"@|[\[(](?i:at)[\])]|\x20(?i:at)\x20"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})){3}$"
 #: Candidates that the trees are fitted and calibrated on, at most; the least by a hash over all of them.
 TRAIN_ROWS = 20_000
@@ -87,7 +89,7 @@ def matches(text: Column, name: str, pattern: str, hint: Column) -> Column:
 def proposals(docs: DataFrame, text_col: str) -> DataFrame:
     """One row for each base match and candidate: row, source, start, end, found, before, after."""
     digit, at = F.col(text_col).rlike("[0-9]"), F.instr(text_col, "@") > 0
-    hints = {"email": at, "ip": digit, "card": digit, "phone": F.instr(text_col, "+") > 0, "address": at | (F.instr(text_col, "dot") > 0), "number": digit}
+    hints = {"email": at, "ip": digit, "card": digit, "phone": F.instr(text_col, "+") > 0, "address": F.col(text_col).rlike(AT_SIGN), "number": digit}
     none = F.array().cast("array<struct<source:string,no:int,gap:int,found:string,before:string,after:string>>")
     found = [F.coalesce(matches(F.col(text_col), name, pattern, hints[name]), none) for name, pattern in (BASE | WIDE).items()]
     return docs.withColumn("spans", F.concat(*found))
@@ -112,7 +114,7 @@ def overlapping(spans: DataFrame, fixed: Column) -> Column:
 
 def with_features(spans: DataFrame) -> DataFrame:
     """Format and context features, and the kind that the format would make it."""
-    plain = F.regexp_replace(F.regexp_replace("found", r"\x20?[\[(]at[\])]\x20?|\x20at\x20|\x20?@\x20?", "@"), r"\x20?[\[(]dot[\])]\x20?|\x20dot\x20", ".")
+    plain = F.regexp_replace(F.regexp_replace("found", r"\x20?[\[(](?i:at)[\])]\x20?|\x20(?i:at)\x20|\x20?@\x20?", "@"), r"\x20?[\[(](?i:dot)[\])]\x20?|\x20(?i:dot)\x20", ".")
     plain = F.regexp_replace(plain, r"^\+", "")
     count = lambda sign: F.length("plain") - F.length(F.replace("plain", F.lit(sign)))
     groups = F.split(F.regexp_replace("plain", r"[^0-9]+", " "), " ")

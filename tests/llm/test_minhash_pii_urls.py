@@ -147,3 +147,10 @@ def test_url_rules_by_brute_force(spark):
 def test_digest_of_empty_spans(spark):
     row = spark.range(1).select(F.sha2(pii.joined(F.array().cast("array<struct<start:long,kind:int,end:long>>")), 256).alias("h")).first()
     assert row.h == hashlib.sha256(b"").hexdigest() and collections.Counter(pii.KINDS).total() == 4
+
+
+def test_pii_proposes_spelt_out_addresses_without_other_hints(spark):
+    texts = ["ask jane (at) example.com now", "ask jane [at] example.com now", "ask jane at example.com now", "ask jane [AT] example [DOT] com now", "ask jane At example Dot com now", "ask jane@example.com now"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [s.found for s in r.spans if s.source == "address"] for r in pii.proposals(docs, "text").collect()}
+    assert got == {i: [t[4:-4]] for i, t in enumerate(texts)}
