@@ -38,7 +38,7 @@ WIDE = {
 #: Every address has one of these; texts without them are spared the generator.
 AT_SIGN = r"@|[\[(](?i:at)[\])]|\x20(?i:at)\x20"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})){3}$"
-#: Candidates that the trees are fitted and calibrated on, at most; the least by a hash over all of them.
+#: The trees are fitted on half of at most so many candidates, the least by a hash over all of them; thresholds are set on all.
 TRAIN_ROWS = 20_000
 PRECISION = 0.98
 FEATURES = ["n_digits", "size", "dots", "dashes", "spaces", "parens", "at_sign", "groups", "longest_group", "luhn", "octets", "letter_before", "letter_after", "quote_before", "contact_word", "payment_word"]
@@ -142,18 +142,20 @@ def selected(candidates: DataFrame) -> DataFrame:
         return known.where(F.lit(False)).withColumn("score", F.lit(0.0))
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     model = GBTClassifier(maxIter=10, maxDepth=3, seed=17).fit(assembler.transform(sample.where("fits")))
-    scored = lambda rows: model.transform(assembler.transform(rows)).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
-    # the lowest score from which upwards the other half of the sample is precise enough,
+    keys = ["row", "source", "start", "end", "kind", "known"]
+    scored = model.transform(assembler.transform(candidates)).select(*keys, vector_to_array("probability")[1].alias("score"))
+    scored = written(scored, "pii-scored")
+    # over all candidates: the lowest score from which upwards they are precise enough,
     # moved half-way to the best negative example below it
-    rated = scored(sample.where("not fits")).select("kind", "score", "label")
+    rated = written(scored.groupBy("kind", "score").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("known"), 1)).alias("yes")), "pii-scores")
     upto = Window.partitionBy("kind").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, 0)
-    rows = rated.where("kind is not null").withColumn("right", F.avg("label").over(upto)).where(F.col("right") >= PRECISION).groupBy("kind").agg(F.min("score").alias("least")).collect()
+    rows = rated.where("kind is not null").withColumn("right", F.sum("yes").over(upto) / F.sum("n").over(upto)).where(F.col("right") >= PRECISION).groupBy("kind").agg(F.min("score").alias("least")).collect()
     if not rows:
         return known.where(F.lit(False)).withColumn("score", F.lit(0.0))
-    below = rated.where("label = 0").agg(*(F.max(F.when(F.col("score") < r.least, F.col("score"))).alias(r.kind) for r in rows)).first()
+    below = rated.where("n > yes").agg(*(F.max(F.when(F.col("score") < r.least, F.col("score"))).alias(r.kind) for r in rows)).first()
     thresholds = [(r.kind, (r.least + (r.least if below[r.kind] is None else below[r.kind])) / 2) for r in rows]
     reached = reduce(lambda a, t: a | ((F.col("kind") == t[0]) & (F.col("score") >= t[1])), thresholds, F.lit(False))
-    return scored(known.where("not known")).where(reached)
+    return scored.where("kind is not null and not known").where(reached)
 
 
 def find(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:

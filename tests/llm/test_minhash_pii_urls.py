@@ -154,3 +154,12 @@ def test_pii_proposes_spelt_out_addresses_without_other_hints(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: [s.found for s in r.spans if s.source == "address"] for r in pii.proposals(docs, "text").collect()}
     assert got == {i: [t[4:-4]] for i, t in enumerate(texts)}
+
+
+def test_pii_thresholds_come_from_all_candidates(spark, monkeypatch):
+    """A kind that the sample for the trees lacks has a threshold all the same."""
+    monkeypatch.setattr(pii, "TRAIN_ROWS", 40)
+    rows = [(i, f"write user{i}@mail{i % 9}.example.com soon") for i in range(3000)] + [(3000 + i, f"lot {10000 + i} sold") for i in range(3000)]
+    rows += [(6000 + i, f"call +1 (415) 555-{1000 + i} now") for i in range(60)] + [(7000, "call 1 (415) 555-0199 now")]
+    got = {r.doc_id: [s[1] for s in r.spans] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[7000] == [3] and all(got[i] == [] for i in range(3000, 6000))
