@@ -20,8 +20,10 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents without any letter, whose language is undetermined."""
+    """Reject documents without any letter, whose language is undetermined; without profiles too."""
     profiles = language_id.learn(docs)
+    if not profiles:  # no text tells a language, so only the letters decide
+        profiles = {"": []}
     return language_id.predict(docs.select(*COLUMNS), profiles).where(F.col("lang_pred") != language_id.UNDETERMINED).select(*COLUMNS)
 
 

@@ -77,3 +77,8 @@ def test_stages(spark, folder):
 def test_run_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_id_without_any_label(spark):
+    docs = spark.createDataFrame([(1, "some words", None, "s", 0), (2, "12 +", None, "s", 0), (3, None, None, "s", 0)], SCHEMA)
+    assert [r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()] == [1]
