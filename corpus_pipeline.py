@@ -19,6 +19,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with a number of their own, ``row``, in order of doc_id, null last; written once."""
+    return written(docs.select(*COLUMNS).orderBy(F.asc_nulls_last("doc_id")).withColumn("row", F.monotonically_increasing_id()), name)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents without any letter, whose language is undetermined; without profiles too."""
     profiles = language_id.learn(docs)
@@ -28,21 +33,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts keep the row with the largest doc_id."""
-    fates = exact_dedup.deduplicate(docs, exact_dedup.DigestIndex(spark)).where("kept").select("doc_id")
-    return docs.select(*COLUMNS).join(fates, "doc_id", "left_semi").select(*COLUMNS)
+    """Of equal texts keep one row, with the largest doc_id; a null doc_id only where no other row has the text."""
+    rows = numbered(docs, "pipeline-copies").withColumn("place", F.when(F.col("doc_id").isNull(), -1 - F.col("row")).otherwise(F.col("row")))
+    fates = exact_dedup.deduplicate(rows, exact_dedup.DigestIndex(spark), key="place").where("kept").select("place")
+    return rows.join(fates, "place", "left_semi").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) keep the least doc_id."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Of each group of near duplicates (five words, 0.8) keep one row, with the least doc_id; a null doc_id comes last."""
+    rows = numbered(docs, "pipeline-near-copies")
+    kept = minhash.near_duplicates(rows, key="row").where("kept").select("row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents so that the sources' words have weights 5, 2, 1, repeating."""
-    taken = mixing.mix(docs, source_weights(docs), mixing.n_words(), F.array("source")).where("copies > 0").select("doc_id", "copies")
-    return docs.select(*COLUMNS).join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    """Repeat or leave out documents so that the sources' words have weights 5, 2, 1, repeating; each row is a document of its own."""
+    rows = numbered(docs, "pipeline-mixing")
+    taken = mixing.mix(rows, source_weights(rows), mixing.n_words(), F.array("source"), key="row").where("copies > 0").select("row", "copies")
+    return rows.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,3 +82,16 @@ def test_run_on_an_empty_table(spark, tmp_path):
 def test_language_id_without_any_label(spark):
     docs = spark.createDataFrame([(1, "some words", None, "s", 0), (2, "12 +", None, "s", 0), (3, None, None, "s", 0)], SCHEMA)
     assert [r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()] == [1]
+
+
+def test_null_and_repeated_keys(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, text(1)), (None, text(1)), (None, text(2)), (5, text(2)), (7, text(3)), (7, text(3)), (8, text(4)), (8, text(5))]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], SCHEMA)
+    seen = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    once = sorted([(None, text(1)), (5, text(2)), (7, text(3)), (8, text(4)), (8, text(5))], key=repr)
+    assert seen(corpus_pipeline.identify_language(spark, docs, "")) == sorted(rows, key=repr)
+    assert seen(corpus_pipeline.drop_copies(spark, docs, "")) == once
+    assert seen(corpus_pipeline.drop_near_copies(spark, docs, "")) == once
+    mixed = collections.Counter(seen(corpus_pipeline.mix_sources(spark, docs, "")))
+    assert mixed == collections.Counter(rows)
