@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections import deque
 from dataclasses import dataclass
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from .common import WORD, extended, written
 MAX_PATTERNS = 20_000
 #: Rows whose running sums one task computes, on average.
 BIN_ROWS = 2_000
+#: Selection ends when no document fits or when this part of the rest is left.
+ENOUGH = 1_000
 
 
 def n_words(text_col: str = "text") -> Column:
@@ -114,14 +117,15 @@ def mix(docs: DataFrame, weights: dict, size: Column, sources: Column, key: str
     its source; what exceeds that is shared by weight among the others.
 
     Whole documents are taken: all ``flow // capacity`` times, and once more those
-    that come first in an order by seeded hash and fit, and the one that best fills
-    the rest. Reruns agree. Documents without words or without a weighted source are
+    that come first in an order by seeded hash and fit: documents larger than what
+    is left are set aside and the others' sums are made anew, until none fits or less
+    than 1 / ENOUGH is left; then the one that best fills the rest. Reruns agree. Documents without words or without a weighted source are
     taken 0 times. Repeated rows are documents of their own.
     """
-    if {"size", "sources", "copies", "taken"} & {key}:
+    if {"_no", "size", "sources", "copies", "taken"} & {key}:
         raise ValueError("the key clashes with an added column")
     spark = docs.sparkSession
-    known = written(docs.select(F.col(key), size.cast("long").alias("size"), F.array_sort(F.array_distinct(sources)).alias("sources")), "mix-sizes")
+    known = written(docs.select(F.col(key), F.monotonically_increasing_id().alias("_no"), size.cast("long").alias("size"), F.array_sort(F.array_distinct(sources)).alias("sources")), "mix-sizes")
     found = known.groupBy("sources").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -139,24 +143,35 @@ def mix(docs: DataFrame, weights: dict, size: Column, sources: Column, key: str
     plans = F.broadcast(spark.createDataFrame(plan, extended(known.select("sources").schema, "every int, rest long, bins int")))
     order = F.xxhash64(F.lit(seed), F.col(key), F.col("size"))
     placed = known.join(plans, known.sources.eqNullSafe(plans.sources)).select(
-        known[key], known["size"], known.sources, "every", "rest", order.alias("at"),
+        known[key], "_no", known["size"], known.sources, "every", "rest", order.alias("at"),
         F.floor((order.cast("double") / 2.0**64 + 0.5) * F.col("bins")).cast("int").alias("bin"),
     )
-    # running sums in seeded order: over the bins of a pattern, then within each bin
-    bins = placed.groupBy("sources", "bin").agg(F.sum("size").alias("own"))
-    before = F.sum("own").over(Window.partitionBy("sources").orderBy("bin")) - F.col("own")
-    sums = bins.select(F.col("sources").alias("s"), F.col("bin").alias("b"), before.alias("before"))
-    inner = Window.partitionBy("sources", "bin").orderBy("at", key)
-    summed = placed.withColumn("upto", F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
-    summed = summed.join(sums, summed.sources.eqNullSafe(sums.s) & (summed.bin == sums.b)).withColumn("upto", F.col("upto") + F.col("before")).withColumn("first", F.col("upto") <= F.col("rest"))
-    table = written(summed.select(key, "size", "sources", "every", "rest", "at", "upto", "first"), "mix-order")
+    table = written(placed, "mix-order")
+    pool, taken = table.where("size > 0 and rest > 0").select("_no", "size", "sources", "rest", "at", "bin", F.col("rest").alias("left")), []
+    while True:
+        chosen = written(fitting(pool), "mix-round")
+        taken.append(chosen.where("first").select("_no"))
+        full = F.broadcast(chosen.where("first").groupBy("sources").agg(F.max("upto").alias("full")).withColumnRenamed("sources", "s"))
+        pool = chosen.join(full, F.col("sources").eqNullSafe(F.col("s")), "left").where("not first").withColumn("left", F.col("left") - F.coalesce("full", F.lit(0)))
+        # a document of twice what is left, or more, is no better than none
+        pool = written(pool.where("size < 2 * left").select("_no", "size", "sources", "rest", "at", "bin", "left"), "mix-left")
+        if pool.where((F.col("size") <= F.col("left")) & (F.col("left") * ENOUGH > F.col("rest"))).isEmpty():
+            break
     # of the others, the one whose size comes nearest to what is left of the pattern's flow
-    left = table.groupBy("sources").agg(F.coalesce(F.max(F.when(F.col("first"), F.col("upto"))), F.lit(0)).alias("full"))
-    gaps = table.join(F.broadcast(left).withColumnRenamed("sources", "s"), F.col("sources").eqNullSafe(F.col("s"))).where(~F.col("first") & (F.col("size") > 0))
-    miss = F.abs(F.col("rest") - F.col("full") - F.col("size"))
-    best = gaps.where(miss < F.col("rest") - F.col("full")).groupBy("sources").agg(F.min(F.struct(miss.alias("miss"), "at", F.col(key).alias("id"))).alias("fill"))
-    best = F.broadcast(best.select(F.col("sources").alias("s"), "fill"))
-    chosen = table.join(best, F.col("sources").eqNullSafe(F.col("s")), "left")
-    more = F.col("first") | F.coalesce((F.col("at") == F.col("fill.at")) & F.col(key).eqNullSafe(F.col("fill.id")), F.lit(False))
-    copies = F.when(F.col("size") > 0, F.col("every") + more.cast("int")).otherwise(0)
-    return chosen.select(key, "size", "sources", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    miss = F.abs(F.col("left") - F.col("size"))
+    taken.append(pool.groupBy("sources").agg(F.min(F.struct(miss.alias("miss"), "at", "_no")).alias("fill")).select("fill._no"))
+    more = reduce(DataFrame.union, taken).withColumn("more", F.lit(1))
+    copies = F.when(F.col("size") > 0, F.col("every") + F.coalesce("more", F.lit(0))).otherwise(0)
+    return table.join(more, "_no", "left").select(key, "size", "sources", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def fitting(pool: DataFrame) -> DataFrame:
+    """Running sums ``upto`` in seeded order of the sizes that fit alone, over the bins of a pattern and within each bin, and whether a document is among the ``first`` that fit together."""
+    fits = F.col("size") <= F.col("left")
+    pool = pool.withColumn("own", F.when(fits, F.col("size")).otherwise(0))
+    bins = pool.groupBy("sources", "bin").agg(F.sum("own").alias("sum"))
+    before = F.sum("sum").over(Window.partitionBy("sources").orderBy("bin")) - F.col("sum")
+    sums = bins.select(F.col("sources").alias("s"), F.col("bin").alias("b"), before.alias("before"))
+    inner = Window.partitionBy("sources", "bin").orderBy("at", "_no").rowsBetween(Window.unboundedPreceding, 0)
+    summed = pool.withColumn("upto", F.sum("own").over(inner)).join(sums, F.col("sources").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
+    return summed.withColumn("upto", F.col("upto") + F.col("before")).withColumn("first", fits & (F.col("upto") <= F.col("left"))).drop("own", "s", "b", "before")

@@ -215,3 +215,11 @@ def test_lm_slices_keep_their_bits_at_any_number_of_slices(spark):
     wanted = lm.unplaned(table.to_pylist()[0]["b"], np.int32)
     assert (levels >= (wanted > 0)).all() and (wanted == 0).sum() > 1900
     assert (levels[wanted == 0] > 0).mean() < 0.06
+
+
+def test_mixing_passes_over_documents_that_do_not_fit(spark):
+    sizes = [5000] + [10] * 500
+    docs = spark.createDataFrame([(i, n, "a") for i, n in enumerate(sizes)], "doc_id long, n int, source string")
+    for seed in range(3):
+        mixed = mixing.mix(docs, {"a": 1}, F.col("n"), F.array("source"), total=2000, seed=seed)
+        assert sum(r.taken for r in mixed.collect()) == 2000
