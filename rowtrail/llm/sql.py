@@ -11,29 +11,47 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 F
 """
 
 OP7 = r"""
-WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
-line AS (
-  SELECT doc_id, generate_subscripts(lines, 1) AS no, unnest(lines) AS line, len(lines) AS n FROM cut
+WITH cut AS (
+  SELECT doc_id, text, unnest(regexp_extract_all(text,
+    '(?:[^\n.!?]|[.!?]+[^\n.!?\x20\x09\x0B-\x0D])*(?:[.!?]+[\x20\x09\x0B-\x0D]|[.!?]*\n|[.!?]+$|$)')) AS unit,
+    generate_subscripts(regexp_extract_all(text,
+    '(?:[^\n.!?]|[.!?]+[^\n.!?\x20\x09\x0B-\x0D])*(?:[.!?]+[\x20\x09\x0B-\x0D]|[.!?]*\n|[.!?]+$|$)'), 1) AS no
+  FROM documents WHERE text IS NOT NULL
 ), placed AS (
-  SELECT *, length(line) + CASE WHEN no < n THEN 1 ELSE 0 END AS size,
-    list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
-  FROM line
-), offsets AS (
-  SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY no) AS stop, array_to_string(words, ' ') AS unit FROM placed
+  SELECT doc_id, no, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY no)::BIGINT AS stop, length(unit) AS size,
+    list_filter(regexp_split_to_array(lower(unit), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM cut
+), unit AS (
+  SELECT doc_id, stop - size AS start, stop, sum(len(words)) OVER (PARTITION BY doc_id ORDER BY no)::BIGINT AS upto, len(words) AS n, words
+  FROM placed WHERE len(words) > 0
+), whole AS (SELECT doc_id, flatten(list(words ORDER BY start)) AS words, max(stop) AS stop, sum(n)::BIGINT AS total FROM unit GROUP BY doc_id),
+block AS (
+  SELECT a.doc_id, a.start, b.stop, a.upto - a.n AS before, b.upto
+  FROM (SELECT *, upto - n + 20 AS need FROM unit) a ASOF JOIN unit b ON a.doc_id = b.doc_id AND a.need <= b.upto
+  UNION
+  SELECT doc_id, max(u.start), any_value(w.stop), max(u.upto - u.n), any_value(total)
+  FROM unit u JOIN whole w USING (doc_id) WHERE u.upto - u.n <= total - 20 GROUP BY doc_id
+), hashed AS (
+  SELECT doc_id, start, b.stop, sha256(array_to_string(words[before + 1:upto], ' ')) AS h FROM block b JOIN whole USING (doc_id)
 ), ranked AS (
-  SELECT *, len(words) >= 4 AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, no) > 1 AS gone,
-    first_value(doc_id) OVER (PARTITION BY unit ORDER BY doc_id, no) AS first_id
-  FROM offsets
+  SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, start) AS place, first_value(doc_id) OVER (PARTITION BY h ORDER BY doc_id, start) AS first_id
+  FROM hashed
+), later AS (
+  SELECT *, max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+  FROM ranked WHERE place > 1
+), island AS (
+  SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, stop) AS no FROM later
+), span AS (SELECT doc_id, no, min(start) AS start, max(stop) AS stop FROM island GROUP BY ALL),
+kept AS (
+  SELECT doc_id, no, start, stop, substr(text, lag(stop, 1, 0) OVER (PARTITION BY doc_id ORDER BY no) + 1,
+    start - lag(stop, 1, 0) OVER (PARTITION BY doc_id ORDER BY no)) AS piece FROM span JOIN documents USING (doc_id)
 ), told AS (
-  SELECT doc_id, count(*) FILTER (gone) AS n_removed,
-    coalesce(string_agg((stop - size)::BIGINT || ':' || stop::BIGINT, ',' ORDER BY no) FILTER (gone), '') AS removed,
-    list_sort(list_distinct(list(first_id) FILTER (gone))) AS firsts,
-    string_agg(CASE WHEN gone THEN '' ELSE line || CASE WHEN no < n THEN chr(10) ELSE '' END END, '' ORDER BY no) AS clean
-  FROM ranked GROUP BY doc_id
-)
-SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed,
-  coalesce(array_to_string(firsts, ','), '') AS copied_from, sha256(coalesce(clean, '')) AS clean_sha256
-FROM documents d LEFT JOIN told USING (doc_id)
+  SELECT doc_id, count(*) AS n_removed, string_agg(start || ':' || stop, ',' ORDER BY no) AS removed,
+    string_agg(piece, '' ORDER BY no) AS front, max(stop) AS done FROM kept GROUP BY doc_id
+), origin AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(first_id))), ',') AS copied_from FROM later GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, coalesce(copied_from, '') AS copied_from,
+  sha256(coalesce(front || substr(text, done + 1), text, '')) AS clean_sha256
+FROM documents d LEFT JOIN told USING (doc_id) LEFT JOIN origin USING (doc_id)
 """
 
 OP8 = rf"""

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rowtrail.llm import bpe, exact_dedup, language_id, line_dedup, lm, media, mixing
+from rowtrail.llm import bpe, exact_dedup, language_id, lm, media, mixing
 from rowtrail.llm.queries import tokenizer_json
 
 LONG = "word " * 30_000
@@ -110,16 +110,6 @@ def test_exact_dedup(docs, spark):
     assert exact_dedup.deduplicate(docs.limit(0), exact_dedup.DigestIndex(spark, buckets=2)).count() == 0
 
 
-def test_line_dedup(spark):
-    shared = "This line of five words\n"
-    texts = {1: f"own first\n{shared}end", 2: shared * 2 + "The END", 3: None, 4: "", 5: "this  LINE of five words", 6: "end\nend"}
-    got = {r.doc_id: r for r in line_dedup.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
-    assert got[1].text == texts[1] and got[2].text == "The END" and got[5].text == "" and got[3].text is None and got[6].text == texts[6]
-    assert [tuple(s) for s in got[2].removed] == [(0, 24), (24, 48)] and got[2].copied_from == [1]
-    paragraphs = spark.createDataFrame([(1, "one two three four\nfive\n\nx"), (2, "y\n \none two three four\nfive")], "doc_id long, text string")
-    assert rows(line_dedup.remove_repeats(paragraphs, unit="paragraph"), "doc_id", "text")[1] == (2, "y\n \n")
-
-
 def test_language_id(spark):
     words = {"en": "the and with that house river", "de": "und der nicht schön straße über", "fr": "et les être où garçon chez"}
     train = [(lang, f"{text} " * k) for lang, text in words.items() for k in (1, 2, 3)] + [(None, "the"), ("en", None)]
