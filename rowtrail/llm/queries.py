@@ -49,8 +49,9 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(documents(spark, sf_dir, "doc_id", "text"))
-    counts = [F.size(F.filter("base", pii.is_kind(number))).cast("long").alias(f"n_{kind}") for number, kind in enumerate(pii.KINDS)]
-    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+    counts = [F.size(F.filter("base", pii.is_kind(number))).cast("long").alias(f"n_{kind}") for number, kind in enumerate(pii.BASE)]
+    more = [F.size("spans").cast("long").alias("n_spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added")]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"), *more)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,7 +146,7 @@ def test_url_rules_by_brute_force(spark):
 
 def test_digest_of_empty_spans(spark):
     row = spark.range(1).select(F.sha2(pii.joined(F.array().cast("array<struct<start:long,kind:int,end:long>>")), 256).alias("h")).first()
-    assert row.h == hashlib.sha256(b"").hexdigest() and collections.Counter(pii.KINDS).total() == 4
+    assert row.h == hashlib.sha256(b"").hexdigest() and tuple(pii.BASE) == tuple(RULES) == pii.KINDS[:4]
 
 
 def test_pii_proposes_spelt_out_addresses_without_other_hints(spark):
@@ -163,3 +163,33 @@ def test_pii_thresholds_come_from_all_candidates(spark, monkeypatch):
     rows += [(6000 + i, f"call +1 (415) 555-{1000 + i} now") for i in range(60)] + [(7000, "call 1 (415) 555-0199 now")]
     got = {r.doc_id: [s[1] for s in r.spans] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[7000] == [3] and all(got[i] == [] for i in range(3000, 6000))
+
+
+def test_pii_finds_secrets_that_no_base_rule_knows(spark):
+    rng, rows, secret, clean = random.Random(8), [], {}, set()
+    for i in range(600):
+        hexed = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        kind = i % 6
+        line = {0: f'my token = "{hexed}" ok', 1: f"API_KEY: {hexed[:24]} end", 2: f"serial {rng.randrange(10**15, 10**16)} here", 3: f"write u{i}.k@mail{i % 7}.example.org", 4: f"see part-{i}/of-the-long-path-name and go", 5: f"ratio={i}.5 of 12 3"}[kind]
+        rows.append((i, line))
+        if kind < 2:
+            secret[i] = (line.index(hexed[:24]), line.index(hexed[:24]) + (40 if kind == 0 else 24))
+        elif kind in (4, 5):
+            clean.add(i)
+    got = {r.doc_id: [(s[0], s[2]) for s in r.spans if s[1] == 4] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] == [s] for i, s in secret.items()) >= 0.9 * len(secret)
+    assert all(got[i] == [] for i in clean) and sum(bool(got[i]) for i in range(2, 600, 6)) <= 5
+
+
+def test_the_best_of_overlapping_spans_wins(spark):
+    """In a chain a-b-c the last stays if the middle goes, whatever comes first."""
+    spans = [(1, 0, 5, 0.6), (1, 4, 9, 0.9), (1, 8, 12, 0.7), (1, 20, 30, 0.5), (2, 0, 5, 0.9), (2, 4, 9, 0.6), (2, 8, 12, 0.7), (3, 0, 9, 0.8), (3, 2, 4, 0.8)]
+    frame = spark.createDataFrame([(r, a, b, "phone", "number", s) for r, a, b, s in spans], "row long, start long, end long, kind string, source string, score double")
+    got = sorted((r["row"], r.start, r.end) for r in pii.best_of_overlapping(frame).collect())
+    assert got == [(1, 4, 9), (1, 20, 30), (2, 0, 5), (2, 8, 12), (3, 0, 9)]
+
+
+def test_pii_does_not_depend_on_the_layout(spark):
+    rows = [(i, f"write a{i}@mail{i % 9}.example.com or call +1 (415) 555-{1000 + i}, lot {i}") for i in range(200)] + [(900, "call 1 (415) 555-0199 now"), (901, "ask jane dot doe at mail3 dot example dot com")]
+    seen = [sorted((r.doc_id, str(r.spans)) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(n, *by)).collect()) for n, by in ((1, []), (3, ["text"]))]
+    assert seen[0] == seen[1]
