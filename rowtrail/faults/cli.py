@@ -1,4 +1,4 @@
-"""Command line: ``python -m rowtrail.faults.cli sql sales=path.csv "SELECT ..." "lt total 0"``.
+"""Command line: ``python -m rowtrail.faults.cli sql sales=path.csv [more=path.csv ...] "SELECT ..." "lt total 0"``.
 
 Oracles: ``lt|gt <column> <value>``, ``min|max|nan <column>``, ``sigma <column> <k>``.
 ``run airport|weather|student`` isolates a planted fault in generated data of
@@ -38,22 +38,29 @@ def oracle(spec: str, output: Callable[[], DataFrame]) -> Column:
 
 def scenario(spark: SparkSession, name: str, rows: int) -> tuple[DataFrame, Callable[[Traced], Traced], str]:
     """Generated rows with one planted fault, the query, and the usual oracle."""
-    base, last = spark.range(rows), F.col("id") == rows // 2
-    if name == "airport":  # minutes between arrival and departure, one of them over midnight
-        data = base.select("id", (F.col("id") % 40).alias("airport"), (F.col("id") % 24).alias("hour"), F.when(last, -1350).otherwise(30 + F.col("id") % 90).alias("minutes"))
-        return data, lambda t: t.group_by("airport", "hour").agg(F.sum("minutes").alias("total"), F.min("minutes").alias("least")), "lt least 0"
-    if name == "weather":  # snow in millimetres, one reading taken for feet
-        data = base.select("id", (F.col("id") % 50).alias("zip"), (F.col("id") % 365).alias("day"), F.when(last, 27432.0).otherwise((F.col("id") % 80).cast("double")).alias("snow"))
-        return data, lambda t: t.group_by("zip").agg((F.max("snow") - F.min("snow")).alias("delta")), "gt delta 6000"
-    if name == "student":  # ages by grade, one of them typed wrongly
-        data = base.select("id", (F.col("id") % 4).alias("grade"), F.when(last, 10**9).otherwise(18 + F.col("id") % 7).alias("age"))
-        return data, lambda t: t.group_by("grade").agg(F.avg("age").alias("mean")), "gt mean 25"
+    base, odd = spark.range(rows), F.col("id") == rows // 3
+    if name == "airport":  # minutes on the ground, one departure noted before its arrival
+        stays = F.when(odd, F.lit(-75)).otherwise(25 + F.pmod(F.xxhash64("id"), F.lit(120)))
+        data = base.select("id", F.concat(F.lit("gate"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(60))).alias("gate"), F.pmod("id", F.lit(24)).alias("hour"), stays.alias("minutes"))
+        return data, lambda t: t.group_by("gate", "hour").agg(F.sum("minutes").alias("total"), F.min("minutes").alias("least")), "lt least 0"
+    if name == "weather":  # centimetres of snow by station, one reading in tenths of a millimetre
+        data = base.select("id", F.pmod(F.xxhash64("id"), F.lit(90)).alias("station"), F.when(odd, F.lit(18500.0)).otherwise(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(140)) / 2).alias("snow"))
+        return data, lambda t: t.group_by("station").agg((F.max("snow") - F.min("snow")).alias("spread")), "gt spread 500"
+    if name == "student":  # marks by course, one with a slipped decimal point
+        data = base.select("id", F.pmod(F.xxhash64("id"), F.lit(12)).alias("course"), F.when(odd, F.lit(1e8)).otherwise(40 + F.pmod(F.xxhash64("id", F.lit(3)), F.lit(61))).alias("mark"))
+        return data, lambda t: t.group_by("course").agg(F.avg("mark").alias("mean")), "gt mean 101"
     raise ValueError(f"unknown scenario {name}")
 
 
-def report(found: Isolated) -> str:
-    rows = "\n".join(f"  {r}" for r in found.culprits.collect())
-    return f"faulty outputs: {len(found.faulty)}\nprovenance: {found.provenance_size} rows\nruns: {found.runs}\nculprits:\n{rows}"
+#: Rows of a report's list.
+SHOWN = 20
+
+
+def report(found: Isolated, sizes: list[int]) -> str:
+    rows = "\n".join(f"  {r}" for r in found.culprits.limit(SHOWN).collect())
+    progress = " -> ".join(map(str, [found.provenance_size, *sizes]))
+    note = "" if found.minimal else " (not known to be minimal)"
+    return f"faulty outputs: {found.n_faulty}\nprovenance: {found.provenance_size} rows\nruns: {found.runs}\ncandidates: {progress}\nculprits{note}:\n{rows}"
 
 
 def main(arguments: list[str] | None = None) -> str:
@@ -64,9 +71,8 @@ def main(arguments: list[str] | None = None) -> str:
     run.add_argument("oracle", nargs="?")
     run.add_argument("--rows", type=int, default=1_000_000)
     sql = commands.add_parser("sql")
-    sql.add_argument("table", help="name=path of a CSV file with a header")
-    sql.add_argument("query")
-    sql.add_argument("oracle")
+    sql.add_argument("tables", nargs="+", help="name=path of CSV files with a header, the query, and the oracle; the first table is searched")
+    sql.add_argument("--where", help="a condition on the searched table that holds for the candidates")
     commands.add_parser("list")
     given = parser.parse_args(arguments)
     if given.command == "list":
@@ -77,11 +83,18 @@ def main(arguments: list[str] | None = None) -> str:
         data, query, usual = scenario(spark, given.scenario, given.rows)
         base = trail.keyed(data, "id", name=given.scenario)
         test = oracle(given.oracle or usual, lambda: query(base).result)
-        return report(isolate_frame(trail, base, query, test, sizes.append))
-    name, _, path = given.table.partition("=")
-    data = spark.read.csv(path, header=True, inferSchema=True)
-    data.createOrReplaceTempView(name)
-    return report(isolate_sql(trail, name, data, given.query, oracle(given.oracle, lambda: spark.sql(given.query)), sizes.append))
+        return report(isolate_frame(trail, base, query, test, sizes.append), sizes)
+    *tables, query, spec = given.tables
+    if not tables:
+        parser.error("sql needs name=path, a query and an oracle")
+    frames = {}
+    for table in tables:
+        name, _, path = table.partition("=")
+        frames[name] = spark.read.csv(path, header=True, inferSchema=True)
+        frames[name].createOrReplaceTempView(name)
+    searched = next(iter(frames))
+    test = oracle(spec, lambda: spark.sql(query))
+    return report(isolate_sql(trail, searched, frames[searched], query, test, sizes.append, given.where), sizes)
 
 
 if __name__ == "__main__":

@@ -1,17 +1,18 @@
 """Fault isolation: from a wrong output row to the fewest input rows that cause it.
 
-The wrong rows are traced to their sources. Those candidates are narrowed down
-while they stay distributed: rows are hashed into buckets and delta debugging runs
-over the bucket numbers, again with new buckets, until few rows are left. Only then
-are single row ids tried.
+The wrong rows are traced to their sources. The candidates stay distributed: each
+row carries the number of a bucket, and delta debugging runs over these numbers, so
+the driver never sees a row. Several parts are tried in one job. Rows are dealt
+anew, into more buckets where every bucket is needed, until each has one of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import ID, keeping
@@ -19,41 +20,77 @@ from ..operators.traced import Traced
 from ..plans.levels import Source
 from ..session import RowTrail
 from ..sources.scratch import written
-from .ddmin import ddmin
+from .ddmin import remembering, smallest
 
-BUCKETS = 64
-#: Candidates that are tried one by one; more are first narrowed down by buckets.
+BUCKETS, MOST_BUCKETS = 64, 4096
+#: So few candidates get a bucket each.
 FEW = 256
+#: Parts that one job tries.
+AT_ONCE = 8
 
 
 @dataclass
 class Isolated:
-    """``culprits``: the rows that cause the fault; ``faulty``: the wrong output rows."""
+    """``culprits``: the rows that cause the fault; ``faulty``: the wrong output rows, ``n_faulty`` of them.
+
+    ``minimal`` is false if a cause needs so many rows together that it was not
+    taken apart row by row; ``culprits`` then fail, but some may not be needed.
+    """
 
     culprits: DataFrame
-    faulty: list
+    faulty: DataFrame
+    n_faulty: int
     provenance_size: int
     runs: int
-
-
-def minimised(rows: DataFrame, failing: Callable[[DataFrame], bool], on_progress: Callable[[int], None] | None = None) -> DataFrame:
-    """The 1-minimal part of ``rows`` (with ids) for which ``failing`` holds."""
-    round_, size = 0, rows.count()
-    while size > FEW:
-        bucketed = written(rows.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(round_), ID), F.lit(BUCKETS))), "candidates")
-        kept = ddmin(list(range(BUCKETS)), lambda chosen, of=bucketed: failing(of.where(F.col("__bucket").isin(chosen)).drop("__bucket")))
-        rows = bucketed.where(F.col("__bucket").isin(kept)).drop("__bucket")
+    minimal: bool = True
+
+
+class Trials:
+    """Tries parts of an input: whether some output row of each is faulty."""
+
+    def __init__(self, faulty_rows: Callable[[DataFrame], DataFrame]):
+        self.faulty_rows, self.runs = faulty_rows, 0
+
+    def fail(self, parts: list[DataFrame]) -> list[bool]:
+        """One job for all parts."""
+        self.runs += len(parts)
+        each = [self.faulty_rows(rows).limit(1).select(F.lit(i).alias("part")) for i, rows in enumerate(parts)]
+        hit = {r.part for r in reduce(DataFrame.union, each).collect()}  # a number for each part at most
+        return [i in hit for i in range(len(parts))]
+
+
+class ViewTrials(Trials):
+    """The same for SQL text over a view, which holds one part at a time."""
+
+    def fail(self, parts: list[DataFrame]) -> list[bool]:
+        self.runs += len(parts)
+        return [not self.faulty_rows(rows).isEmpty() for rows in parts]
+
+
+def minimised(rows: DataFrame, trials: Trials, on_progress: Callable[[int], None] | None = None) -> tuple[DataFrame, bool]:
+    """The 1-minimal part of ``rows`` (with ids) that fails, and whether it is known to be minimal."""
+    size, round_, buckets = rows.count(), 0, BUCKETS
+    while True:
+        alone = size <= FEW
+        if alone:  # few rows, so one window over all of them is small
+            number, count = F.row_number().over(Window.orderBy(ID)) - 1, size
+        else:
+            number, count = F.pmod(F.xxhash64(F.lit(round_), ID), F.lit(buckets)), buckets
+        dealt = written(rows.withColumn("__bucket", number.cast("int")), "candidates")
+        part = lambda chosen, of=dealt: of.where(F.col("__bucket").isin(*chosen)).drop("__bucket")
+        first = remembering(lambda parts, take=part: trials.fail([take(p) for p in parts]), AT_ONCE)
+        kept = smallest(count, first, on_progress if alone else None)
+        rows = part(kept)
+        if alone:
+            return rows.drop(ID), True
         left, round_ = rows.count(), round_ + 1
         if on_progress:
             on_progress(left)
-        if left == size:  # every bucket is needed
-            break
+        if left > size // 2:  # most buckets are needed
+            if buckets >= MOST_BUCKETS:
+                return rows.drop(ID), False
+            buckets *= 8
         size = left
-    rows = written(rows, "candidates")
-    ids = [r[0] for r in rows.select(ID).orderBy(ID).collect()]
-    schema = rows.select(ID).schema
-    part = lambda chosen: keeping(rows, F.col(ID), rows.sparkSession.createDataFrame([(i,) for i in chosen], schema))
-    return part(ddmin(ids, lambda chosen: failing(part(chosen)), on_progress)).drop(ID)
 
 
 def isolate_frame(trail: RowTrail, base: Traced, query: Callable[[Traced], Traced], test: Column, on_progress: Callable[[int], None] | None = None) -> Isolated:
@@ -62,25 +99,21 @@ def isolate_frame(trail: RowTrail, base: Traced, query: Callable[[Traced], Trace
     All branches that lead to ``base`` count. If the witnesses alone do not fail,
     the whole table is searched. Without a faulty row nothing is a culprit.
     """
-    runs = 0
-
-    def failing(rows: DataFrame) -> bool:
-        nonlocal runs
-        runs += 1
-        return not query(Traced(rows, Source((), "part", rows), base.granularity)).result.where(test).isEmpty()
-
+    trials = Trials(lambda rows: query(Traced(rows, Source((), "part", rows), base.granularity)).result.where(test))
     output = query(base)
-    faulty = output.result.where(test).collect()
-    if not faulty:
-        return Isolated(base.result.limit(0), [], 0, 0)
+    faulty = written(output.result.where(test), "faulty")
+    n = faulty.count()
+    if not n:
+        return Isolated(base.result.limit(0), faulty, 0, 0, 0)
     witnesses = None
     for ids in reaching(output.trace(test), base.level):
         witnesses = ids if witnesses is None else witnesses.union(ids)
     candidates = written(keeping(base.df, F.col(ID), witnesses.distinct()), "witnesses") if witnesses is not None else base.df
     size = candidates.count()
-    if witnesses is not None and not failing(candidates):
+    if witnesses is not None and not trials.fail([candidates])[0]:
         candidates = base.df
-    return Isolated(minimised(candidates, failing, on_progress), faulty, size, runs)
+    culprits, minimal = minimised(candidates, trials, on_progress)
+    return Isolated(culprits, faulty, n, size, trials.runs, minimal)
 
 
 def reaching(cursor, level) -> list[DataFrame]:
@@ -90,25 +123,31 @@ def reaching(cursor, level) -> list[DataFrame]:
     return [found for i in range(len(cursor.level.parents)) for found in reaching(cursor.go_back(i), level)]
 
 
-def isolate_sql(trail: RowTrail, table: str, base: DataFrame, sql: str, test: Column, on_progress: Callable[[int], None] | None = None) -> Isolated:
+def isolate_sql(trail: RowTrail, table: str, base: DataFrame, sql: str, test: Column, on_progress: Callable[[int], None] | None = None, witnesses: str | Column | None = None) -> Isolated:
     """The same for SQL text over the temporary view ``table``.
 
-    SQL text is not traced, so the search starts from the whole table; the view
-    is put back at the end.
+    SQL text is not traced: the search starts from the rows for which ``witnesses``
+    holds, if these fail, or else from the whole table. The view is put back at the
+    end.
     """
-    spark, rows, runs = trail.spark, trail.frame(base, table).df, 0
+    spark, rows = trail.spark, trail.frame(base, table).df
 
-    def failing(part: DataFrame) -> bool:
-        nonlocal runs
-        runs += 1
+    def faulty_rows(part: DataFrame) -> DataFrame:
         part.drop(ID).createOrReplaceTempView(table)
-        return not spark.sql(sql).where(test).isEmpty()
+        return spark.sql(sql).where(test)
 
+    trials = ViewTrials(faulty_rows)
     try:
         base.createOrReplaceTempView(table)
-        faulty = spark.sql(sql).where(test).collect()
-        if not faulty:
-            return Isolated(base.limit(0), [], 0, 0)
-        return Isolated(minimised(rows, failing, on_progress), faulty, rows.count(), runs)
+        faulty = written(spark.sql(sql).where(test), "faulty")
+        n = faulty.count()
+        if not n:
+            return Isolated(base.limit(0), faulty, 0, 0, 0)
+        candidates = rows if witnesses is None else rows.where(witnesses)
+        size = candidates.count()
+        if witnesses is not None and not trials.fail([candidates])[0]:
+            candidates = rows
+        culprits, minimal = minimised(candidates, trials, on_progress)
+        return Isolated(culprits, faulty, n, size, trials.runs, minimal)
     finally:
         base.createOrReplaceTempView(table)

@@ -85,9 +85,25 @@ class Cursor:
             return [(self.level.name, self.show())]
         return [found for i in range(len(self.level.parents)) for found in self.go_back(i).all_sources()]
 
+    def associations(self, branch: int = 0) -> DataFrame:
+        """(output, input): each chosen row of this level with each row of the given input behind it."""
+        if self.at_scan:
+            raise TraceError("the cursor is at a source already")
+        return self.level.associations(self.ids, branch)
+
     def save_csv(self, path: str) -> None:
-        """Write the ids, as JSON, to one CSV file in ``path``."""
-        self.ids.select(F.to_json(ID).alias("id")).coalesce(1).write.option("header", True).csv(path)
+        """Write the ids, as JSON, as CSV files in ``path``."""
+        self.ids.select(F.to_json(ID).alias("id")).write.option("header", True).csv(path)
 
     def save_jdbc(self, url: str, table: str, properties: dict | None = None) -> None:
         self.ids.select(F.to_json(ID).alias("id")).write.option("batchsize", 1000).jdbc(url, table, mode="append", properties=properties or {})
+
+    def save_associations_csv(self, path: str, branch: int = 0) -> None:
+        """Write the pairs of output and input ids, as JSON, as CSV files in ``path``."""
+        self._json_pairs(branch).write.option("header", True).csv(path)
+
+    def save_associations_jdbc(self, url: str, table: str, branch: int = 0, properties: dict | None = None) -> None:
+        self._json_pairs(branch).write.option("batchsize", 1000).jdbc(url, table, mode="append", properties=properties or {})
+
+    def _json_pairs(self, branch: int) -> DataFrame:
+        return self.associations(branch).select(F.to_json("output").alias("output"), F.to_json("input").alias("input"))

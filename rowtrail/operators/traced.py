@@ -8,15 +8,15 @@ code generation and adaptive execution stay as they are.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.ids import ID, distinct_ids, key_struct, visible
-from ..plans.levels import GroupingSets, Joined, Keyed, Level, Peers, Unioned, UnsupportedOperatorError
-from ..sources.scratch import written
+from ..plans.levels import GroupingSets, Joined, Keyed, Level, Peers, Unioned, UnsupportedOperatorError, sources
+from ..sources.scratch import dropped, written
 from .cursor import Cursor
 
 JOINS = {"inner": "inner", "left": "left", "leftouter": "left", "left_outer": "left", "right": "right", "rightouter": "right", "right_outer": "right", "full": "full", "outer": "full", "fullouter": "full", "full_outer": "full", "semi": "left_semi", "leftsemi": "left_semi", "left_semi": "left_semi", "anti": "left_anti", "leftanti": "left_anti", "left_anti": "left_anti", "cross": "inner"}
@@ -33,6 +33,12 @@ class Traced:
     df: DataFrame
     level: Level
     granularity: str = "exact"
+    held: list = field(default_factory=list, compare=False, repr=False)  #: the session's list of what was written
+
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        copy = written(df, name)
+        self.held.append(copy)
+        return copy
 
     # narrow operators: ids pass through
 
@@ -69,7 +75,7 @@ class Traced:
 
     def limit(self, n: int) -> Traced:
         """Any n rows, written once so that later traces see the same ones."""
-        return self._same(written(self.df.limit(n), "limit"))
+        return self._same(self._written(self.df.limit(n), "limit"))
 
     def sample(self, fraction: float, seed: int) -> Traced:
         return self._same(self.df.sample(fraction, seed))
@@ -79,7 +85,7 @@ class Traced:
 
     def stored(self) -> Traced:
         """Write the rows with their ids; for operators that do not give the same rows each time."""
-        return self._same(written(self.df, "stored"))
+        return self._same(self._written(self.df, "stored"))
 
     def map_in_pandas(self, function: Callable, schema: str, granularity: str | None = None) -> Traced:
         """Refused unless ``granularity="all"`` says that every input row stands behind every output row."""
@@ -88,8 +94,19 @@ class Traced:
         out = self.df.drop(ID).mapInPandas(function, schema).withColumn(ID, key_struct([]))
         return self._opened(out, Keyed((self,), ([],), "mapInPandas"))
 
+    def apply_in_pandas(self, keys: Sequence[str | Column], function: Callable, schema: str) -> Traced:
+        """Grouped map: all rows of a group stand behind what ``function`` makes of it.
+
+        ``schema`` must hold the keys, by name, as ``function`` returns them; rows are
+        known by them.
+        """
+        named = [as_column(k) for k in keys]
+        names = self.df.select(*named).columns
+        out = self.df.drop(ID).groupBy(*named).applyInPandas(function, schema)
+        return self._opened(out.withColumn(ID, key_struct([F.col(n) for n in names])), Keyed((self,), (named,), "grouped map"))
+
     def _opened(self, df: DataFrame, level: Level) -> Traced:
-        return Traced(df, level, self.granularity)
+        return Traced(df, level, self.granularity, self.held)
 
     # aggregation
 
@@ -190,7 +207,7 @@ class Traced:
         """ORDER BY ... LIMIT n; written once. With key granularity ``keys``, the sort columns, name a row's peers."""
         sort_keys = [as_column(k) for k in keys]
         own = self.df.withColumn(ID, F.struct(key_struct(sort_keys).alias("key"), F.col(ID).alias("own")))
-        rows = written(own.orderBy(*order_by).limit(n), "top")
+        rows = self._written(own.orderBy(*order_by).limit(n), "top")
         return self._opened(rows, Peers((self,), sort_keys, "top", self.granularity if keys else "exact", rows))
 
     # results and traces
@@ -213,6 +230,14 @@ class Traced:
         made = self.df.select(F.struct(*names).alias("row"), ID).collect()
         return [(r["row"], r[ID]) for r in made]
 
+    def result_ids(self) -> list:
+        """The ids of all result rows."""
+        return [r[0] for r in self.df.select(ID).collect()]
+
+    def release(self) -> None:
+        """Delete what was written for this result, copies of sources aside (limit, top-k, stored); its traces end here."""
+        dropped(self.df, *(s.rows for s in sources(self.level)))
+
     def trace(self, where: str | Column | None = None) -> Cursor:
         """A cursor at the result's level, on the rows for which ``where`` holds (or all)."""
         rows = self.df if where is None else self.df.where(where)

@@ -7,7 +7,7 @@ ids are the keys themselves, and a step back or forth is a semi-join.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark import RDD, SparkContext
@@ -50,12 +50,33 @@ class RddCursor:
         flipped = at.links(branch).map(lambda x: (x[1], x[0]))
         return RddCursor(at, among(flipped, self.ids).values().distinct(), self.path[:-1])
 
-    def go_back_all(self, branch: int = 0) -> RddCursor:
+    def go_back_all(self, branch: int = 0, times: int | None = None) -> RddCursor:
+        """Back to a source, or at most ``times`` steps; at each level the given branch, or the first where there is only one."""
         at = self
-        while not at.at_source:
+        while not at.at_source and (times is None or times > 0):
             at = at.go_back(branch if branch < len(at.at.parents) else 0)
+            times = None if times is None else times - 1
         return at
 
+    def go_next_all(self, times: int | None = None) -> RddCursor:
+        """To the result, or at most ``times`` steps towards it."""
+        at = self
+        while at.path and (times is None or times > 0):
+            at = at.go_next()
+            times = None if times is None else times - 1
+        return at
+
+    def get_back(self, branch: int = 0) -> RddCursor:
+        """The parent's place with all its records: a step back without looking for the chosen ones."""
+        if self.at_source:
+            raise TraceError("the cursor is at a source already")
+        parent = self.at.parents[branch]
+        return RddCursor(parent, parent.rdd.keys().distinct(), (*self.path, (self.at, branch)))
+
+    def associations(self, branch: int = 0) -> RDD:
+        """(own id, parent's id) for the chosen records."""
+        return among(self.at.links(branch), self.ids)
+
     def intersection(self, other: RddCursor) -> RddCursor:
         if other.at is not self.at:
             raise TraceError("the cursors stand at different levels")
@@ -69,11 +90,15 @@ def among(pairs: RDD, ids: RDD) -> RDD:
 
 @dataclass(frozen=True, eq=False)
 class TracedRDD:
-    """``rdd`` holds (id, value). ``parents`` are empty at a source; ``link`` gives (own id, parent's id) pairs."""
+    """``rdd`` holds (id, value). ``parents`` are empty at a source; ``link`` gives (own id, parent's id) pairs.
+
+    ``origin`` is the same for all that narrow operators make of one source or level.
+    """
 
     rdd: RDD
     parents: tuple[TracedRDD, ...] = ()
     link: Callable[[int], RDD] | None = None
+    origin: object = field(default_factory=object)
 
     def links(self, branch: int) -> RDD:
         return self.link(branch)
@@ -100,7 +125,7 @@ class TracedRDD:
     # narrow: ids pass through
 
     def _same(self, rdd: RDD) -> TracedRDD:
-        return TracedRDD(rdd, self.parents, self.link)
+        return TracedRDD(rdd, self.parents, self.link, self.origin)
 
     def map(self, f: Callable) -> TracedRDD:
         return self._same(self.rdd.mapValues(f))
@@ -137,6 +162,17 @@ class TracedRDD:
 
         return self._same(self.rdd.mapPartitions(paired))
 
+    def map_partitions_with_index(self, f: Callable, one_to_one: bool = False) -> TracedRDD:
+        """The same; ``f`` also gets the partition's number."""
+        if not one_to_one:
+            raise UnsupportedOperatorError("mapPartitionsWithIndex hides which records it uses; declare one_to_one=True if it keeps their order")
+
+        def paired(number, it):
+            rows = list(it)
+            return zip((i for i, _ in rows), f(number, iter([v for _, v in rows])), strict=True)
+
+        return self._same(self.rdd.mapPartitionsWithIndex(paired))
+
     def sort_by(self, f: Callable, ascending: bool = True) -> TracedRDD:
         return self._same(self.rdd.sortBy(lambda r: f(r[1]), ascending))
 
@@ -154,11 +190,23 @@ class TracedRDD:
     def zip_with_unique_id(self) -> TracedRDD:
         return self._same(self.rdd.zipWithUniqueId().map(lambda x: (x[0][0], (x[0][1], x[1]))))
 
-    def zip(self, other: TracedRDD) -> TracedRDD:
-        """Records at the same place of both; the id is the pair of their ids."""
-        inputs, both = (self, other), self.rdd.zip(other.rdd).map(lambda x: ((x[0][0], x[1][0]), (x[0][1], x[1][1])))
+    def zip(self, *others: TracedRDD) -> TracedRDD:
+        """Records at the same place of two or more; the id is the tuple of their ids."""
+        inputs, both = (self, *others), self.rdd.map(lambda r: ((r[0],), (r[1],)))
+        for x in others:
+            both = both.zip(x.rdd).map(lambda p: ((*p[0][0], p[1][0]), (*p[0][1], p[1][1])))
         return TracedRDD(both, inputs, lambda b: both.keys().map(lambda i: (i, i[b])).distinct())
 
+    def zip_partitions(self, f: Callable, *others: TracedRDD) -> TracedRDD:
+        """``f`` gets one iterator for each input and gives records; the whole partitions stand behind each of them."""
+        inputs = (self, *others)
+        numbered = [x.rdd.mapPartitionsWithIndex(lambda n, it: [(n, list(it))]) for x in inputs]
+        joined = numbered[0].mapValues(lambda rows: (rows,))
+        for x in numbered[1:]:
+            joined = joined.zip(x).map(lambda p: (p[0][0], (*p[0][1], p[1][1])))
+        out = joined.flatMapValues(lambda parts: f(*(iter([v for _, v in rows]) for rows in parts)))
+        return TracedRDD(out, inputs, lambda b: numbered[b].flatMapValues(lambda rows: [i for i, _ in rows]))
+
     # keyed: one level
 
     def _keyed(self, result: RDD, *others: TracedRDD) -> TracedRDD:
@@ -194,6 +242,19 @@ class TracedRDD:
     def join(self, other: TracedRDD) -> TracedRDD:
         return self.cogroup(other).flat_map_values(lambda v: [(a, b) for a in v[0] for b in v[1]])
 
+    def left_outer_join(self, other: TracedRDD) -> TracedRDD:
+        return self.cogroup(other).flat_map_values(lambda v: [(a, b) for a in v[0] for b in v[1] or [None]])
+
+    def right_outer_join(self, other: TracedRDD) -> TracedRDD:
+        return self.cogroup(other).flat_map_values(lambda v: [(a, b) for a in v[0] or [None] for b in v[1]])
+
+    def full_outer_join(self, other: TracedRDD) -> TracedRDD:
+        return self.cogroup(other).flat_map_values(lambda v: [(a, b) for a in v[0] or [None] for b in v[1] or [None]])
+
+    def subtract_by_key(self, other: TracedRDD) -> TracedRDD:
+        """Pairs whose key the other lacks; those pairs alone are witnesses."""
+        return self.cogroup(other).flat_map_values(lambda v: [] if v[1] else v[0])
+
     def union(self, other: TracedRDD) -> TracedRDD:
         inputs = (self, other)
         tagged = [x.rdd.map(lambda r, b=b: ((b, r[0]), r[1])) for b, x in enumerate(inputs)]

@@ -42,6 +42,10 @@ class Level:
         """Ids of this level's rows to which the parent's rows contribute."""
         raise NotImplementedError
 
+    def associations(self, ids: DataFrame, branch: int) -> DataFrame:
+        """(output, input): the given rows of this level, each with the parent's rows behind it."""
+        raise NotImplementedError
+
     def describe(self) -> str:
         return type(self).__name__.lower()
 
@@ -83,6 +87,9 @@ class Keyed(Level):
     def forth(self, ids: DataFrame, branch: int) -> DataFrame:
         return keeping(self.pairs(branch), F.col(ID), ids).select(F.col("__key").alias(ID)).distinct()
 
+    def associations(self, ids: DataFrame, branch: int) -> DataFrame:
+        return keeping(self.pairs(branch), F.col("__key"), ids).select(F.col("__key").alias("output"), F.col(ID).alias("input")).distinct()
+
     def describe(self) -> str:
         return self.what
 
@@ -131,7 +138,10 @@ class Joined(Level):
         return self.rows.select(ID, self.side(branch).alias("__side")).where("__side is not null")
 
     def back(self, ids: DataFrame, branch: int) -> DataFrame:
-        exact = keeping(self.pairs(branch), F.col(ID), ids).select(F.col("__side").alias(ID)).distinct()
+        if branch == 1 and self.how in ("left_semi", "left_anti"):  # only here an id lacks the side asked for
+            exact = keeping(self.pairs(branch), F.col(ID), ids).select(F.col("__side").alias(ID)).distinct()
+        else:
+            exact = ids.select(self.side(branch).alias(ID)).where(F.col(ID).isNotNull()).distinct()
         if self.granularity == "exact" or not self.on:
             return exact
         rows = self.parents[branch].df
@@ -141,6 +151,10 @@ class Joined(Level):
     def forth(self, ids: DataFrame, branch: int) -> DataFrame:
         return distinct_ids(keeping(self.pairs(branch), F.col("__side"), ids))
 
+    def associations(self, ids: DataFrame, branch: int) -> DataFrame:
+        """With exact granularity, whatever the cursor's own."""
+        return keeping(self.pairs(branch), F.col(ID), ids).select(F.col(ID).alias("output"), F.col("__side").alias("input")).distinct()
+
     def describe(self) -> str:
         return f"join {self.how}"
 
@@ -155,6 +169,9 @@ class Unioned(Level):
     def forth(self, ids: DataFrame, branch: int) -> DataFrame:
         return ids.select(self.wrapped(branch).alias(ID))
 
+    def associations(self, ids: DataFrame, branch: int) -> DataFrame:
+        return ids.where(F.col(f"{ID}.b") == branch).select(F.col(ID).alias("output"), F.col(f"{ID}.i{branch}").alias("input")).distinct()
+
     def wrapped(self, branch: int) -> Column:
         inner = [F.col(ID) if i == branch else F.lit(None).cast(p.df.schema[ID].dataType) for i, p in enumerate(self.parents)]
         return F.struct(F.lit(branch).alias("b"), *(c.alias(f"i{i}") for i, c in enumerate(inner)))
@@ -185,6 +202,12 @@ class Peers(Level):
         keys = ids.select(F.col(f"{ID}.key").alias(ID)).distinct()
         return distinct_ids(keeping(self.pairs(), F.col("__key"), keys))
 
+    def associations(self, ids: DataFrame, branch: int) -> DataFrame:
+        if self.granularity == "exact":
+            return ids.select(F.col(ID).alias("output"), F.col(f"{ID}.own").alias("input")).distinct()
+        wanted = ids.select(F.col(ID).alias("output"), F.col(f"{ID}.key").alias("__of"))
+        return wanted.join(self.pairs(), F.col("__of") == F.col("__key")).select("output", F.col(ID).alias("input")).distinct()
+
     def forth(self, ids: DataFrame, branch: int) -> DataFrame:
         own = self.pairs().select("__key", F.col(ID).alias("__own"))
         if self.granularity == "exact":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.ids import ID
 from .operators.traced import Traced
 from .plans.levels import Source
-from .sources.scratch import written
+from .sources.scratch import dropped, size_of, written
 
 
 @dataclass(frozen=True)
@@ -23,18 +23,34 @@ class RowTrail:
 
     spark: SparkSession
     granularity: str = "exact"
+    held: list[DataFrame] = field(default_factory=list, compare=False)  #: the copies of sources that this session made
+
+    def size(self) -> int:
+        """Bytes that the copies of sources, and what top-k and limits wrote, take on disk."""
+        return sum(size_of(df) for df in self.held)
+
+    def release(self) -> None:
+        """Delete them all; traces that need them end here."""
+        for df in self.held:
+            dropped(df)
+        self.held.clear()
 
     def _source(self, name: str, rows: DataFrame) -> Traced:
-        return Traced(rows, Source((), name, rows), self.granularity)
+        return Traced(rows, Source((), name, rows), self.granularity, self.held)
 
     def parquet(self, path: str, name: str | None = None) -> Traced:
-        """A Parquet table; a row's id is its file and its place in it, so nothing is copied."""
-        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        """A Parquet table; a row's id is its file and its place in it, so nothing is copied.
+
+        The file is known by a 64-bit hash of its path, which keeps shuffled ids short.
+        """
+        place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
         return self._source(name or path, self.spark.read.parquet(path).select("*", place.alias(ID)))
 
     def frame(self, df: DataFrame, name: str = "frame") -> Traced:
         """Any DataFrame, cached or not. Its rows are written once with numbers, as other formats have no stable places."""
-        return self._source(name, written(df.withColumn(ID, F.struct(F.monotonically_increasing_id().alias("row"))), "source"))
+        copy = written(df.withColumn(ID, F.struct(F.monotonically_increasing_id().alias("row"))), "source")
+        self.held.append(copy)
+        return self._source(name, copy)
 
     def keyed(self, df: DataFrame, *key: str, name: str = "frame") -> Traced:
         """A DataFrame with a unique key, which serves as the id; nothing is copied."""

@@ -1,66 +1,157 @@
+"""Delta debugging against exhaustive search, isolation of planted faults, oracles."""
+
+import itertools
+import random
+
+import pytest
+from made import SHOPS, spoilt, visits
 from pyspark.sql import functions as F
 
 from rowtrail.faults import oracles
-from rowtrail.faults.ddmin import ddmin
+from rowtrail.faults.ddmin import ddmin, remembering, smallest
 from rowtrail.faults.isolate import isolate_frame, isolate_sql
 from rowtrail.harness.recall import leave_one_out, recall_holds
 from rowtrail.session import RowTrail
 
-SALES = [("electronics", 420), ("electronics", -9999999), ("electronics", 380), ("toys", 55), ("toys", 70)]
+VISITS = visits()
+SCHEMA = "shop string, spent int"
+FAULT = next(i for i, r in enumerate(VISITS) if r[0] == SHOPS[2])
+FAULTY = spoilt(VISITS, {FAULT}, -70_000)
+
+
+def is_minimal(part, failing):
+    return failing(part) and not any(failing([x for k, x in enumerate(part) if k != i]) for i in range(len(part)))
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_ddmin_by_exhaustive_search(seed):
+    """Random causes, each a set of items that must come together; any of them will do."""
+    rng = random.Random(seed)
+    items = rng.sample(range(100), rng.randint(1, 9))
+    causes = [set(rng.sample(items, rng.randint(1, min(3, len(items))))) for _ in range(rng.randint(1, 3))]
+    failing = lambda part: any(c <= set(part) for c in causes)
+    found = ddmin(items, failing)
+    minimal = [list(p) for n in range(len(items) + 1) for p in itertools.combinations(items, n) if is_minimal(list(p), failing)]
+    assert found in minimal
 
 
-def test_ddmin_finds_single_and_paired_causes():
-    assert ddmin(range(1, 65), lambda x: 7 in x) == [7]
-    assert ddmin(range(1, 33), lambda x: {3, 5} <= set(x)) == [3, 5]
-    assert ddmin([10, 20, 30, -1000000, 15, 25], lambda x: sum(x) < 0) == [-1000000]
-    assert ddmin([1, 2, 3], lambda x: False) == [1, 2, 3] and ddmin([], lambda x: True) == []
+@pytest.mark.parametrize("seed", range(10))
+def test_ddmin_where_larger_parts_may_pass(seed):
+    """A sum below a bound: not every part that holds a failing one fails."""
+    rng = random.Random(100 + seed)
+    items = [rng.randrange(-50, 90) for _ in range(60)]
+    items[rng.randrange(60)] = -10**6
+    failing = lambda part: sum(part) < -500_000
+    assert is_minimal(ddmin(items, failing), failing)
 
 
-def test_ddmin_tests_nothing_twice_and_only_shrinks():
-    seen, sizes = [], []
-    ddmin(list(range(40)), lambda x: seen.append(tuple(x)) or {3, 17, 31} <= set(x), sizes.append)
-    assert len(seen) == len(set(seen)) and sizes == sorted(sizes, reverse=True)
+def test_ddmin_without_a_fault_and_its_bookkeeping():
+    assert ddmin("abc", lambda part: False) == ["a", "b", "c"] and ddmin([], lambda part: True) == []
+    seen, sizes, need = [], [], {8, 9, 44}
+    ddmin(list(range(50)), lambda part: seen.append(tuple(part)) or need <= set(part), sizes.append)
+    assert len(seen) == len(set(seen)) and sizes == sorted(sizes, reverse=True) and sizes[-1] == 3
+    groups = []
+    first = remembering(lambda parts: groups.append(len(parts)) or [need <= set(p) for p in parts], 4)
+    assert smallest(50, first) == (8, 9, 44) and max(groups) == 4
+
+
+def totals(s):
+    return s.group_by("shop").agg(F.sum("spent").alias("total"))
 
 
 def test_isolate_frame(spark):
     t = RowTrail(spark)
-    found = isolate_frame(t, t.values(SALES, "category string, amount int"), lambda s: s.group_by("category").agg(F.sum("amount").alias("total")), F.col("total") < 0)
-    assert [tuple(r) for r in found.culprits.collect()] == [("electronics", -9999999)] and found.provenance_size == 3
+    found = isolate_frame(t, t.values(FAULTY, SCHEMA), totals, F.col("total") < 0)
+    assert [tuple(r) for r in found.culprits.collect()] == [FAULTY[FAULT]] and found.minimal
+    assert found.provenance_size == sum(r[0] == SHOPS[2] for r in FAULTY) and found.n_faulty == found.faulty.count() == 1
+
+
+def test_isolate_two_rows_that_fail_together(spark):
+    t = RowTrail(spark)
+    base = t.values([*VISITS, ("new", 300), ("new", 400), ("new", 20)], SCHEMA)
+    found = isolate_frame(t, base, totals, F.col("total") > 650 + F.when(F.col("shop") == "new", 0).otherwise(10**6))
+    assert sorted(r.spent for r in found.culprits.collect()) == [300, 400]
+
+
+def test_isolate_over_all_branches(spark):
+    """The culprit comes in by the second input of the join, which leads to the same table."""
+    t = RowTrail(spark)
+    base = t.values(FAULTY, SCHEMA)
+
+    def query(s):
+        most = s.group_by("shop").agg(F.max("spent").alias("most"))
+        return most.join(s.select(F.col("shop").alias("at"), "spent"), F.col("shop") == F.col("at"))
+
+    found = isolate_frame(t, base, query, F.col("spent") < 0)
+    assert FAULTY[FAULT] in [tuple(r) for r in found.culprits.collect()]
 
 
 def test_isolate_narrows_many_candidates(spark):
     t = RowTrail(spark)
     base = t.frame(spark.range(2000).select(F.col("id"), F.when(F.col("id") == 1234, 10**9).otherwise(1).alias("v")))
-    found = isolate_frame(t, base, lambda s: s.agg(F.sum("v").alias("total")), F.col("total") > 10**8)
-    assert [r.id for r in found.culprits.collect()] == [1234]
+    sizes = []
+    found = isolate_frame(t, base, lambda s: s.agg(F.sum("v").alias("total")), F.col("total") > 10**8, sizes.append)
+    assert [r.id for r in found.culprits.collect()] == [1234] and sizes[-1] == 1 and sizes == sorted(sizes, reverse=True)
+
+
+def test_isolate_leaves_causes_of_very_many_rows_as_they_are(spark, monkeypatch):
+    from rowtrail.faults import isolate
+
+    monkeypatch.setattr(isolate, "MOST_BUCKETS", 64)
+    t = RowTrail(spark)
+    base = t.frame(spark.range(600).select("id"))
+    found = isolate_frame(t, base, lambda s: s.agg(F.count(F.lit(1)).alias("n")), F.col("n") >= 590)
+    assert not found.minimal and found.culprits.count() >= 590
 
 
 def test_isolate_nothing(spark):
     t = RowTrail(spark)
-    found = isolate_frame(t, t.values(SALES, "category string, amount int"), lambda s: s.group_by("category").count(), F.col("count") > 99)
-    assert found.culprits.count() == 0 and found.faulty == []
+    found = isolate_frame(t, t.values(VISITS, SCHEMA), lambda s: s.group_by("shop").count(), F.col("count") > 999)
+    assert found.culprits.count() == 0 and found.n_faulty == 0 and found.faulty.count() == 0
 
 
-def test_isolate_sql_restores_the_view(spark):
-    base = spark.createDataFrame(SALES, "category string, amount int")
-    found = isolate_sql(RowTrail(spark), "sales", base, "SELECT category, sum(amount) AS total FROM sales GROUP BY category", oracles.below("total", 0))
-    assert [tuple(r) for r in found.culprits.collect()] == [("electronics", -9999999)]
-    assert spark.table("sales").count() == len(SALES)
+@pytest.mark.parametrize("witnesses", [None, f"shop = '{SHOPS[2]}'", f"shop = '{SHOPS[0]}'"])
+def test_isolate_sql_restores_the_view(spark, witnesses):
+    base = spark.createDataFrame(FAULTY, SCHEMA)
+    found = isolate_sql(RowTrail(spark), "visits", base, "SELECT shop, sum(spent) AS total FROM visits GROUP BY shop", oracles.below("total", 0), witnesses=witnesses)
+    assert [tuple(r) for r in found.culprits.collect()] == [FAULTY[FAULT]]
+    assert spark.table("visits").count() == len(FAULTY)
 
 
-def test_oracles(spark):
-    out = spark.createDataFrame([(float(i),) for i in range(1, 21)] + [(100000.0,)], "v double")
-    assert [r.v for r in out.where(oracles.far_from_median(out, "v", 3)).collect()] == [100000.0]
-    assert [r.v for r in out.where(oracles.lowest(out, "v")).collect()] == [1.0]
-    assert [r.v for r in out.where(oracles.highest(out, "v")).collect()] == [100000.0]
+def test_isolate_division_by_zero(spark):
+    t = RowTrail(spark)
+    base = t.values([(s, v, 1 if i != 7 else 0) for i, (s, v) in enumerate(VISITS)], "shop string, spent int, people int")
+    found = isolate_frame(t, base, lambda s: s.select("shop", F.try_divide("spent", "people").alias("each")), oracles.missing("each"))
+    assert [r.people for r in found.culprits.collect()] == [0]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_oracles_by_plain_loops(spark, seed):
+    rng = random.Random(seed)
+    values = [round(rng.gauss(50, 9), 3) for _ in range(rng.choice([1, 2, 29, 30]))] + [9_000.0] * (seed > 1)
+    out = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    middle, mean = sorted(values)[len(values) // 2], sum(values) / len(values)
+    deviation = (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5
+    of = lambda r: r[0]
+    wanted = {"low": [min(values)], "high": [v for v in values if v == max(values)], "far": sorted(v for v in values if abs(v - middle) > 2 * deviation)}
+    columns = {"low": oracles.lowest(out, "v"), "high": oracles.highest(out, "v"), "far": oracles.far_from_median(out, "v", 2)}
+    functions = {"low": oracles.rdd_lowest(of), "high": oracles.rdd_highest(of), "far": oracles.rdd_far_from_median(of, 2)}
+    for name, want in wanted.items():
+        assert sorted(r.v for r in out.where(columns[name]).collect()) == want
+        assert sorted(r.v for r in out.rdd.filter(functions[name](out.rdd)).collect()) == want
+
+
+def test_oracles_for_missing_values_and_empty_outputs(spark):
     odd = spark.createDataFrame([(None,), (float("nan"),), (1.0,)], "v double")
-    assert odd.where(oracles.missing("v")).count() == 2
-    assert out.limit(0).where(oracles.lowest(out.limit(0), "v")).count() == 0
+    assert odd.where(oracles.missing("v")).count() == 2 and odd.rdd.filter(oracles.rdd_missing(lambda r: r[0])(odd.rdd)).count() == 2
+    none = odd.limit(0)
+    assert none.where(oracles.lowest(none, "v")).count() == 0 and odd.where(oracles.far_from_median(none, "v", 1)).count() == 0
+    assert odd.rdd.filter(oracles.rdd_highest(lambda r: r[0])(none.rdd)).count() == 0
 
 
 def test_recall_and_leave_one_out(spark):
     t = RowTrail(spark)
-    sources = {"sales": t.values(SALES, "category string, amount int")}
-    query = lambda s: s["sales"].group_by("category").agg(F.sum("amount").alias("total"))
-    assert recall_holds(t, sources, query, "category = 'toys'")
-    assert leave_one_out(t, sources, query, "category = 'toys'", "sales")
+    sources = {"visits": t.values(VISITS, SCHEMA)}
+    query = lambda s: totals(s["visits"])
+    assert recall_holds(t, sources, query, F.col("shop") == SHOPS[1])
+    assert leave_one_out(t, sources, query, F.col("shop") == SHOPS[1], "visits")

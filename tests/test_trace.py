@@ -1,83 +1,97 @@
-"""The hop counts and witness sets that provenance of small tables must have."""
+"""Traces of small generated tables against witnesses found by plain loops."""
 
 import pytest
+from made import READERS, loans, visits
 from pyspark.sql import functions as F
 
 from rowtrail.plans.levels import TraceError, UnsupportedOperatorError
 from rowtrail.session import RowTrail
 
-SALES = [("electronics", n) for n in (420, 310, 99999, 380)] + [("toys", n) for n in (55, 70, 65, 90)] + [("books", n) for n in (10, 20)]
-ORDERS = [("o1", "c1", 100), ("o2", "c2", 250), ("o5", "c2", 190), ("o8", "c2", 99999), ("o11", "c2", 205), ("o3", "c3", 30), ("o13", "c9", 42)]
-CUSTOMERS = [("c1", "Ann"), ("c2", "Bo"), ("c3", "Cy")]
+VISITS, LOANS = visits(), loans()
+NAMES = dict(READERS)
+BUSY = max((s for s, _ in VISITS if s), key=lambda s: sum(v for t, v in VISITS if t == s))
 
 
 def tables(spark, granularity="exact"):
     t = RowTrail(spark, granularity)
-    return t, t.values(SALES, "category string, amount int"), t.values(ORDERS, "oid string, cid string, amount int"), t.values(CUSTOMERS, "cid string, name string")
+    return t, t.values(VISITS, "shop string, spent int"), t.values(LOANS, "loan string, reader string, days int"), t.values(READERS, "reader string, name string")
 
 
 def rows(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def of_shop(shop):
+    return sorted((r for r in VISITS if r[0] == shop), key=repr)
 
 
 def test_scan_is_zero_hops(spark):
-    _, sales, _, _ = tables(spark)
-    at = sales.where("amount < 60").trace()
-    assert at.at_scan and rows(at.show()) == [("books", 10), ("books", 20), ("toys", 55)]
+    _, seen, _, _ = tables(spark)
+    at = seen.where("spent < 20").trace()
+    assert at.at_scan and rows(at.show()) == sorted((r for r in VISITS if r[1] < 20), key=repr)
     with pytest.raises(TraceError):
         at.go_back()
 
 
 def test_group_and_forward(spark):
-    _, sales, _, _ = tables(spark)
-    at = sales.group_by("category").agg(F.sum("amount").alias("total")).trace("total > 100000")
+    _, seen, _, _ = tables(spark)
+    at = seen.group_by("shop").agg(F.sum("spent").alias("total")).trace(F.col("shop") == BUSY)
     with pytest.raises(TraceError):
         at.show()
     with pytest.raises(TraceError):
         at.go_next()
     back = at.go_back()
-    assert back.at_scan and len(back.collect_ids()) == 4
+    assert back.at_scan and rows(back.show()) == of_shop(BUSY)
     assert back.go_next().collect_ids() == at.collect_ids()
 
 
 def test_null_keys_are_one_group(spark):
-    t = RowTrail(spark)
-    found = t.values([(None, 1), (None, 2), ("a", 3)], "k string, v int").group_by("k").agg(F.sum("v").alias("s"))
-    assert rows(found.trace("k is null").go_back().show("v")) == [(1,), (2,)]
+    _, seen, _, _ = tables(spark)
+    found = seen.group_by("shop").agg(F.sum("spent").alias("s"))
+    assert rows(found.trace("shop is null").go_back().show()) == of_shop(None) != []
 
 
 def test_global_and_distinct(spark):
-    _, sales, _, _ = tables(spark)
-    assert sales.agg(F.sum("amount").alias("s")).trace().go_back().show().count() == len(SALES)
-    assert sales.select("category").distinct().trace("category = 'toys'").go_back().show().count() == 4
+    _, seen, _, _ = tables(spark)
+    assert seen.agg(F.sum("spent").alias("s")).trace().go_back().show().count() == len(VISITS)
+    assert rows(seen.select("shop").distinct().trace(F.col("shop") == BUSY).go_back().show()) == of_shop(BUSY)
+    assert rows(seen.distinct().trace(F.col("shop") == BUSY).go_back().show()) == of_shop(BUSY)
 
 
-@pytest.mark.parametrize(("granularity", "n"), [("exact", 1), ("key", 4)])
-def test_join_granularity(spark, granularity, n):
-    _, _, orders, customers = tables(spark, granularity)
-    at = orders.join(customers, "cid").trace("oid = 'o8'")
-    assert at.go_back(0).show().count() == n
-    assert rows(at.go_back(1).show()) == [("c2", "Bo")]
+@pytest.mark.parametrize("granularity", ["exact", "key"])
+def test_join_granularity(spark, granularity):
+    _, _, lent, readers = tables(spark, granularity)
+    loan, reader, _ = next(r for r in LOANS if r[1] in NAMES)
+    at = lent.join(readers, "reader").trace(F.col("loan") == loan)
+    want = [r for r in LOANS if (r[0] == loan if granularity == "exact" else r[1] == reader)]
+    assert rows(at.go_back(0).show()) == sorted(want)
+    assert rows(at.go_back(1).show()) == [(reader, NAMES[reader])]
+    assert at.go_back(0).go_next().show_json is not None
 
 
 def test_join_then_aggregate_and_back(spark):
-    _, _, orders, customers = tables(spark)
-    at = orders.join(customers, "cid").group_by("name").agg(F.sum("amount").alias("total")).trace("name = 'Bo'")
+    _, _, lent, readers = tables(spark)
+    at = lent.join(readers, "reader").group_by("name").agg(F.sum("days").alias("total")).trace("name = 'reader 2'")
     left = at.go_back().go_back(0)
-    assert {r.oid for r in left.show().collect()} == {"o2", "o5", "o8", "o11"}
+    assert rows(left.show()) == sorted(r for r in LOANS if r[1] == "r2") != []
     assert left.go_next().go_next().collect_ids() == at.collect_ids()
     assert [n for n, _ in at.all_sources()] == ["values", "values"]
+    assert rows(at.go_back_all().show()) == rows(left.show()) and at.go_back_all().go_next_all().collect_ids() == at.collect_ids()
 
 
 def test_outer_semi_anti(spark):
-    _, _, orders, customers = tables(spark)
-    alone = orders.join(customers, "cid", "left").trace("name is null")
-    assert rows(alone.go_back(0).show("oid")) == [("o13",)] and alone.go_back(1).show().count() == 0
-    semi = orders.join(customers, "cid", "semi").trace("oid = 'o1'")
-    assert rows(semi.go_back(1).show("name")) == [("Ann",)]
-    anti = orders.join(customers, "cid", "anti").trace()
-    assert rows(anti.go_back(0).show("oid")) == [("o13",)] and anti.go_back(1).collect_ids() == []
-    assert anti.go_back(0).go_next().collect_ids() == anti.collect_ids()
+    _, _, lent, readers = tables(spark)
+    strangers = sorted(r for r in LOANS if r[1] not in NAMES)
+    alone = lent.join(readers, "reader", "left").trace("name is null")
+    assert rows(alone.go_back(0).show()) == strangers != [] and alone.go_back(1).show().count() == 0
+    never = lent.join(readers, "reader", "right").trace("loan is null")
+    assert rows(never.go_back(1).show("reader")) == sorted((r,) for r in NAMES if r not in {x[1] for x in LOANS}) and never.go_back(0).collect_ids() == []
+    loan, reader, _ = next(r for r in LOANS if r[1] in NAMES)
+    semi = lent.join(readers, "reader", "semi").trace(F.col("loan") == loan)
+    assert rows(semi.go_back(1).show()) == [(reader, NAMES[reader])] and rows(semi.go_back(0).show("loan")) == [(loan,)]
+    anti = lent.join(readers, "reader", "anti").trace()
+    assert rows(anti.go_back(0).show()) == strangers and anti.go_back(1).collect_ids() == []
+    assert sorted(anti.go_back(0).go_next().collect_ids()) == sorted(anti.collect_ids())
 
 
 def test_null_join_keys_find_no_partner(spark):
@@ -89,62 +103,121 @@ def test_null_join_keys_find_no_partner(spark):
 
 def test_explode_repeats_ids(spark):
     t = RowTrail(spark)
-    words = t.values([("a b a",), ("b c",)], "line string").explode("w", F.split("line", " ")).group_by("w").count()
-    assert rows(words.trace("w = 'b'").go_back().show()) == [("a b a",), ("b c",)]
-    assert rows(words.trace("w = 'a'").go_back().show()) == [("a b a",)]
+    words = t.values([("x y x",), ("y z",)], "line string").explode("w", F.split("line", " ")).group_by("w").count()
+    assert rows(words.trace("w = 'y'").go_back().show()) == [("x y x",), ("y z",)]
+    assert rows(words.trace("w = 'x'").go_back().show()) == [("x y x",)]
 
 
 def test_rollup_keeps_totals_and_null_groups_apart(spark):
-    t = RowTrail(spark)
-    rolled = t.values([(None, 1), ("x", 2), ("x", 3)], "k string, v int").rollup("k").agg(F.sum("v").alias("s"), F.grouping_id().alias("g"))
-    assert rows(rolled.trace("g = 1").go_back().show("v")) == [(1,), (2,), (3,)]
-    assert rows(rolled.trace("g = 0 and k is null").go_back().show("v")) == [(1,)]
+    _, seen, _, _ = tables(spark)
+    rolled = seen.rollup("shop").agg(F.sum("spent").alias("s"), F.grouping_id().alias("g"))
+    assert rolled.trace("g = 1").go_back().show().count() == len(VISITS)
+    assert rows(rolled.trace("g = 0 and shop is null").go_back().show()) == of_shop(None)
 
 
 def test_windows_and_topk(spark):
-    _, sales, _, _ = tables(spark)
-    ranked = sales.with_windows(["category"], [F.desc("amount")], r=F.rank())
-    assert ranked.trace("r = 1 and category = 'toys'").go_back().show().count() == 4
-    own = sales.with_windows(["category"], [F.desc("amount")], own_row=True, r=F.rank())
-    assert rows(own.trace("r = 1 and category = 'toys'").go_back().show()) == [("toys", 90)]
-    top = sales.group_by("category").agg(F.sum("amount").alias("s")).top(1, F.desc("s"), keys=["s"])
+    _, seen, _, _ = tables(spark)
+    ranked = seen.with_windows(["shop"], [F.desc("spent")], r=F.rank())
+    assert rows(ranked.trace((F.col("r") == 1) & (F.col("shop") == BUSY)).go_back().show()) == of_shop(BUSY)
+    own = seen.with_windows(["shop"], [F.desc("spent")], own_row=True, r=F.rank())
+    most = max(v for _, v in of_shop(BUSY))
+    assert rows(own.trace((F.col("r") == 1) & (F.col("shop") == BUSY)).go_back().show()) == [r for r in of_shop(BUSY) if r[1] == most]
+    top = seen.where("shop is not null").group_by("shop").agg(F.sum("spent").alias("s")).top(1, F.desc("s"), "shop", keys=["s"])
     at = top.trace()
-    assert at.go_back().go_back().show().count() == 4
+    assert rows(at.go_back().go_back().show()) == of_shop(BUSY)
     assert at.go_back().go_back().go_next().go_next().collect_ids() == at.collect_ids()
 
 
+def test_window_over_all_rows_and_frames(spark):
+    _, seen, _, _ = tables(spark)
+    everyone = seen.with_windows([], [F.desc("spent")], r=F.row_number())
+    assert everyone.trace("r = 1").go_back().show().count() == len(VISITS)
+    framed = seen.with_windows(["shop"], ["spent"], own_row=True, running=lambda w: F.sum("spent").over(w.rowsBetween(-1, 0)))
+    assert framed.trace(F.col("shop") == BUSY).go_back().show().count() == len(of_shop(BUSY))
+
+
 def test_union_branches(spark):
-    t, sales, _, _ = tables(spark)
-    more = t.values([("toys", 1)], "c string, n int")
-    both = sales.union(more)
-    at = both.trace("category = 'toys' and amount = 1")
-    assert at.go_back(0).collect_ids() == [] and rows(at.go_back(1).show()) == [("toys", 1)]
-    total = both.group_by("category").agg(F.sum("amount").alias("s")).trace("category = 'toys'")
-    assert total.go_back().go_back(0).show().count() == 4 and total.go_back().go_back(1).show().count() == 1
+    t, seen, _, _ = tables(spark)
+    more = t.values([(BUSY, 1)], "c string, n int")
+    both = seen.union(more)
+    at = both.trace(f"shop = '{BUSY}' and spent = 1")
+    assert at.go_back(0).collect_ids() == [] and rows(at.go_back(1).show()) == [(BUSY, 1)]
+    total = both.group_by("shop").agg(F.sum("spent").alias("s")).trace(F.col("shop") == BUSY)
+    assert rows(total.go_back().go_back(0).show()) == of_shop(BUSY) and total.go_back().go_back(1).show().count() == 1
     assert total.go_back().go_back(1).go_next().go_next().collect_ids() == total.collect_ids()
+    once = both.distinct().trace(f"shop = '{BUSY}' and spent = 1").go_back()
+    assert once.go_back(0).collect_ids() == [] and rows(once.go_back(1).show()) == [(BUSY, 1)]
 
 
 def test_set_operations(spark):
     t = RowTrail(spark)
-    a, b = t.values([(1,), (1,), (2,)], "v int"), t.values([(1,), (3,)], "v int")
+    a, b = t.values([(4,), (4,), (6,)], "v int"), t.values([(4,), (9,)], "v int")
     assert a.intersect(b).trace().go_back(0).show().count() == 2
     assert a.subtract(b).trace().go_back(0).show().count() == 1 and a.subtract(b).trace().go_back(1).collect_ids() == []
-    assert rows(a.except_all(b).result) == [(1,), (2,)]
+    assert rows(a.except_all(b).result) == [(4,), (6,)]
+    assert a.intersect_all(b).trace().go_back(1).show().count() == 1 and a.except_all(b).trace("v = 4").go_back(0).show().count() == 2
+
+
+def test_sorts_limits_and_samples_keep_ids(spark):
+    _, seen, _, _ = tables(spark)
+    assert rows(seen.order_by(F.desc("spent")).trace("spent > 80").show()) == sorted((r for r in VISITS if r[1] > 80), key=repr)
+    some = seen.limit(7)
+    assert rows(some.trace().show()) == rows(some.result) and some.result.count() == 7
+    part = seen.sample(0.5, 3).stored()
+    assert rows(part.trace().show()) == rows(part.result)
+    assert rows(seen.repartition(3, "shop").trace(F.col("shop") == BUSY).show()) == of_shop(BUSY)
+
+
+def test_cursors_meet_and_move_along(spark):
+    _, seen, _, _ = tables(spark)
+    shops = seen.group_by("shop").agg(F.max("spent").alias("most"), F.count(F.lit(1)).alias("n"))
+    low, high = shops.trace(), shops.trace(F.col("shop") == BUSY)
+    assert low.intersection(high).collect_ids() == high.collect_ids()
+    with pytest.raises(TraceError):
+        low.intersection(high.go_back())
+    assert rows(shops.backward(F.col("shop") == BUSY)) == of_shop(BUSY)
+    assert len(high.go_back().show_json().collect()) == len(of_shop(BUSY)) and BUSY in high.go_back().show_json().first().json
+
+
+def test_exports(spark, tmp_path):
+    _, _, lent, readers = tables(spark)
+    at = lent.join(readers, "reader").trace("days > 40")
+    at.save_csv(str(tmp_path / "ids"))
+    assert spark.read.csv(str(tmp_path / "ids"), header=True).count() == len(at.collect_ids())
+    at.save_associations_csv(str(tmp_path / "pairs"), branch=1)
+    pairs = spark.read.csv(str(tmp_path / "pairs"), header=True)
+    assert pairs.columns == ["output", "input"] and pairs.count() == len(at.collect_ids())
 
 
 def test_opaque_operators_are_refused(spark):
-    _, sales, _, _ = tables(spark)
+    _, seen, _, _ = tables(spark)
+    kind = "shop string, spent int"
     with pytest.raises(UnsupportedOperatorError):
-        sales.map_in_pandas(lambda it: it, "category string, amount int")
-    assert sales.map_in_pandas(lambda it: it, "category string, amount int", "all").trace().go_back().show().count() == len(SALES)
+        seen.map_in_pandas(lambda it: it, kind)
+    assert seen.map_in_pandas(lambda it: it, kind, "all").trace().go_back().show().count() == len(VISITS)
+    doubled = seen.apply_in_pandas(["shop"], lambda pdf: pdf.assign(spent=pdf.spent.sum())[:1], kind)
+    assert rows(doubled.trace(F.col("shop") == BUSY).go_back().show()) == of_shop(BUSY)
+    assert rows(doubled.result) == sorted(((s, sum(v for t, v in VISITS if t == s)) for s in {s for s, _ in VISITS}), key=repr)
 
 
 def test_collect_with_lineage_and_graph(spark):
-    _, sales, _, _ = tables(spark)
-    groups = sales.group_by("category").agg(F.sum("amount").alias("s"))
-    (row, id_), *_ = [x for x in groups.collect_with_lineage() if x[0].category == "toys"]
-    assert row.s == 280 and groups.trace_ids([id_]).go_back().show().count() == 4
-    assert groups.graph() == "aggregate\n  source values"
+    _, seen, _, _ = tables(spark)
+    groups = seen.group_by("shop").agg(F.sum("spent").alias("s"))
+    (row, id_), *_ = [x for x in groups.collect_with_lineage() if x[0].shop == BUSY]
+    assert row.s == sum(v for _, v in of_shop(BUSY)) and rows(groups.trace_ids([id_]).go_back().show()) == of_shop(BUSY)
+    assert groups.graph() == "aggregate\n  source values" and id_ in groups.result_ids()
+
+
+def test_release_drops_what_was_written(spark):
+    t = RowTrail(spark)
+    seen = t.values(VISITS, "shop string, spent int")
+    assert t.size() > 0
+    top = seen.top(3, F.desc("spent"), "shop")
+    before = t.size()
+    top.release()
+    assert t.size() < before
+    t.release()
+    assert t.size() == 0
 
 
 def test_parquet_ids_survive_pushdown(spark, tmp_path):
@@ -157,6 +230,27 @@ def test_parquet_ids_survive_pushdown(spark, tmp_path):
     assert "EqualTo(id,7)" in plan
 
 
+@pytest.mark.parametrize("kind", ["csv", "json", "orc", "text"])
+def test_other_formats(spark, tmp_path, kind):
+    t, path = RowTrail(spark), str(tmp_path / kind)
+    frame = spark.createDataFrame([(f"{s},{v}",) for s, v in VISITS], "value string") if kind == "text" else spark.createDataFrame(VISITS, "shop string, spent int")
+    frame.repartition(3).write.format(kind).save(path)
+    read = {"csv": lambda: t.csv(path, "shop string, spent int"), "json": lambda: t.json(path, "shop string, spent int"), "orc": lambda: t.orc(path), "text": lambda: t.text(path)}[kind]()
+    if kind == "text":
+        read = read.select(F.split("value", ",")[0].alias("shop"), F.split("value", ",")[1].cast("int").alias("spent"))
+    total = read.group_by("shop").agg(F.sum("spent").alias("s")).trace(F.col("shop") == BUSY)
+    assert total.go_back().show().count() == len(of_shop(BUSY))
+
+
+def test_join_traces_need_no_second_join(spark, tmp_path):
+    for name, made in (("loans", spark.createDataFrame(LOANS, "loan string, reader string, days int")), ("readers", spark.createDataFrame(READERS, "reader string, name string"))):
+        made.write.parquet(str(tmp_path / name))
+    t = RowTrail(spark)
+    at = t.parquet(str(tmp_path / "loans")).join(t.parquet(str(tmp_path / "readers")), "reader").trace("days > 40")
+    plan = at.go_back(0).ids._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+
+
 def test_empty_tables(spark):
     t = RowTrail(spark)
     none = t.values([], "k string, v int")
