@@ -12,7 +12,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, text_of
+from .common import scratch_path, text_of, written
+
+#: Digests that a bucket of a full index should hold, about 250 MB of them.
+BUCKET_DIGESTS = 4_000_000
+LEAST_BUCKETS = 16
 
 
 def digest(text_col: str = "text") -> Column:
@@ -20,15 +24,21 @@ def digest(text_col: str = "text") -> Column:
     return F.unhex(F.sha2(F.encode(text_of(text_col), "UTF-8"), 256))
 
 
+def buckets_for(rows: int) -> int:
+    """Buckets for an index over a corpus of so many rows."""
+    return max(LEAST_BUCKETS, -(-rows // BUCKET_DIGESTS))
+
+
 class DigestIndex:
     """Digests with the key of the row that stays and the number of rows seen in its batch.
 
     ``path`` is a folder that outlives the session; opening it again finds the
     digests of earlier batches. ``buckets`` is fixed when the index is made and
-    should grow with the corpus it is meant for.
+    should fit the corpus it is meant for (``buckets_for``). The table's name lives
+    in the session's catalogue until ``close()``; the folder stays.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64, key_type: str = "bigint"):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = LEAST_BUCKETS, key_type: str = "bigint"):
         self.spark, self.buckets = spark, buckets
         self.path = path or scratch_path(spark, "digest-index")
         self.table = f"digest_index_{uuid.uuid4().hex}"
@@ -45,6 +55,10 @@ class DigestIndex:
         fresh.write.mode("append").insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
 
+    def close(self) -> None:
+        """Take the table out of the catalogue."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
 
 def deduplicate(docs: DataFrame, index: DigestIndex, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Append a batch to the index and tell for each of its rows whether it stays.
@@ -54,10 +68,23 @@ def deduplicate(docs: DataFrame, index: DigestIndex, key: str = "doc_id", text_c
     text: then the earlier row does and all rows of the batch go. ``group_size``
     counts the rows of the batch in which the text came first. Rows with a null
     key stay only where no other row has their text; rows repeated with the same
-    key count as copies that share one fate. An empty table changes nothing.
+    key count as copies that share one fate. An empty table changes nothing. The
+    result does not need the index any more.
     """
     rows = docs.select(F.col(key), digest(text_col).alias("digest"))
-    index.append(rows.groupBy("digest").agg(F.max(key).alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
-    return rows.join(index.read().hint("merge"), "digest").select(
+    batch = written(rows.groupBy("digest").agg(F.max(key).alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "batch-digests")
+    index.append(batch)
+    # one row for each text of the batch, written, so that Spark can split a text with very many rows
+    fates = written(batch.select("digest").join(index.read().hint("merge"), "digest"), "batch-fates")
+    return rows.join(fates, "digest").select(
         key, "keep_id", "group_size", F.col(key).eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
+
+
+def deduplicate_once(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same with a new index, made for the number of rows of ``docs``."""
+    index = DigestIndex(docs.sparkSession, buckets=buckets_for(docs.count()), key_type=docs.schema[key].dataType.simpleString())
+    try:
+        return deduplicate(docs, index, key, text_col)
+    finally:
+        index.close()

@@ -55,7 +55,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.deduplicate(documents(spark, sf_dir, "doc_id", "text"), exact_dedup.DigestIndex(spark))
+    return exact_dedup.deduplicate_once(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
