@@ -6,20 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..sources.scratch import scratch_path
+from ..sources import scratch
+from ..sources.scratch import dropped, scratch_path  # noqa: F401
 
 #: A word is a longest run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared scratch folder and read it back.
+    """Write ``df`` to the shared scratch folder, tightly packed, and read it back.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return scratch.written(df, name, compression="zstd")
 
 
 def extended(schema: StructType, ddl: str) -> StructType:

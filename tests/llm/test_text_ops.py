@@ -108,6 +108,9 @@ def test_exact_dedup(docs, spark):
     again = exact_dedup.DigestIndex(spark, index.path, buckets=4)
     assert again.read().count() == index.read().count() == len({t or "" for _, t, *_ in ROWS}) + 1
     assert exact_dedup.deduplicate(docs.limit(0), exact_dedup.DigestIndex(spark, buckets=2)).count() == 0
+    before = {t.name for t in spark.catalog.listTables()}
+    assert rows(exact_dedup.deduplicate_once(docs)) == rows(got) and {t.name for t in spark.catalog.listTables()} == before
+    assert exact_dedup.buckets_for(10) == exact_dedup.LEAST_BUCKETS and exact_dedup.buckets_for(10**11) == 25_000
 
 
 def test_language_id(spark):
@@ -154,7 +157,7 @@ def test_lm_base_scores_and_filter(docs):
 def test_count_filter_reads_levels_back():
     grams = np.unique(lm.mixed(np.arange(5000, dtype=np.uint64)))
     counts = np.arange(1, len(grams) + 1) % 50 + 1
-    bits, size = lm.filled(grams, counts, 1 << 24)
+    bits, size = lm.filled(grams, counts)
     model = lm.CountFilter([(0, bits, size)], 1)
     level = 1 + np.floor(np.log2(counts)).astype(int)
     assert (model.levels(grams) >= level).all() and (model.levels(grams) == level).mean() > 0.95
@@ -197,14 +200,31 @@ def test_flow_prefers_fresh_tokens_and_reroutes():
 def test_lm_slices_keep_their_bits_at_any_number_of_slices(spark):
     """A slice's part of the filter must not shrink as the corpus and so the slices grow."""
     texts = [(i, True, " ".join(f"w{i * 20 + k}" for k in range(20))) for i in range(300)]
-    asked = (1000, False, " ".join(f"w{k * 37 % 6000}" for k in range(2000)))
-    docs = spark.createDataFrame([*texts, asked], "doc_id long, train boolean, text string").coalesce(1)
-    table = lm.gathered(docs, 1).where("kind = 'gram'").toArrow()
-    (row,) = lm.reduced("gram", 0, table, 1 << 26).to_pylist()
-    levels = lm.unpack(row["a"], np.uint8)
-    wanted = lm.unplaned(table.to_pylist()[0]["b"], np.int32)
-    assert (levels >= (wanted > 0)).all() and (wanted == 0).sum() > 1900
-    assert (levels[wanted == 0] > 0).mean() < 0.06
+    wanted = (1000, False, " ".join(f"w{k * 37 % 6000}" for k in range(2000)))
+    docs = spark.createDataFrame([*texts, wanted], "doc_id long, train boolean, text string").coalesce(1)
+    table = lm.asked(lm.tokenised(docs), 1).where("kind = 'gram'").toArrow()
+    (row,) = lm.reduced("gram", 0, table, lm.BITS).to_pylist()
+    levels, counts = lm.unpack(row["answer"], np.uint8), lm.unplaned(table.to_pylist()[0]["counts"], np.int32)
+    assert (levels >= (counts > 0)).all() and (counts == 0).sum() > 1900
+    assert (levels[counts == 0] > 0).mean() < 0.06
+
+
+def test_lm_scores_by_brute_force(docs):
+    """With ample bits the filter holds the quantised counts, so the model's score can be worked out by hand."""
+    train = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(False))
+    got = lm.score(docs, train, bits=4000).collect()
+    tokens = [(d, (t or "").encode().lower().split() + [b""]) for d, t, *_ in ROWS]
+    single, pair = collections.Counter(), collections.Counter()
+    for d, ws in tokens:
+        if d is not None and d % 3:
+            single.update(ws)
+            pair.update(zip([b"", *ws], ws, strict=False))
+    whole = sum(single.values()) + len(single) + 1
+    middle = lambda n: 0 if not n else (3 * 2 ** math.floor(math.log2(n)) - 1) / 2
+    follows = lambda a, b: min(1, middle(pair[a, b]) / max(1, middle(single[a])))
+    log = lambda a, b: math.log10(lm.WEIGHT * follows(a, b) + (1 - lm.WEIGHT) * min(1, (middle(single[b]) + 1) / whole))
+    want = sorted(((d, round(sum(log(a, b) for a, b in zip([b"", *ws], ws, strict=False)), 5)) for d, ws in tokens), key=repr)
+    assert sorted(((r.doc_id, round(r.score, 5)) for r in got), key=repr) == want
 
 
 def test_mixing_passes_over_documents_that_do_not_fit(spark):
