@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import extended, words_of, written
+from .common import dropped, extended, words_of, written
 
 #: The chance that banding misses a pair that is exactly as similar as the threshold.
 MISS = 1e-6
@@ -155,19 +155,24 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(id, root) of every linked id: the least id that it reaches.
 
     Alternately hangs the larger and the smaller neighbours of each id on its least
-    neighbour, until nothing changes; then all hang on the roots. Each round is
-    written, so a lost executor costs one round at most.
+    neighbour, until nothing changes; then all hang on the roots. Each step is
+    written, so a lost executor costs one step at most, and a step's tables go when
+    the next is there. The least neighbours are written too: both sides of the join
+    with them are plain tables, so Spark can split an id with very many neighbours.
     """
 
     def hung(edges: DataFrame, larger: bool) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        least = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), f"{name}-least")
         near = both.join(least, "a")
         if larger:
             moved = near.where("b > a").select("m", "b")
         else:
             moved = near.where("b < a").select("m", "b").union(least.select("m", F.col("a").alias("b")))
-        return moved.select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        out = written(moved.select(F.col("m").alias("a"), "b").where("a <> b").distinct(), name)
+        dropped(least)
+        dropped(edges)
+        return out
 
     def print_of(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -175,7 +180,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), name)
     before = print_of(edges)
     while True:
-        edges = written(hung(hung(edges, True), False), name)
+        edges = hung(hung(edges, True), False)
         now = print_of(edges)
         if now == before:
             return edges.select(F.col("b").alias("id"), F.col("a").alias("root"))
