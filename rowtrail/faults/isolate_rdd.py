@@ -41,9 +41,9 @@ def stored(rdd: RDD, name: str) -> RDD:
 
 
 def sources_reached(cursor: RddCursor, source: TracedRDD) -> list[RDD]:
-    """The ids at ``source`` over every path that leads there; narrow operators share their input's place in the tree."""
+    """The ids at ``source`` over every path that leads there; narrow operators share their input's root."""
     if cursor.at_source:
-        return [cursor.ids] if cursor.at.origin is source.origin else []
+        return [cursor.ids] if cursor.at.root is source.root else []
     return [found for i in range(len(cursor.at.parents)) for found in sources_reached(cursor.go_back(i), source)]
 
 

@@ -155,6 +155,22 @@ class Traced:
             rows = left.join(right, condition, kind).withColumn(ID, pair).drop("__l", "__r")
         return self._opened(rows, Joined((self, other), rows.select(ID), kind, names, matches, self.granularity))
 
+    def exists(self, other: Traced, on: str | Sequence[str] | Column, name: str = "exists") -> Traced:
+        """Every row, with a flag ``name``: whether ``other`` has a partner for it (EXISTS or IN inside an expression).
+
+        The right witnesses of a flagged row are its partners; a row without any has none.
+        """
+        names = [on] if isinstance(on, str) else list(on) if not isinstance(on, Column) else []
+        left, right = self.df.withColumnRenamed(ID, "__l"), other.df.withColumnRenamed(ID, "__r")
+        matches = left.join(right, names or on).select(F.struct(F.col("__l").alias("l"), F.col("__r").alias("r")).alias(ID))
+        if names:  # one join: keys that are null on either side find no partner
+            known = right.select(*names).dropna().distinct().withColumn("__known", F.lit(True))
+            rows = left.join(known, names, "left").withColumn(name, F.col("__known").isNotNull()).drop("__known")
+        else:
+            rows = left.join(right, on, "left_semi").withColumn(name, F.lit(True)).unionByName(left.join(right, on, "left_anti").withColumn(name, F.lit(False)))
+        rows = rows.withColumn(ID, F.struct(F.col("__l").alias("l"))).drop("__l")
+        return self._opened(rows, Joined((self, other), rows.select(ID), "left_semi", names, matches, self.granularity))
+
     def cross_join(self, other: Traced) -> Traced:
         return self.join(other, F.lit(True))
 

@@ -7,7 +7,7 @@ ids are the keys themselves, and a step back or forth is a semi-join.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark import RDD, SparkContext
@@ -31,6 +31,12 @@ class RddCursor:
         """The records with the chosen ids; also at levels between result and source."""
         return among(self.at.rdd, self.ids).values()
 
+    def show_source(self) -> RDD:
+        """The source's own records, as they were before any narrow operator."""
+        if not self.at_source:
+            raise TraceError("only at a source")
+        return among(self.at.root.rdd, self.ids).values()
+
     def filter(self, predicate: Callable[[Any], bool]) -> RddCursor:
         """Only those chosen records for which the predicate holds."""
         kept = among(self.at.rdd, self.ids).filter(lambda r: predicate(r[1])).keys().distinct()
@@ -92,13 +98,17 @@ def among(pairs: RDD, ids: RDD) -> RDD:
 class TracedRDD:
     """``rdd`` holds (id, value). ``parents`` are empty at a source; ``link`` gives (own id, parent's id) pairs.
 
-    ``origin`` is the same for all that narrow operators make of one source or level.
+    ``root`` is the source or level from which narrow operators made this one.
     """
 
     rdd: RDD
     parents: tuple[TracedRDD, ...] = ()
     link: Callable[[int], RDD] | None = None
-    origin: object = field(default_factory=object)
+    origin: TracedRDD | None = None
+
+    @property
+    def root(self) -> TracedRDD:
+        return self.origin or self
 
     def links(self, branch: int) -> RDD:
         return self.link(branch)
@@ -125,7 +135,7 @@ class TracedRDD:
     # narrow: ids pass through
 
     def _same(self, rdd: RDD) -> TracedRDD:
-        return TracedRDD(rdd, self.parents, self.link, self.origin)
+        return TracedRDD(rdd, self.parents, self.link, self.root)
 
     def map(self, f: Callable) -> TracedRDD:
         return self._same(self.rdd.mapValues(f))

@@ -9,14 +9,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .faults.isolate import isolate_frame
+from .faults import oracles
+from .faults.isolate import isolate_frame, isolate_sql
+from .faults.isolate_rdd import isolate_rdd
 from .harness.coverage import coverage
 from .harness.recall import recalled
 from .operators.traced import Traced
+from .operators.traced_rdd import RddCursor, TracedRDD
 from .session import RowTrail
+from .sources.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -292,7 +296,9 @@ def trace_udf(t):
 
 @query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_nationkey < 5")
 def trace_frame_source(t):
-    cached = t.trail.frame(t.supplier.result.cache(), "cached")
+    held = t.supplier.result.cache()
+    cached = t.trail.frame(held, "cached")
+    held.unpersist()
     return cached.group_by("s_nationkey").count().trace("s_nationkey < 5").go_back().show()
 
 
@@ -363,3 +369,305 @@ def answer_intersect_all(t):
 @query("SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9000 EXCEPT ALL SELECT s_nationkey FROM supplier")
 def answer_except_all(t):
     return t.customer.where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k")).except_all(t.supplier.select("s_nationkey")).result
+
+
+# sorts, limits, windows and set operations beyond the plain ones
+
+
+@query("SELECT * FROM orders WHERE o_totalprice > 390000")
+def trace_global_sort(t):
+    return t.orders.order_by(F.desc("o_totalprice"), "o_orderkey").select("o_orderkey", "o_totalprice").trace("o_totalprice > 390000").show()
+
+
+@query("SELECT * FROM orders ORDER BY o_orderkey LIMIT 30")
+def trace_limit(t):
+    return t.orders.order_by("o_orderkey").limit(30).trace().show()
+
+
+@query("SELECT * FROM supplier WHERE s_nationkey < 6")
+def trace_union_distinct(t):
+    keys = t.customer.select(F.col("c_nationkey").alias("k")).union(t.supplier.select("s_nationkey")).distinct()
+    return keys.trace("k < 6").go_back().go_back(1).show()
+
+
+@query("SELECT * FROM supplier")
+def trace_window_without_partition(t):
+    return t.supplier.with_windows([], [F.desc("s_acctbal"), "s_suppkey"], place=F.row_number()).trace("place = 1").go_back().show()
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM (SELECT *, sum(c_acctbal) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM customer) WHERE running < 0")
+def trace_window_frame(t):
+    framed = t.customer.with_windows(["c_nationkey"], ["c_custkey"], own_row=True, running=lambda w: F.sum("c_acctbal").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return framed.trace("running < 0").go_back().show()
+
+
+@query("SELECT * FROM customer WHERE c_acctbal > 9000 AND c_nationkey IN (SELECT s_nationkey FROM supplier)")
+def trace_intersect_all(t):
+    return t.supplier.select(F.col("s_nationkey").alias("k")).intersect_all(t.customer.where("c_acctbal > 9000").select("c_nationkey")).trace().go_back(1).show()
+
+
+@query("SELECT * FROM customer WHERE c_acctbal > 9000 AND c_nationkey IN (SELECT c_nationkey FROM (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000 EXCEPT ALL SELECT s_nationkey FROM supplier))")
+def trace_except_all(t):
+    return t.customer.where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k")).except_all(t.supplier.select("s_nationkey")).trace().go_back(0).show()
+
+
+# joins and aggregates beyond the plain ones
+
+
+def indebted(t: Tables) -> Traced:
+    poor = t.customer.where("c_acctbal < -900")
+    return t.orders.exists(poor, F.col("o_custkey") == F.col("c_custkey"), "poor")
+
+
+@query("SELECT * FROM orders WHERE o_totalprice > 395000 OR EXISTS (SELECT * FROM customer WHERE c_custkey = o_custkey AND c_acctbal < -900)")
+def trace_existence_join(t):
+    return indebted(t).where("poor or o_totalprice > 395000").trace().go_back(0).show()
+
+
+@query("SELECT * FROM customer WHERE c_acctbal < -900 AND c_custkey IN (SELECT o_custkey FROM orders)")
+def trace_existence_join_right(t):
+    return indebted(t).where("poor or o_totalprice > 395000").trace().go_back(1).show()
+
+
+@query("SELECT * FROM lineitem WHERE l_linestatus = 'O'")
+def trace_approximate_aggregates(t):
+    made = t.lineitem.group_by("l_linestatus").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("middle"), F.stddev_samp("l_tax").alias("spread"))
+    return made.trace("l_linestatus = 'O' and parts > 1").go_back().show()
+
+
+@query("SELECT CASE WHEN p_size < 10 THEN 'small' ELSE 'large' END AS class, count(*) AS n, CAST(sum(CAST(p_retailprice AS DECIMAL(12, 2))) AS DECIMAL(22, 2)) AS price, round(stddev_samp(p_size), 6) AS spread, count(DISTINCT upper(substr(p_name, 1, 1))) AS initials, max(abs(coalesce(p_size, 0) - 25)) AS far FROM part WHERE p_type LIKE '%A%' AND p_size BETWEEN 3 AND 45 GROUP BY 1")
+def answer_functions(t):
+    kept = t.part.where("p_type LIKE '%A%' AND p_size BETWEEN 3 AND 45")
+    return kept.group_by(F.when(F.col("p_size") < 10, "small").otherwise("large").alias("class")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("p_retailprice").cast("decimal(12,2)")).cast("decimal(22,2)").alias("price"), F.round(F.stddev_samp("p_size"), 6).alias("spread"),
+        F.count_distinct(F.upper(F.substring("p_name", 1, 1))).alias("initials"), F.max(F.abs(F.coalesce("p_size", F.lit(0)) - 25)).alias("far"),
+    ).result
+
+
+@query("SELECT * FROM orders WHERE o_orderdate + INTERVAL 90 DAY > (SELECT max(o_orderdate) FROM orders) AND o_orderstatus = 'O'")
+def trace_interval(t):
+    last = t.orders.agg(F.max("o_orderdate").alias("last"))
+    recent = t.orders.cross_join(last).where("o_orderdate + INTERVAL 90 DAY > last").group_by("o_orderstatus").count()
+    return recent.trace("o_orderstatus = 'O'").go_back().go_back(0).show()
+
+
+@query("SELECT * FROM customer WHERE c_nationkey = 4")
+def trace_grouped_map(t):
+    def summed(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"c_nationkey": rows.c_nationkey[:1], "total": [rows.c_acctbal.sum()]})
+
+    return t.customer.apply_in_pandas(["c_nationkey"], summed, "c_nationkey int, total double").trace("c_nationkey = 4").go_back().show()
+
+
+@query("SELECT * FROM nation WHERE length(n_name) > 6")
+def trace_python_udf(t):
+    size = F.udf(len, "int")
+    return t.nation.with_column("size", size("n_name")).where("size > 6").select("n_nationkey").trace().show()
+
+
+@query("SELECT DISTINCT c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 398000")
+def forward_through_a_join(t):
+    back = totals(t).trace().go_back().go_back(0)
+    reached = back.where("o_totalprice > 398000").go_next().go_next()
+    return reached.ids.select(F.col("__id.k0").alias("c_mktsegment"))
+
+
+@query("SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
+def associations_of_groups(t):
+    """Pairs of each group with the rows behind it, counted."""
+    pairs = flags(t).trace().associations()
+    return pairs.groupBy(F.col("output.k0").alias("l_returnflag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 350000")
+def export_associations(t):
+    """Pairs of joined rows and customers, written as CSV and read back."""
+    at, path = priced(t).trace("o_totalprice > 350000"), scratch_path(t.trail.spark, "pairs")
+    at.save_associations_csv(path, branch=1)
+    pairs = t.trail.spark.read.csv(path, header=True)
+    return pairs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("input").alias("customers"))
+
+
+# sources in other formats: the table is written in the format and read back as a source
+
+
+def as_files(t: Tables, table: str, kind: str) -> str:
+    path = scratch_path(t.trail.spark, f"{table}-{kind}")
+    getattr(t, table).result.write.format(kind).save(path)
+    return path
+
+
+@query("SELECT * FROM supplier WHERE s_nationkey = 3")
+def trace_csv_source(t):
+    read = t.trail.csv(as_files(t, "supplier", "csv"), "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")
+    return read.group_by("s_nationkey").count().trace("s_nationkey = 3").go_back().show()
+
+
+@query("SELECT * FROM supplier WHERE s_nationkey = 5")
+def trace_json_source(t):
+    read = t.trail.json(as_files(t, "supplier", "json"), "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")
+    return read.group_by("s_nationkey").count().trace("s_nationkey = 5").go_back().show()
+
+
+@query("SELECT * FROM customer WHERE c_nationkey = 6")
+def trace_orc_source(t):
+    return t.trail.orc(as_files(t, "customer", "orc")).group_by("c_nationkey").count().trace("c_nationkey = 6").go_back().show()
+
+
+@query("SELECT DISTINCT p_name AS value FROM part WHERE list_contains(string_split(p_name, ' '), split_part((SELECT max(p_name) FROM part), ' ', 1))")
+def trace_text_source(t):
+    path = scratch_path(t.trail.spark, "lines")
+    t.part.result.select("p_name").write.text(path)
+    words = t.trail.text(path).explode("word", F.split("value", " ")).group_by("word").count()
+    last = t.part.result.agg(F.split(F.max("p_name"), " ")[0].alias("word"))
+    return words.join(t.trail.keyed(last, "word", name="last"), "word").trace().go_back(0).go_back().show().distinct()
+
+
+# fault isolation
+
+
+@query("SELECT * FROM orders WHERE (o_custkey, o_totalprice) IN (SELECT o_custkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS r FROM orders) WHERE r <= 2) AND o_custkey = (SELECT o_custkey FROM (SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS r FROM orders) WHERE r = 2 ORDER BY o_totalprice DESC LIMIT 1)")
+def isolate_two_rows(t):
+    """The two orders that together make a customer's second largest price the largest of all."""
+    second = lambda o: o.group_by("o_custkey").agg(F.get(F.sort_array(F.collect_list("o_totalprice"), False), F.lit(1)).alias("second"))
+    most = second(t.orders).result.agg(F.max("second")).first()[0]
+    return isolate_frame(t.trail, t.orders, second, F.col("second") >= most).culprits
+
+
+@query("SELECT * FROM nation WHERE n_nationkey = 7")
+def isolate_missing(t):
+    """The nation for which a share has no value."""
+    shares = lambda n: n.select("n_regionkey", F.try_divide(F.lit(1.0), F.col("n_nationkey") - 7).alias("share"))
+    return isolate_frame(t.trail, t.nation, shares, oracles.missing("share")).culprits
+
+
+@query("SELECT * FROM supplier WHERE s_acctbal = (SELECT min(s_acctbal) FROM supplier)")
+def isolate_by_sql(t):
+    """The supplier with the least balance, by SQL text over a view."""
+    sql, base = "SELECT s_nationkey, min(s_acctbal) AS least FROM traced_supplier GROUP BY s_nationkey", t.supplier.result
+    base.createOrReplaceTempView("traced_supplier")
+    return isolate_sql(t.trail, "traced_supplier", base, sql, oracles.lowest(t.trail.spark.sql(sql), "least")).culprits
+
+
+@query("SELECT * FROM customer WHERE c_acctbal = (SELECT max(c_acctbal) FROM customer)")
+def isolate_far_from_median(t):
+    """The customer whose balance puts a nation's largest balance furthest from the median of all nations' largest ones."""
+    largest = lambda c: c.group_by("c_nationkey").agg(F.max("c_acctbal").alias("largest"))
+    rows = largest(t.customer).result
+    most, deviation, n = rows.agg(F.max("largest"), F.stddev_pop("largest"), F.count("largest")).first()
+    middle = rows.orderBy("largest").select("largest").offset(n // 2).first()[0]
+    k = (most - middle) / deviation * (1 - 1e-9)
+    above = F.col("largest") > middle
+    return isolate_frame(t.trail, t.customer, largest, oracles.far_from_median(rows, "largest", k) & above).culprits
+
+
+# RDD pipelines over the tables' records
+
+
+def records(t: Tables, table: str, *columns: str) -> TracedRDD:
+    """The rows of some columns as tuples."""
+    return TracedRDD.of(getattr(t, table).result.select(*columns).rdd.map(tuple))
+
+
+def shown(t: Tables, at: RddCursor, schema: str) -> DataFrame:
+    return t.trail.spark.createDataFrame(at.show_source(), schema)
+
+
+ORDER = "o_orderkey long, o_custkey long, o_totalprice double"
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 380000")
+def rdd_filter(t):
+    return shown(t, records(t, "orders", "o_orderkey", "o_custkey", "o_totalprice").filter(lambda r: r[2] > 380000).lineage(), ORDER)
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE list_contains(string_split(p_name, ' '), split_part((SELECT min(p_name) FROM part), ' ', 1))")
+def rdd_word_count(t):
+    parts = records(t, "part", "p_partkey", "p_name")
+    counts = parts.flat_map(lambda r: r[1].split(" ")).map(lambda w: (w, 1)).reduce_by_key(lambda a, b: a + b)
+    first = t.part.result.agg(F.split(F.min("p_name"), " ")[0]).first()[0]
+    return shown(t, counts.lineage(lambda kv: kv[0] == first).go_back(), "p_partkey long, p_name string")
+
+
+def by_customer(t: Tables) -> TracedRDD:
+    return records(t, "orders", "o_orderkey", "o_custkey", "o_totalprice").key_by(lambda r: r[1])
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING sum(o_totalprice) > 3000000)")
+def rdd_aggregate_by_key(t):
+    pairs = records(t, "orders", "o_orderkey", "o_custkey", "o_totalprice").key_by(lambda r: r[1])
+    sums = pairs.aggregate_by_key(0.0, lambda a, r: a + r[2], lambda a, b: a + b)
+    return shown(t, sums.lineage(lambda kv: kv[1] > 3_000_000).go_back(), ORDER)
+
+
+@query("SELECT o_custkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING avg(o_totalprice) > 300000)")
+def rdd_combine_by_key(t):
+    pairs = records(t, "orders", "o_custkey", "o_totalprice")
+    means = pairs.combine_by_key(lambda v: (v, 1), lambda a, v: (a[0] + v, a[1] + 1), lambda a, b: (a[0] + b[0], a[1] + b[1])).map_values(lambda a: a[0] / a[1])
+    return shown(t, means.lineage(lambda kv: kv[1] > 300000).go_back(), "o_custkey long, o_totalprice double")
+
+
+@query("SELECT o_custkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) >= 16)")
+def rdd_group_by_key(t):
+    groups = records(t, "orders", "o_custkey", "o_totalprice").group_by_key()
+    return shown(t, groups.lineage(lambda kv: len(kv[1]) >= 16).go_back(), "o_custkey long, o_totalprice double")
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'HOUSEHOLD'")
+def rdd_distinct(t):
+    segments = records(t, "customer", "c_custkey", "c_mktsegment").map(lambda r: r[1]).distinct()
+    return shown(t, segments.lineage(lambda s: s == "HOUSEHOLD").go_back(), "c_custkey long, c_mktsegment string")
+
+
+def rdd_priced(t: Tables) -> TracedRDD:
+    return records(t, "orders", "o_custkey", "o_totalprice").join(records(t, "customer", "c_custkey", "c_mktsegment"))
+
+
+@query("SELECT o_custkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 385000)")
+def rdd_join_left(t):
+    """With the granularity of the key: all orders of the customer."""
+    return shown(t, rdd_priced(t).lineage(lambda kv: kv[1][0] > 385000).go_back(0), "o_custkey long, o_totalprice double")
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 385000)")
+def rdd_join_right(t):
+    return shown(t, rdd_priced(t).lineage(lambda kv: kv[1][0] > 385000).go_back(1), "c_custkey long, c_mktsegment string")
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def rdd_left_outer_join(t):
+    large = records(t, "orders", "o_custkey", "o_totalprice").filter(lambda r: r[1] > 300000)
+    joined = records(t, "customer", "c_custkey", "c_mktsegment").left_outer_join(large)
+    return shown(t, joined.lineage(lambda kv: kv[1][1] is None).go_back(0), "c_custkey long, c_mktsegment string")
+
+
+@query("SELECT s_nationkey, s_suppkey FROM supplier WHERE s_nationkey IN (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) > 65)")
+def rdd_cogroup(t):
+    groups = records(t, "supplier", "s_nationkey", "s_suppkey").cogroup(records(t, "customer", "c_nationkey", "c_custkey"))
+    return shown(t, groups.lineage(lambda kv: len(kv[1][1]) > 65).go_back(0), "s_nationkey int, s_suppkey long")
+
+
+@query("SELECT s_nationkey AS nation, s_acctbal AS balance FROM supplier WHERE s_acctbal > 9000")
+def rdd_union(t):
+    both = records(t, "customer", "c_nationkey", "c_acctbal").union(records(t, "supplier", "s_nationkey", "s_acctbal"))
+    return shown(t, both.lineage(lambda r: r[1] > 9000).go_back(1), "nation int, balance double")
+
+
+@query("SELECT c_nationkey, c_acctbal FROM customer WHERE c_nationkey < 2")
+def rdd_sort_by_key(t):
+    sums = records(t, "customer", "c_nationkey", "c_acctbal").reduce_by_key(lambda a, b: a + b).sort_by_key()
+    return shown(t, sums.lineage(lambda kv: kv[0] < 2).go_back(), "c_nationkey int, c_acctbal double")
+
+
+@query("SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal > 9950")
+def rdd_forward(t):
+    sums = records(t, "customer", "c_nationkey", "c_acctbal").reduce_by_key(lambda a, b: a + b)
+    reached = sums.lineage().go_back().filter(lambda r: r[1] > 9950).go_next()
+    return t.trail.spark.createDataFrame(reached.ids.map(lambda k: (k,)), "c_nationkey int")
+
+
+@query("SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders)")
+def isolate_rdd_maximum(t):
+    """The order that makes a customer's largest price the largest of all, over an RDD job."""
+    found = isolate_rdd(records(t, "orders", "o_custkey", "o_totalprice"), lambda s: s.reduce_by_key(max), oracle=oracles.rdd_highest(lambda kv: kv[1]))
+    return t.trail.spark.createDataFrame(found.culprits, "o_custkey long, o_totalprice double")
