@@ -45,12 +45,13 @@ def coded(text: str) -> np.ndarray:
 
 
 def grams(codes: np.ndarray) -> np.ndarray:
-    """The n-grams of one to three signs as numbers, without the lone border."""
+    """The n-grams of one to three signs as numbers, without the lone border and without those that run from one text into the next."""
     if not len(codes):
         return codes
     two = codes[:-1] << np.uint64(21) | codes[1:]
+    inside = two != (BORDER << np.uint64(21) | BORDER)
     three = two[:-1] << np.uint64(21) | codes[2:]
-    return np.concatenate((codes[codes != BORDER], two[two != (BORDER << np.uint64(21) | BORDER)], three))
+    return np.concatenate((codes[codes != BORDER], two[inside], three[inside[:-1] & inside[1:]]))
 
 
 def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,14 +126,13 @@ class Places:
 
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", size: int = PROFILE_SIZE) -> DataFrame:
-    """All columns of ``docs``, ``lang_pred`` and ``score``.
+    """All columns of ``docs``, ``lang_pred`` and ``score``; columns of ``docs`` with these names are replaced.
 
     ``lang_pred`` is the language at the least distance (ties: the lesser name), or
     ``und`` with score 0 where the text is null or has no letter. ``score`` is 1 for
     identical lists and 0 for lists that share nothing. Only the text is looked at.
     """
-    if {"lang_pred", "score"} & set(docs.columns):
-        raise ValueError("docs clashes with the columns that predict() adds")
+    docs = docs.drop("lang_pred", "score")
     schema = extended(docs.schema, "lang_pred string, score double")
     place = docs.columns.index(text_col)
 

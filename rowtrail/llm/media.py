@@ -102,48 +102,89 @@ class Stream:
     access_points: list[int] = field(default_factory=list)  #: payload offsets of the random access points
 
 
+class CorruptStreamError(ValueError):
+    """Bytes that are no transport stream, or one without the tables that reading it needs."""
+
+
+def table_of(section_: bytes) -> bytes | None:
+    """A whole section without its checksum; None as long as bytes are missing."""
+    if len(section_) < 3 or len(section_) < (size := 3 + ((section_[1] & 15) << 8 | section_[2])):
+        return None
+    if crc32_mpeg(section_[:size]):
+        raise CorruptStreamError("a table's checksum is wrong")
+    return section_[: size - 4]
+
+
+def program_map(pat: bytes) -> int | None:
+    """The packet id of the first program's map; number 0 is the network's table."""
+    for at in range(8, len(pat) - 3, 4):
+        if pat[at] or pat[at + 1]:
+            return (pat[at + 2] & 31) << 8 | pat[at + 3]
+    return None
+
+
+def first_stream(pmt: bytes) -> int | None:
+    """The packet id of the first elementary stream; descriptors are skipped."""
+    at = 12 + ((pmt[10] & 15) << 8 | pmt[11])
+    return (pmt[at + 1] & 31) << 8 | pmt[at + 2] if at + 5 <= len(pmt) else None
+
+
 def demux(media: bytes) -> Stream:
-    """Read a stream: tables first, then the first elementary stream of the first program."""
+    """Read a stream: tables first, then the first elementary stream of the first program.
+
+    Tables may span packets. Packets without payload, of other streams and repeated
+    ones are passed over; a jump of the counter counts as a loss unless the packet
+    announces it. PES packets may lack a length or a timestamp.
+    """
     if len(media) % PACKET:
-        raise ValueError("not a whole number of packets")
-    out, map_pid, data_pid, expected, units, current, length = Stream(), None, None, None, [], [], 0
+        raise CorruptStreamError("not a whole number of packets")
+    out, map_pid, data_pid, last = Stream(), None, None, None
+    sections: dict[int, bytearray] = {}
+    parts: list[bytes] = []
+    length, open_ = 0, False
     for at in range(0, len(media), PACKET):
         packet = media[at : at + PACKET]
         if packet[0] != SYNC:
-            raise ValueError(f"no sync byte at {at}")
+            raise CorruptStreamError(f"no sync byte at {at}")
         out.packets += 1
         pid, start, control, counter = (packet[1] & 31) << 8 | packet[2], packet[1] & 0x40, packet[3] >> 4 & 3, packet[3] & 15
-        access, body = False, packet[4:] if control & 1 else b""
-        if control & 2:
-            access = bool(packet[4] and packet[5] & 0x40)
-            body = packet[5 + packet[4] :] if control & 1 else b""
-        if pid == PAT_PID or pid == map_pid:
-            table = body[1 + body[0] :]
-            size = (table[1] & 15) << 8 | table[2]
-            if crc32_mpeg(table[: 3 + size]):
-                raise ValueError("a table's checksum is wrong")
-            if pid == PAT_PID:
-                map_pid = (table[10] & 31) << 8 | table[11]
-            else:
-                skip = 12 + ((table[10] & 15) << 8 | table[11])
-                data_pid = (table[skip + 1] & 31) << 8 | table[skip + 2]
+        if not control & 1:
+            continue
+        flags = packet[5] if control & 2 and packet[4] else 0
+        body = packet[5 + packet[4] :] if control & 2 else packet[4:]
+        if pid in (PAT_PID, map_pid):
+            if start:
+                sections[pid] = bytearray(body[1 + body[0] :])
+            elif pid in sections:
+                sections[pid] += body
+            table = table_of(bytes(sections.get(pid, b"")))
+            if table is not None:
+                del sections[pid]
+                if pid == PAT_PID:
+                    map_pid = program_map(table)
+                else:
+                    data_pid = first_stream(table)
         elif pid == data_pid:
-            if expected is not None and counter != expected:
-                out.lost += 1
-            expected = counter + 1 & 15
+            if last is not None:
+                if (counter, body) == last:
+                    continue
+                out.lost += counter != last[0] + 1 & 15 and not flags & 0x80
+            last = counter, body
             if start:
-                if current:
-                    units.append(b"".join(current))
-                if access:
+                if body[:3] != b"\0\0\1":
+                    raise CorruptStreamError(f"no PES packet at {at}")
+                if flags & 0x40:
                     out.access_points.append(length)
-                t = body[9:14]
-                out.timestamps.append((t[0] & 14) << 29 | t[1] << 22 | (t[2] & 254) << 14 | t[3] << 7 | t[4] >> 1)
-                current = [body[9 + body[8] :]]
-                length += (body[4] << 8 | body[5]) - 3 - body[8]
-            else:
-                current.append(body)
-    units.append(b"".join(current))
-    out.payload = b"".join(units)
+                if body[7] & 0x80:
+                    t = body[9:14]
+                    out.timestamps.append((t[0] & 14) << 29 | t[1] << 22 | (t[2] & 254) << 14 | t[3] << 7 | t[4] >> 1)
+                body, open_ = body[9 + body[8] :], True
+            if open_:  # what comes before the first PES packet begins in a part that is not here
+                parts.append(body)
+                length += len(body)
+    if data_pid is None:
+        raise CorruptStreamError("no program table")
+    out.payload = b"".join(parts)
     return out
 
 
@@ -174,17 +215,23 @@ def describe(media: DataFrame, keep: tuple[str, ...] = ("doc_id",), media_col: s
     """Read each stored stream back and return the columns ``keep`` and FEATURES.
 
     ``timestamps`` are the units' presentation times in 1/90000 s, ``access_points``
-    the payload offsets from which reading can start. A null stream gives nulls.
+    the payload offsets from which reading can start. A null stream gives nulls. Of
+    one that cannot be read, only the stored form's size and digest are told, and
+    ``feature`` is "corrupt" with the reason.
     """
     schema = extended(media.select(*keep).schema, FEATURES)
 
     def row(data: bytes | None) -> tuple:
         if data is None:
             return (None,) * 10
-        s = demux(data)
+        stored = len(data), hashlib.sha256(data).hexdigest()
+        try:
+            s = demux(data)
+        except (CorruptStreamError, IndexError) as e:
+            return None, None, None, *stored, None, None, None, None, f"corrupt: {e}"
         times = hashlib.sha256(",".join(map(str, s.timestamps)).encode()).hexdigest()[:16]
-        feature = f"packets={s.packets};lost={s.lost};units={len(s.timestamps)};last_pts={s.timestamps[-1]};access={len(s.access_points)};pts={times}"
-        return len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), s.packets, s.lost, s.timestamps, s.access_points, feature
+        feature = f"packets={s.packets};lost={s.lost};units={len(s.timestamps)};last_pts={s.timestamps[-1] if s.timestamps else ''};access={len(s.access_points)};pts={times}"
+        return len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-BLOCK:]), *stored, s.packets, s.lost, s.timestamps, s.access_points, feature
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()]

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, extended, written
 
-#: More patterns than this are refused rather than collected.
-MAX_PATTERNS = 20_000
+#: More patterns than this are refused rather than collected; of patterns that share sources, the flow takes fewer.
+MAX_PATTERNS, MAX_SHARED = 500_000, 20_000
 #: Rows whose running sums one task computes, on average.
 BIN_ROWS = 2_000
 #: Selection ends when no document fits or when this part of the rest is left.
@@ -71,8 +71,14 @@ def route(patterns: dict[tuple, int], demand: dict, max_repeats: int) -> dict[tu
     for p in patterns:
         for s in p:
             members.setdefault(s, []).append(p)
+    alone = {p for p in patterns if len(p) == 1 and len(members[p[0]]) == 1}  # no choice to make
+    for p in alone:
+        flow[p][p[0]] = min(need.get(p[0], 0), max_repeats * patterns[p])
+    shared = sorted(set(patterns) - alone, key=repr)
+    if len(shared) > MAX_SHARED:
+        raise ValueError(f"more than {MAX_SHARED} membership patterns that share sources")
     for level in range(1, max_repeats + 1):
-        for start in sorted(patterns, key=repr):
+        for start in shared:
             while used[start] < level * patterns[start]:
                 before, queue, end = {start: None}, deque([start]), None
                 while queue and end is None:

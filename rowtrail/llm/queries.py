@@ -15,7 +15,7 @@ from .common import documents
 TOKENIZER = "byte_bpe_50k.json"
 #: Rules of the URL filter: host, path, verdict.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-MAX_SOURCES = 10_000
+MAX_SOURCES = 500_000
 
 
 def tokenizer_json(name: str = TOKENIZER) -> str:

@@ -14,6 +14,8 @@ and change the balance alone, never the result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,8 +53,15 @@ def innermost_rules(keys: DataFrame, rules: DataFrame) -> DataFrame:
     order = F.xxhash64("key")
     sample = sorted(bytes(r.key) for r in keys.orderBy(order, "key").limit(SAMPLED_KEYS).collect())
     cuts = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
-    places = F.array(*[F.lit(bytearray(c)) for c in cuts]).cast("array<binary>")
-    range_of = lambda key: F.size(F.filter(places, lambda c: c <= key))
+    step = math.isqrt(len(cuts)) + 1
+    places, coarse = (F.array(*[F.lit(bytearray(c)) for c in some]).cast("array<binary>") for some in (cuts, cuts[::step]))
+
+    def range_of(key: Column) -> Column:
+        """How many cut points are at or before the key: first among every ``step``-th one, then among those after it."""
+        before = F.size(F.filter(coarse, lambda c: c <= key))
+        near = F.slice(places, F.greatest((before - 1) * step + 1, F.lit(1)), F.lit(step))
+        return F.when(before == 0, F.lit(0)).otherwise((before - 1) * step + F.size(F.filter(near, lambda c: c <= key)))
+
     spread = rules.withColumn("part", F.explode(F.sequence(range_of(F.col("lo")), range_of(F.col("hi")))))
     opens = spread.select("part", F.col("lo").alias("key"), F.lit(1).alias("step"), "rule")
     closes = spread.select("part", F.col("hi").alias("key"), F.lit(-1).alias("step"), F.lit(None).cast("string").alias("rule"))

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from rowtrail.llm import mixing
+from rowtrail.llm import language_id, mixing
 from rowtrail.llm.queries import source_weights
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -46,7 +46,10 @@ def test_stages(spark, folder):
             assert docs.columns == list(corpus_pipeline.COLUMNS)
         kept = collections.Counter(r.doc_id for r in after)
         if name == "language_id":
-            assert set(kept) == {r.doc_id for r in before if any(c.isalpha() for c in r.text or "")}
+            told = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(before, SCHEMA), language_id.learn(spark.createDataFrame(before, SCHEMA))).collect()}
+            floor = 0.5 * min(r.score for r in told.values() if r.lang == r.lang_pred)
+            assert set(kept) == {r.doc_id for r in before if any(c.isalpha() for c in r.text or "") and told[r.doc_id].score >= floor}
+            assert 403 not in kept and {400, 401, 402}.isdisjoint(kept) and set(range(120)) <= set(kept)
         elif name == "exact_dedup":
             last = {r.text: r.doc_id for r in sorted(before, key=lambda r: r.doc_id)}
             assert kept == collections.Counter(last.values())
