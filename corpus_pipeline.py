@@ -15,6 +15,8 @@ from rowtrail.llm.common import written
 from rowtrail.llm.queries import source_weights, tokenizer_json
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Share of the least score of documents in a known language below which a document is in none.
+FLOOR = 0.5
 #: Not expressible in SQL: profiles, signatures, the flow and the tokenizer.
 ORACLE_SQL = None
 
@@ -25,17 +27,25 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents without any letter, whose language is undetermined; without profiles too."""
+    """Reject documents without any letter, and those in no known language.
+
+    A document is in none if its score is below FLOOR times the least score of all
+    documents whose language is told as labelled. Without such documents, or without
+    profiles, only the letters decide.
+    """
+    docs = docs.select(*COLUMNS)
     profiles = language_id.learn(docs)
-    if not profiles:  # no text tells a language, so only the letters decide
+    if not profiles:
         profiles = {"": []}
-    return language_id.predict(docs.select(*COLUMNS), profiles).where(F.col("lang_pred") != language_id.UNDETERMINED).select(*COLUMNS)
+    told = written(language_id.predict(docs, profiles), "pipeline-languages")
+    least = told.where("lang = lang_pred").agg(F.min("score")).first()[0]
+    return told.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= FLOOR * (least or 0.0))).select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts keep one row, with the largest doc_id; a null doc_id only where no other row has the text."""
     rows = numbered(docs, "pipeline-copies").withColumn("place", F.when(F.col("doc_id").isNull(), -1 - F.col("row")).otherwise(F.col("row")))
-    fates = exact_dedup.deduplicate(rows, exact_dedup.DigestIndex(spark), key="place").where("kept").select("place")
+    fates = exact_dedup.deduplicate_once(rows, key="place").where("kept").select("place")
     return rows.join(fates, "place", "left_semi").select(*COLUMNS)
 
 
