@@ -7,7 +7,7 @@ returns a DataFrame, which is written as Parquet and read again as the next one'
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowtrail.llm import bpe, exact_dedup, language_id, minhash, mixing
@@ -22,8 +22,14 @@ ORACLE_SQL = None
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """The rows with a number of their own, ``row``, in order of doc_id, null last; written once."""
-    return written(docs.select(*COLUMNS).orderBy(F.asc_nulls_last("doc_id")).withColumn("row", F.monotonically_increasing_id()), name)
+    """The rows with a number of their own, ``row``; written once, so that it stays."""
+    return written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), name)
+
+
+def one_of_each(rows: DataFrame, groups: DataFrame, group: str, best: Column) -> DataFrame:
+    """The rows that are the best of their group; only numbers and keys meet, not texts."""
+    kept = rows.select("row", "doc_id").join(groups.select("row", group), "row").groupBy(group).agg(best.alias("best")).select("best.row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,16 +50,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts keep one row, with the largest doc_id; a null doc_id only where no other row has the text."""
-    rows = numbered(docs, "pipeline-copies").withColumn("place", F.when(F.col("doc_id").isNull(), -1 - F.col("row")).otherwise(F.col("row")))
-    fates = exact_dedup.deduplicate_once(rows, key="place").where("kept").select("place")
-    return rows.join(fates, "place", "left_semi").select(*COLUMNS)
+    rows = numbered(docs, "pipeline-copies")
+    copies = exact_dedup.deduplicate_once(rows, key="row")
+    return one_of_each(rows, copies, "keep_id", F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id", "row")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, 0.8) keep one row, with the least doc_id; a null doc_id comes last."""
     rows = numbered(docs, "pipeline-near-copies")
-    kept = minhash.near_duplicates(rows, key="row").where("kept").select("row")
-    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
+    near = minhash.near_duplicates(rows, key="row")
+    return one_of_each(rows, near, "component_id", F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

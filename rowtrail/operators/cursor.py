@@ -7,17 +7,24 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import ID, keeping
+from ..functions.ids import ID, distinct_ids, keeping
 from ..plans.levels import Level, Source, TraceError
 
 
 @dataclass(frozen=True)
 class Cursor:
-    """``ids`` has one column of distinct ids. ``path`` holds the levels passed and the branches taken."""
+    """``ids`` has one column of distinct ids. ``path`` holds the levels passed and the branches taken.
+
+    ``rows`` are the chosen source rows where a step has met them already, and
+    ``behind`` the input's rows behind the chosen groups where a condition on the
+    group's key told them without any join.
+    """
 
     level: Level
     ids: DataFrame
     path: tuple[tuple[Level, int], ...] = ()
+    rows: DataFrame | None = None
+    behind: DataFrame | None = None
 
     @property
     def at_scan(self) -> bool:
@@ -32,7 +39,11 @@ class Cursor:
             raise TraceError("the cursor is at a source already")
         if not 0 <= branch < len(self.level.parents):
             raise TraceError(f"this level has {len(self.level.parents)} inputs")
-        return Cursor(self.level.parents[branch].level, self.level.back(self.ids, branch), (*self.path, (self.level, branch)))
+        parent, path = self.level.parents[branch], (*self.path, (self.level, branch))
+        found = self.behind if self.behind is not None else self.level.rows_back(self.ids, branch) if parent.shows_source else None
+        if found is None:
+            return Cursor(parent.level, self.level.back(self.ids, branch), path)
+        return Cursor(parent.level, distinct_ids(found), path, found if parent.shows_source else None)
 
     def go_next(self) -> Cursor:
         """One level towards the result, along the branch last taken."""
@@ -68,6 +79,8 @@ class Cursor:
     def _rows(self) -> DataFrame:
         if not self.at_scan:
             raise TraceError("only source rows can be shown")
+        if self.rows is not None:
+            return self.rows.select(self.level.rows.columns)
         return keeping(self.level.rows, F.col(ID), self.ids)
 
     def show(self, *columns: str) -> DataFrame:

@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.ids import ID, distinct_ids, key_struct, visible
-from ..plans.levels import GroupingSets, Joined, Keyed, Level, Peers, Unioned, UnsupportedOperatorError, sources
+from ..plans.levels import GroupingSets, Joined, Keyed, Level, Peers, Source, Unioned, UnsupportedOperatorError, sources
 from ..sources.scratch import dropped, written
 from .cursor import Cursor
 
@@ -28,12 +29,21 @@ def as_column(c: str | Column) -> Column:
 
 @dataclass(frozen=True)
 class Traced:
-    """``df`` has the visible columns and ``__id``; ``granularity`` is "exact" or "key"."""
+    """``df`` has the visible columns and ``__id``; ``granularity`` is "exact" or "key".
+
+    ``intact``: each row has its source's columns unchanged and stands for it alone,
+    so traces can show it without looking it up again.
+    """
 
     df: DataFrame
     level: Level
     granularity: str = "exact"
     held: list = field(default_factory=list, compare=False, repr=False)  #: the session's list of what was written
+    intact: bool = False
+
+    @property
+    def shows_source(self) -> bool:
+        return self.intact and isinstance(self.level, Source)
 
     def _written(self, df: DataFrame, name: str) -> DataFrame:
         copy = written(df, name)
@@ -42,18 +52,18 @@ class Traced:
 
     # narrow operators: ids pass through
 
-    def _same(self, df: DataFrame) -> Traced:
-        return replace(self, df=df)
+    def _same(self, df: DataFrame, intact: bool = False) -> Traced:
+        return replace(self, df=df, intact=intact and self.intact)
 
     def select(self, *columns: str | Column) -> Traced:
         wanted = [c for x in columns for c in (visible(self.df) if isinstance(x, str) and x == "*" else [x])]
         return self._same(self.df.select(*wanted, ID))
 
     def with_column(self, name: str, column: Column) -> Traced:
-        return self._same(self.df.withColumn(name, column))
+        return self._same(self.df.withColumn(name, column), name not in self.df.columns)
 
     def where(self, condition: str | Column) -> Traced:
-        return self._same(self.df.where(condition))
+        return self._same(self.df.where(condition), True)
 
     filter = having = where
 
@@ -65,13 +75,13 @@ class Traced:
 
     def explode(self, name: str, array: Column, outer: bool = False) -> Traced:
         """One row for each element; each has the id of the row it comes from."""
-        return self.with_column(name, (F.explode_outer if outer else F.explode)(array))
+        return self._same(self.df.withColumn(name, (F.explode_outer if outer else F.explode)(array)))
 
     def order_by(self, *columns: str | Column) -> Traced:
-        return self._same(self.df.orderBy(*columns))
+        return self._same(self.df.orderBy(*columns), True)
 
     def repartition(self, n: int, *columns: str | Column) -> Traced:
-        return self._same(self.df.repartition(n, *columns))
+        return self._same(self.df.repartition(n, *columns), True)
 
     def limit(self, n: int) -> Traced:
         """Any n rows, written once so that later traces see the same ones."""
@@ -88,9 +98,23 @@ class Traced:
         return self._same(self._written(self.df, "stored"))
 
     def map_in_pandas(self, function: Callable, schema: str, granularity: str | None = None) -> Traced:
-        """Refused unless ``granularity="all"`` says that every input row stands behind every output row."""
+        """Refused unless it is declared which input rows stand behind an output row.
+
+        "all": every row of the input; "partition": the rows of the same partition,
+        which are written first, so that partitions stay as they are. ``function``
+        then gets each partition as one frame.
+        """
+        if granularity == "partition":
+            parent = self._same(self._written(self.df.withColumn("__part", F.spark_partition_id()), "partitions"))
+
+            def part(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+                return pd.concat([*function(iter([rows.drop(columns="__part")]))]).assign(__part=key[0])
+
+            made = StructType([*StructType.fromDDL(schema).fields, *StructType.fromDDL("__part int").fields])
+            out = parent.df.drop(ID).groupBy("__part").applyInPandas(part, made)
+            return self._opened(out.withColumn(ID, key_struct([F.col("__part")])).drop("__part"), Keyed((parent,), ([F.col("__part")],), "mapInPandas"))
         if granularity != "all":
-            raise UnsupportedOperatorError("mapInPandas hides which rows it uses; declare granularity='all' to trace to all of them")
+            raise UnsupportedOperatorError("mapInPandas hides which rows it uses; declare granularity 'all' or 'partition'")
         out = self.df.drop(ID).mapInPandas(function, schema).withColumn(ID, key_struct([]))
         return self._opened(out, Keyed((self,), ([],), "mapInPandas"))
 
@@ -106,6 +130,8 @@ class Traced:
         return self._opened(out.withColumn(ID, key_struct([F.col(n) for n in names])), Keyed((self,), (named,), "grouped map"))
 
     def _opened(self, df: DataFrame, level: Level) -> Traced:
+        if isinstance(level, Keyed):
+            level.out = df
         return Traced(df, level, self.granularity, self.held)
 
     # aggregation
@@ -131,8 +157,8 @@ class Traced:
     def distinct(self) -> Traced:
         """Every duplicate stands behind the row that is left."""
         keys = [F.col(c) for c in visible(self.df)]
-        out = self.df.drop(ID).distinct()
-        return self._opened(out.withColumn(ID, key_struct(keys)), Keyed((self,), (keys,), "distinct"))
+        out = self.df.drop(ID).distinct().withColumn(ID, key_struct(keys))
+        return self._opened(out, Keyed((self,), (keys,), "distinct", visible(self.df)))
 
     # joins
 
@@ -257,7 +283,8 @@ class Traced:
     def trace(self, where: str | Column | None = None) -> Cursor:
         """A cursor at the result's level, on the rows for which ``where`` holds (or all)."""
         rows = self.df if where is None else self.df.where(where)
-        return Cursor(self.level, distinct_ids(rows))
+        behind = self.level.behind(self.df, where) if isinstance(self.level, Keyed) else None
+        return Cursor(self.level, distinct_ids(rows), rows=rows if self.shows_source else None, behind=behind)
 
     def trace_ids(self, ids: Sequence) -> Cursor:
         """A cursor on ids from collect_with_lineage()."""
@@ -289,8 +316,8 @@ class Grouped:
             out = out.groupBy(*(f"__g{i}" for i in range(len(names)))).agg(*aggregates)
             out = out.withColumn(ID, key_struct([F.col(f"__g{i}") for i in range(len(names))]))
             out = out.withColumnsRenamed({f"__g{i}": n for i, n in enumerate(names)})
-            return parent._opened(out, Keyed((parent,), (self.keys,), "aggregate"))
-        level = GroupingSets((parent,), (self.keys,), "grouping sets", self.keys, self.sets)
+            return parent._opened(out, Keyed((parent,), (self.keys,), "aggregate", names))
+        level = GroupingSets((parent,), (self.keys,), "grouping sets", columns=self.keys, sets=self.sets)
         numbered = []
         for chosen in self.sets:
             numbered.append([F.col(f"__g{i}") for i in chosen])

@@ -9,10 +9,13 @@ forth is a semi-join that Catalyst plans like any other.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import logging
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import TYPE_CHECKING
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,20 @@ if TYPE_CHECKING:
     from ..operators.traced import Traced
 
 
+@contextmanager
+def quiet() -> Iterator[None]:
+    """Keeps PySpark from logging an analysis error that is caught."""
+    loggers = [logging.getLogger(name) for name in ("DataFrameQueryContextLogger", "SQLQueryContextLogger")]
+    before = [x.disabled for x in loggers]
+    try:
+        for x in loggers:
+            x.disabled = True
+        yield
+    finally:
+        for x, was in zip(loggers, before, strict=True):
+            x.disabled = was
+
+
 class TraceError(ValueError):
     """A step that the trace cannot take."""
 
@@ -38,6 +55,10 @@ class Level:
         """Ids of the parent's rows behind the given rows of this level."""
         raise NotImplementedError
 
+    def rows_back(self, ids: DataFrame, branch: int) -> DataFrame | None:
+        """The parent's rows themselves, each once, where one join finds them."""
+        return None
+
     def forth(self, ids: DataFrame, branch: int) -> DataFrame:
         """Ids of this level's rows to which the parent's rows contribute."""
         raise NotImplementedError
@@ -73,6 +94,28 @@ class Keyed(Level):
 
     keys: Sequence[Sequence[Column] | None] = ()
     what: str = "aggregate"
+    names: Sequence[str] | None = None  #: of the keys in ``out``, the level's own result
+    out: DataFrame | None = None
+
+    def behind(self, result: DataFrame, where: str | Column | None) -> DataFrame | None:
+        """The parent's rows of the groups for which ``where`` holds, if it speaks of the keys alone; without it, of all groups."""
+        if result is not self.out or self.names is None:
+            return None
+        rows = self.parents[0].df
+        if where is None:
+            return rows
+        named = rows.select(F.struct("*").alias("__row"), *(k.alias(n) for k, n in zip(self.keys[0], self.names, strict=True)))
+        with quiet():
+            try:
+                named.drop("__row").where(where)
+            except AnalysisException:  # it speaks of an aggregate
+                return None
+        return named.where(where).select("__row.*")
+
+    def rows_back(self, ids: DataFrame, branch: int) -> DataFrame | None:
+        if self.keys[branch] is None:
+            return None
+        return keeping(self.parents[branch].df.withColumn("__key", key_struct(self.keys[branch])), F.col("__key"), ids).drop("__key")
 
     def pairs(self, branch: int) -> DataFrame:
         """(key, id) of the parent's rows."""
@@ -104,6 +147,9 @@ class GroupingSets(Keyed):
     columns: Sequence[Column] = ()
     sets: Sequence[Sequence[int]] = ()
 
+    def rows_back(self, ids: DataFrame, branch: int) -> DataFrame | None:
+        return None  # a row belongs to a group of each set
+
     def pairs(self, branch: int) -> DataFrame:
         each = []
         for number, chosen in enumerate(self.sets):
@@ -193,6 +239,12 @@ class Peers(Level):
     granularity: str = "key"
     chosen: DataFrame | None = field(default=None)
 
+    def rows_back(self, ids: DataFrame, branch: int) -> DataFrame | None:
+        if self.granularity == "exact":
+            return None
+        keys = ids.select(F.col(f"{ID}.key").alias(ID)).distinct()
+        return keeping(self.parents[0].df.withColumn("__key", key_struct(self.keys)), F.col("__key"), keys).drop("__key")
+
     def pairs(self) -> DataFrame:
         return self.parents[0].df.select(key_struct(self.keys).alias("__key"), ID)
 

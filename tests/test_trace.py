@@ -195,6 +195,10 @@ def test_opaque_operators_are_refused(spark):
     with pytest.raises(UnsupportedOperatorError):
         seen.map_in_pandas(lambda it: it, kind)
     assert seen.map_in_pandas(lambda it: it, kind, "all").trace().go_back().show().count() == len(VISITS)
+    sums = seen.repartition(3, "shop").map_in_pandas(lambda it: (f.groupby("shop", dropna=False).agg(spent=("spent", "sum")).reset_index() for f in it), kind, "partition")
+    of_part = sums.trace(F.col("shop") == BUSY).go_back().show()
+    assert set(of_shop(BUSY)) <= set(rows(of_part)) and of_part.count() < len(VISITS)
+    assert {r.shop: r.spent for r in sums.collect()} == {s: sum(v for t, v in VISITS if t == s) for s, _ in VISITS}
     doubled = seen.apply_in_pandas(["shop"], lambda pdf: pdf.assign(spent=pdf.spent.sum())[:1], kind)
     assert rows(doubled.trace(F.col("shop") == BUSY).go_back().show()) == of_shop(BUSY)
     assert rows(doubled.result) == sorted(((s, sum(v for t, v in VISITS if t == s)) for s in {s for s, _ in VISITS}), key=repr)
@@ -251,6 +255,33 @@ def test_join_traces_need_no_second_join(spark, tmp_path):
     assert plan.count("Join ") == 1
 
 
+def scans_and_joins(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("Relation ["), plan.count("Join ")
+
+
+def test_conditions_on_keys_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame(VISITS, "shop string, spent int").write.parquet(str(tmp_path / "visits"))
+    seen = RowTrail(spark).parquet(str(tmp_path / "visits"))
+    totals = seen.where("spent > 9").group_by("shop", F.expr("spent % 2").alias("odd")).agg(F.sum("spent").alias("s"))
+    by_key, by_sum = totals.trace(f"shop = '{BUSY}' and odd = 1").go_back(), totals.trace("s > 60").go_back()
+    assert scans_and_joins(by_key.show()) == (1, 0) and scans_and_joins(by_sum.show()) == (2, 1)
+    assert rows(by_key.show()) == [r for r in of_shop(BUSY) if r[1] > 9 and r[1] % 2 == 1]
+    sums = {k: sum(v for s, v in VISITS if v > 9 and (s, v % 2) == k) for k in {(s, v % 2) for s, v in VISITS}}
+    assert rows(by_sum.show()) == sorted((r for r in VISITS if r[1] > 9 and sums[r[0], r[1] % 2] > 60), key=repr)
+    assert by_key.go_next().collect_ids() == totals.trace(f"shop = '{BUSY}' and odd = 1").collect_ids()
+    assert scans_and_joins(totals.trace().go_back().show()) == (1, 0)
+    # a condition on the result of a later filter, or on a column that hides the key, is not one on the key
+    late = totals.having("s > 60").trace(f"shop = '{BUSY}'").go_back()
+    assert rows(late.show()) == [r for r in rows(by_sum.show()) if r[0] == BUSY]
+    named = seen.group_by(F.upper("shop").alias("shop")).agg(F.count(F.lit(1)).alias("n")).trace(F.col("shop") == BUSY.upper())
+    assert rows(named.go_back().show()) == of_shop(BUSY)
+    wider = seen.with_column("twice", F.col("spent") * 2).group_by("shop").count().trace(F.col("shop") == BUSY).go_back()
+    assert rows(wider.show()) == of_shop(BUSY) and rows(wider.show("spent")) == sorted((v,) for _, v in of_shop(BUSY))
+    changed = seen.with_column("spent", F.lit(0)).group_by("shop").count().trace(F.col("shop") == BUSY).go_back()
+    assert rows(changed.show()) == of_shop(BUSY)
+
+
 def test_empty_tables(spark):
     t = RowTrail(spark)
     none = t.values([], "k string, v int")
