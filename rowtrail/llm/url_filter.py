@@ -79,8 +79,8 @@ def innermost_rules(keys: DataFrame, rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", otherwise: str = "allow") -> DataFrame:
     """Verdicts: key, host, path, rule, verdict.
 
-    ``rules`` has host, path and verdict; hosts are lower-cased and must hold no
-    slash. A rule fits its host and all subdomains if the path starts with the
+    ``rules`` has host, path and verdict; hosts are lower-cased. A rule whose host is
+    null or holds a slash fits no URL; a null path counts as empty. A rule fits its host and all subdomains if the path starts with the
     rule's. The longest rule (host and path as one text) wins, of equally long ones
     the longer host, then the greater text; of rules with equal host and path the
     greater verdict. Where none fits, ``rule`` is null and the verdict is ``otherwise``.

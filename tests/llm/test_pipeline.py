@@ -87,10 +87,22 @@ def test_language_id_without_any_label(spark):
     assert [r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()] == [1]
 
 
-def test_null_and_repeated_keys(spark):
+def test_rows_of_files_have_numbers_of_their_own(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = corpus_pipeline.numbered(docs, "numbered")
+    first, again = ({r.row: r.doc_id for r in rows.select("row", "doc_id").collect()} for _ in range(2))
+    assert first == again and len(first) == docs.count() and rows.columns == [*corpus_pipeline.COLUMNS, "row"]
+    assert corpus_pipeline.numbered(docs.limit(0), "numbered").count() == 0
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_null_and_repeated_keys(spark, tmp_path, stored):
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
     rows = [(None, text(1)), (None, text(1)), (None, text(2)), (5, text(2)), (7, text(3)), (7, text(3)), (8, text(4)), (8, text(5))]
     docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], SCHEMA)
+    if stored:
+        docs.repartition(3).write.parquet(str(tmp_path / "docs"))
+        docs = spark.read.parquet(str(tmp_path / "docs"))
     seen = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
     once = sorted([(None, text(1)), (5, text(2)), (7, text(3)), (8, text(4)), (8, text(5))], key=repr)
     assert seen(corpus_pipeline.identify_language(spark, docs, "")) == sorted(rows, key=repr)
