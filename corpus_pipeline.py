@@ -7,6 +7,7 @@ returns a DataFrame, which is written as Parquet and read again as the next one'
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +18,27 @@ from rowtrail.llm.queries import source_weights, tokenizer_json
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Share of the least score of documents in a known language below which a document is in none.
 FLOOR = 0.5
+#: Files whose names are small enough to broadcast, some 20 MB; more are joined by a shuffle.
+BROADCAST_FILES = 100_000
 #: Not expressible in SQL: profiles, signatures, the flow and the tokenizer.
 ORACLE_SQL = None
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """The rows with a number of their own, ``row``; written once, so that it stays."""
-    return written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), name)
+    """The rows with a number of their own, ``row``.
+
+    Rows of Parquet files are numbered by the file and their place in it, so nothing
+    is copied; only the files' names pass the driver. Other rows are written once.
+    """
+    try:
+        placed = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    except AnalysisException:
+        return written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), name)
+    files = sorted(r.file for r in placed.select("file").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(files)), "number long, file string")
+    if len(files) <= BROADCAST_FILES:
+        numbers = F.broadcast(numbers)
+    return placed.join(numbers, "file").select(*COLUMNS, (F.col("number") * 2**40 + F.col("place")).alias("row"))
 
 
 def one_of_each(rows: DataFrame, groups: DataFrame, group: str, best: Column) -> DataFrame:
