@@ -91,4 +91,34 @@ SELECT page_id, host, path, rule, coalesce(own, 'allow') AS verdict
 FROM urls LEFT JOIN (SELECT * FROM fits WHERE place = 1) USING (page_id)
 """
 
-ORACLE_SQL = {"op3_exact_dedup": OP3, "op7_line_dedup": OP7, "op8_minhash": OP8, "op9_url_filter": OP9}
+OP11 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), firsts AS (SELECT text, min(doc_id) AS least FROM t GROUP BY text),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+judged AS (
+  SELECT part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+    + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT
+    + 16 * coalesce(doc_id > least, false)::INT AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM t JOIN firsts USING (text) LEFT JOIN marks USING (doc_id)
+), counted AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM judged GROUP BY ALL),
+letter(l, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT p.l || q.l || r.l || s.l || t.l AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bits
+  FROM letter p, letter q, letter r, letter s, letter t WHERE p.b | q.b | r.b | s.b | t.b = 31
+), steps AS (
+  SELECT filter_order, step::INT AS step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM orders, range(1, 6) r(step)
+), found AS (
+  SELECT part, filter_order, step, any_value(own) AS own,
+    sum(n) FILTER (fails & (before | own) = 0) AS kept, sum(n) FILTER (fails & own > 0 AND fails & before = 0) AS removed,
+    sum(n) FILTER (fails & own > 0 AND fails & before > 0) AS redundant, sum(n) FILTER (fails = own) AS unique_fails,
+    sum(g) FILTER (fails & own > 0 AND fails & before = 0) AS good_lost, sum(x) FILTER (fails & own > 0 AND fails & before = 0) AS toxic_lost
+  FROM counted, steps GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  (sum(coalesce(removed, 0)) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM found
+"""
+
+ORACLE_SQL = {"op3_exact_dedup": OP3, "op7_line_dedup": OP7, "op8_minhash": OP8, "op9_url_filter": OP9, "op11_filter_audit": OP11}
