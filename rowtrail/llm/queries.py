@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, filter_audit, language_id, line_dedup, lm, media, minhash, mixing, pii, url_filter
+from . import bpe, exact_dedup, filter_audit, language_id, line_dedup, lm, media, minhash, mixing, pii, quality, url_filter
 from .common import documents
 
 #: Name of a tokenizer file in the folder of public tokenizers.
@@ -96,6 +96,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(documents(spark, sf_dir, "doc_id", "text", "source"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_pii": op2_pii,
@@ -108,4 +112,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_lm": op10_lm,
     "op11_filter_audit": op11_filter_audit,
+    "op12_quality": op12_quality,
 }
