@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, filter_audit, language_id, line_dedup, lm, media, minhash, mixing, pii, quality, url_filter
+from . import alignment, bpe, exact_dedup, filter_audit, language_id, line_dedup, lm, media, minhash, mixing, pii, quality, url_filter
 from .common import documents
 
 #: Name of a tokenizer file in the folder of public tokenizers.
 TOKENIZER = "byte_bpe_50k.json"
+#: Tokenizers A and B of the alignment.
+RANKS, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 #: Rules of the URL filter: host, path, verdict.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 MAX_SOURCES = 500_000
@@ -100,6 +102,16 @@ def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(documents(spark, sf_dir, "doc_id", "text", "lang"))
 
 
+def tokenizer_bytes(name: str) -> bytes:
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A's rank file has the vocabulary of ``byte_bpe_50k.json``; a test compares both."""
+    return alignment.align(documents(spark, sf_dir, "doc_id", "text"), tokenizer_bytes(RANKS), tokenizer_bytes(PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_pii": op2_pii,
@@ -113,4 +125,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm": op10_lm,
     "op11_filter_audit": op11_filter_audit,
     "op12_quality": op12_quality,
+    "op13_alignment": op13_alignment,
 }
