@@ -20,6 +20,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ DOC_BITS = 16
 MAX_CACHED = 300_000
 SEGMENTS = "segment long, docs binary, n_docs int, pairs binary, sizes binary, bitmaps binary, planes binary"
 SPACE_SIGN = "▁"
+#: Before a space that follows no white space, neither A's words nor B's pieces go on, so what lies between is encoded alone.
+UNITS = re.compile(r"(?<=\S)(?= )")
 
 
 class Tokenizers:
@@ -60,43 +63,72 @@ class Tokenizers:
         self.a_bytes = np.zeros(max(entries.values()) + 1, np.int64)
         self.a_bytes[list(entries.values())] = [len(token) for token in entries]
         self.b_bytes = np.array([len(p) for p in self.pieces], np.int64)
-        # where no piece has a space behind another sign, no merge crosses the border before a space
+        # where no piece has a space behind another sign, no merge of B crosses the border of two units
         self.by_unit = not any(SPACE_SIGN in p.lstrip(SPACE_SIGN) for i, p in enumerate(pieces) if not self.b.is_control(i))
-        self.lone_space = np.array([self.b.piece_to_id(SPACE_SIGN)], np.int32).tobytes()
-        self.units: dict[str, bytes] = {}
+        self.lone_space = np.array([self.b.piece_to_id(SPACE_SIGN)], np.int32)
+        self.units: dict[str, int] = {}
+        self.known_a, self.known_b = Encodings(), Encodings()
         self.lossy: set[str] = set()
-        #: Decimal ids, each followed by one of the four separators.
-        self.written = [f"{i}{sep}".encode() for i in range(max(len(self.a_bytes), size)) for sep in (",", "|", ";", "")]
+        #: Decimal ids, each followed by one of the four separators, and their lengths.
+        shown = [f"{i}{sep}".encode() for i in range(max(len(self.a_bytes), size)) for sep in (",", "|", ";", "")]
+        self.shown_sizes = np.array([len(x) for x in shown], np.int64)
+        self.shown = np.array(shown, f"S{self.shown_sizes.max()}").view(np.uint8).reshape(len(shown), -1)
+        self.filled = np.arange(self.shown.shape[1]) < self.shown_sizes[:, None]
+
+    def joined(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, ids))
 
     def learn(self, units: set[str]) -> None:
         """Encode the units that are not known yet; each begins with a space, which B adds."""
         new = list(units - self.units.keys())
         if len(self.units) + len(new) > MAX_CACHED:
-            self.units.clear()
-            self.lossy.clear()
-            new = list(units)
-        for unit, ids in zip(new, self.b.encode([u[1:] for u in new], num_threads=1), strict=True):
-            known = np.array(ids, np.int32).tobytes() if unit != " " else self.lone_space
-            self.units[unit] = known
-            if b"".join(map(self.pieces.__getitem__, ids)) != unit.encode() and unit != " ":
-                self.lossy.add(unit)
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bytes]]:
-        """Both tokenizers' ids of each text, none where the text is empty or its bytes are lost."""
-        texts = [t.encode("utf-8", "replace").decode() for t in texts]
-        cut = [re.findall(" +[^ ]*", f" {t}") if t else [] for t in texts]
-        found_b = []
+            self.units, self.known_a, self.known_b, self.lossy, new = {}, Encodings(), Encodings(), set(), list(units)
+        if not new:
+            return
+        self.units.update(zip(new, range(len(self.units), len(self.units) + len(new)), strict=True))
+        found = [ids if unit != " " else self.lone_space for unit, ids in zip(new, self.b.encode([u[1:] for u in new], num_threads=1), strict=True)]
+        raw = [u.encode() for u in new]
+        flat, ends = self.known_b.add(found)
+        lengths = np.r_[0, np.cumsum(self.b_bytes[flat])][ends]
+        if not np.array_equal(lengths, np.cumsum([len(r) for r in raw])) or self.joined(flat.tolist()) != b"".join(raw):
+            self.lossy.update(u for u, r, ids in zip(new, raw, found, strict=True) if self.joined(ids) != r)
+        self.known_a.add(list(map(self.a.encode_ordinary, new)))
+
+    def encode(self, texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """For both tokenizers, all texts' ids and how many each has; none where the text is empty or its bytes are lost."""
+        cut = [UNITS.split(f" {t}") if t else [] for t in texts]
         if self.by_unit:
-            self.learn({u for units in cut for u in units})
-        for text, units in zip(texts, cut, strict=True):
-            if text and (not self.by_unit or not self.lossy.isdisjoint(units)):
-                ids = self.b.encode(text)
-                found_b.append(np.array(ids, np.int32).tobytes() if b"".join(map(self.pieces.__getitem__, ids)) == f" {text}".encode() else b"")
-            else:
-                found_b.append(b"".join(map(self.units.__getitem__, units)))
-        # A's tokens always join to the text's bytes
-        found_a = [self.a.encode_ordinary(f" {t}") if b else [] for t, b in zip(texts, found_b, strict=True)]
-        return found_a, found_b
+            self.learn(set(chain.from_iterable(cut)))
+        if self.by_unit and (not self.lossy or self.lossy.isdisjoint(chain.from_iterable(cut))):
+            sizes = np.array([len(units) for units in cut], np.int64)
+            units = np.fromiter(map(self.units.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
+            return self.known_a.of(units, sizes), self.known_b.of(units, sizes)
+        found = []
+        for text in texts:
+            ids = self.b.encode(text)
+            lost = not text or self.joined(ids) != f" {text}".encode()
+            found.append(([], []) if lost else (self.a.encode_ordinary(f" {text}"), ids))
+        return tuple((np.array(list(chain.from_iterable(own)), np.int64), np.array([len(x) for x in own], np.int64)) for own in ([f[i] for f in found] for i in (0, 1)))
+
+
+class Encodings:
+    """One tokenizer's ids of the known units, side by side in one array."""
+
+    def __init__(self):
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def add(self, found: list) -> tuple[np.ndarray, np.ndarray]:
+        """The new ids, one after another, and where those of each unit end."""
+        flat, ends = np.fromiter(chain.from_iterable(found), np.int32), np.cumsum([len(ids) for ids in found])
+        self.ids, self.ends = np.concatenate((self.ids, flat)), np.concatenate((self.ends, self.ends[-1] + ends))
+        return flat, ends
+
+    def of(self, units: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the units of all texts, ``sizes`` units each, and the number of ids of each text."""
+        begins, lengths = self.ends[units], self.ends[units + 1] - self.ends[units]
+        upto = np.cumsum(lengths)
+        ids = self.ids[np.repeat(begins - upto + lengths, lengths) + np.arange(int(lengths.sum()))]
+        return ids.astype(np.int64), np.diff(np.r_[0, upto][np.r_[0, np.cumsum(sizes)]])
 
 
 @lru_cache(maxsize=2)
@@ -127,11 +159,7 @@ class Block:
     """The alignment of some texts: figures and digests by document, and postings (pair, document) with their times."""
 
     def __init__(self, texts: list[str | None], t: Tokenizers):
-        found_a, found_b = t.encode([x or "" for x in texts])
-        self.n_a = np.array([len(x) for x in found_a], np.int64)
-        self.n_b = np.array([len(x) // 4 for x in found_b], np.int64)
-        a = np.fromiter((i for ids in found_a for i in ids), np.int64, int(self.n_a.sum()))
-        b = np.frombuffer(b"".join(found_b), np.int32).astype(np.int64)
+        (a, self.n_a), (b, self.n_b) = t.encode([x or "" for x in texts])
         # both cut the same bytes, so places in all texts together are comparable
         ends_a, ends_b = np.cumsum(t.a_bytes[a]), np.cumsum(t.b_bytes[b])
         cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
@@ -157,11 +185,9 @@ class Block:
             last_b[np.cumsum(self.n_b)[self.n_b > 0] - 1] = 3
         out[np.arange(len(a)) + (upto_b - in_b)[group_a]] = a * 4 + last_a
         out[np.arange(len(b)) + upto_a[group_b]] = b * 4 + last_b
-        shown, at, digests = t.written.__getitem__, 0, []
-        for size in (self.n_a + self.n_b).tolist():
-            digests.append(hashlib.sha256(b"".join(map(shown, out[at : at + size].tolist()))).hexdigest() if size else "")
-            at += size
-        return digests
+        text = t.shown[out][t.filled[out]].tobytes()
+        ends = np.r_[0, np.cumsum(t.shown_sizes[out])][np.cumsum(self.n_a + self.n_b)].tolist()
+        return [hashlib.sha256(text[i:j]).hexdigest() if j > i else "" for i, j in zip([0, *ends], ends, strict=False)]
 
 
 def or_merged(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray]:
