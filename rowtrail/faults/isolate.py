@@ -99,7 +99,7 @@ def isolate_frame(trail: RowTrail, base: Traced, query: Callable[[Traced], Trace
     All branches that lead to ``base`` count. If the witnesses alone do not fail,
     the whole table is searched. Without a faulty row nothing is a culprit.
     """
-    trials = Trials(lambda rows: query(Traced(rows, Source((), "part", rows), base.granularity)).result.where(test))
+    trials = Trials(lambda rows: query(Traced(rows, Source((), "part", rows=rows), base.granularity)).result.where(test))
     output = query(base)
     faulty = written(output.result.where(test), "faulty")
     n = faulty.count()

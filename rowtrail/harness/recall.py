@@ -32,7 +32,7 @@ def witnesses(sources: dict[str, Traced], output: Traced, where: str | Column) -
 def recalled(trail: RowTrail, sources: dict[str, Traced], query: Query, where: str | Column) -> DataFrame:
     """Run ``query`` again with each source cut to its witnesses, and return the chosen rows."""
     cut = witnesses(sources, query(sources), where)
-    again = {n: Traced(rows, Source((), n, rows), sources[n].granularity) for n, rows in cut.items()}
+    again = {n: Traced(rows, Source((), n, rows=rows), sources[n].granularity) for n, rows in cut.items()}
     return query(again).result.where(where)
 
 
@@ -47,5 +47,5 @@ def leave_one_out(trail: RowTrail, sources: dict[str, Traced], query: Query, whe
     cut = witnesses(sources, query(sources), where)
     least = cut[source].select(F.min(ID).alias(ID))
     cut[source] = cut[source].join(least.withColumnRenamed(ID, "__least"), F.col(ID) == F.col("__least"), "left_anti")
-    again = {n: Traced(rows, Source((), n, rows), sources[n].granularity) for n, rows in cut.items()}
+    again = {n: Traced(rows, Source((), n, rows=rows), sources[n].granularity) for n, rows in cut.items()}
     return not query(sources).result.where(where).exceptAll(query(again).result.where(where)).isEmpty()

@@ -66,7 +66,7 @@ class Cursor:
         return at
 
     def where(self, predicate) -> Cursor:
-        """Only those source rows for which the predicate holds."""
+        """Only those of the level's rows for which the predicate holds."""
         rows = self._rows().where(predicate)
         return Cursor(self.level, rows.select(ID).distinct(), self.path)
 
@@ -77,19 +77,19 @@ class Cursor:
         return Cursor(self.level, self.ids.intersect(other.ids), self.path)
 
     def _rows(self) -> DataFrame:
-        if not self.at_scan:
-            raise TraceError("only source rows can be shown")
+        if self.level.rows is None:
+            raise TraceError("this level's rows are not known")
         if self.rows is not None:
             return self.rows.select(self.level.rows.columns)
         return keeping(self.level.rows, F.col(ID), self.ids)
 
     def show(self, *columns: str) -> DataFrame:
-        """The source rows, whole or cut to some columns."""
+        """The rows at which the cursor stands, whole or cut to some columns: a source's, or those of a level between."""
         rows = self._rows().drop(ID)
         return rows.select(*columns) if columns else rows
 
     def show_json(self, *columns: str) -> DataFrame:
-        """The source rows as one JSON text each."""
+        """The rows as one JSON text each."""
         return self.show(*columns).select(F.to_json(F.struct("*")).alias("json"))
 
     def all_sources(self) -> list[tuple[str, DataFrame]]:

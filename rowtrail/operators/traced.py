@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.ids import ID, distinct_ids, key_struct, visible
+from ..plans import frames
 from ..plans.levels import GroupingSets, Joined, Keyed, Level, Peers, Source, Unioned, UnsupportedOperatorError, sources
 from ..sources.scratch import dropped, written
 from .cursor import Cursor
@@ -130,6 +131,7 @@ class Traced:
         return self._opened(out.withColumn(ID, key_struct([F.col(n) for n in names])), Keyed((self,), (named,), "grouped map"))
 
     def _opened(self, df: DataFrame, level: Level) -> Traced:
+        level.rows = df
         if isinstance(level, Keyed):
             level.out = df
         return Traced(df, level, self.granularity, self.held)
@@ -233,12 +235,17 @@ class Traced:
 
     # windows and top-k
 
-    def with_windows(self, partition_by: Sequence[str | Column], order_by: Sequence[str | Column] = (), own_row: bool = False, **columns: Callable | Column) -> Traced:
+    def with_windows(self, partition_by: Sequence[str | Column], order_by: Sequence[str | Column] = (), own_row: bool = False, frame: frames.Frame | None = None, **columns: Callable | Column) -> Traced:
         """Window functions over one partitioning: each of ``columns`` is a function of the window, or a column to take ``over`` it.
 
         The whole window partition stands behind a row, or with ``own_row`` the row alone.
+        With a ``frame``, its rows and the row itself do: columns are taken over the
+        frame, while functions get the ordered window without one, as lag and lead
+        need it (their frame is the row at their offset).
         """
         keys = [as_column(c) for c in partition_by]
+        if frame is not None:
+            return self._opened(*frames.opened(self, keys, order_by, frame, columns))
         window = Window.partitionBy(*keys)
         window = window.orderBy(*order_by) if order_by else window
         df = self.df.withColumns({n: c.over(window) if isinstance(c, Column) else c(window) for n, c in columns.items()})

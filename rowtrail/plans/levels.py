@@ -50,6 +50,7 @@ class UnsupportedOperatorError(TypeError):
 @dataclass(eq=False)
 class Level:
     parents: tuple[Traced, ...] = ()
+    rows: DataFrame | None = field(default=None, kw_only=True)  #: the level's own rows with their ids
 
     def back(self, ids: DataFrame, branch: int) -> DataFrame:
         """Ids of the parent's rows behind the given rows of this level."""
@@ -78,7 +79,6 @@ class Level:
 @dataclass(eq=False)
 class Source(Level):
     name: str = ""
-    rows: DataFrame | None = None
 
     def describe(self) -> str:
         return f"source {self.name}"
@@ -161,13 +161,13 @@ class GroupingSets(Keyed):
 
 @dataclass(eq=False)
 class Joined(Level):
-    """A join: ids are pairs. ``rows`` holds them all, null on the side without a partner.
+    """A join: ids are pairs. ``joined`` holds them all, null on the side without a partner.
 
     With key granularity a step back takes all rows of the side that share the join
     keys, as a shuffled join without row ids would have to.
     """
 
-    rows: DataFrame | None = None
+    joined: DataFrame | None = None
     how: str = "inner"
     on: Sequence[str] = ()
     matches: DataFrame | None = None  #: of a semi join, the pairs behind it
@@ -178,10 +178,10 @@ class Joined(Level):
 
     def pairs(self, branch: int) -> DataFrame:
         if self.how == "left_anti" and branch == 1:
-            return self.rows.where(F.lit(False)).select(ID, F.lit(None).cast(self.parents[1].df.schema[ID].dataType).alias("__side"))
+            return self.joined.where(F.lit(False)).select(ID, F.lit(None).cast(self.parents[1].df.schema[ID].dataType).alias("__side"))
         if self.how == "left_semi" and branch == 1:
             return self.matches.select(F.struct(self.side(0).alias("l")).alias(ID), self.side(1).alias("__side"))
-        return self.rows.select(ID, self.side(branch).alias("__side")).where("__side is not null")
+        return self.joined.select(ID, self.side(branch).alias("__side")).where("__side is not null")
 
     def back(self, ids: DataFrame, branch: int) -> DataFrame:
         if branch == 1 and self.how in ("left_semi", "left_anti"):  # only here an id lacks the side asked for

@@ -19,6 +19,7 @@ from .harness.coverage import coverage
 from .harness.recall import recalled
 from .operators.traced import Traced
 from .operators.traced_rdd import RddCursor, TracedRDD
+from .plans import frames
 from .session import RowTrail
 from .sources.scratch import scratch_path
 
@@ -411,6 +412,62 @@ def trace_except_all(t):
     return t.customer.where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k")).except_all(t.supplier.select("s_nationkey")).trace().go_back(0).show()
 
 
+# windows whose frames' rows alone are witnesses
+
+
+def spending(t: Tables, frame: frames.Frame, **columns) -> Traced:
+    return t.orders.with_windows(["o_custkey"], ["o_orderkey"], frame=frame, **columns)
+
+
+@query("WITH o AS (SELECT *, row_number() OVER w AS place, sum(o_totalprice) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS recent FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)), hit AS (SELECT * FROM o WHERE recent > 900000) SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM o WHERE EXISTS (SELECT * FROM hit WHERE hit.o_custkey = o.o_custkey AND o.place BETWEEN hit.place - 2 AND hit.place)")
+def trace_rows_frame(t):
+    recent = spending(t, frames.rows_frame(-2, 0), recent=F.sum("o_totalprice"))
+    return recent.trace("recent > 900000").go_back().show()
+
+
+@query("WITH o AS (SELECT *, count(*) OVER (PARTITION BY o_custkey ORDER BY o_totalprice RANGE BETWEEN 5000 PRECEDING AND 20000 FOLLOWING) AS near FROM orders), hit AS (SELECT * FROM o WHERE near >= 4) SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM o WHERE EXISTS (SELECT * FROM hit WHERE hit.o_custkey = o.o_custkey AND o.o_totalprice BETWEEN hit.o_totalprice - 5000 AND hit.o_totalprice + 20000)")
+def trace_range_frame(t):
+    near = t.orders.with_windows(["o_custkey"], ["o_totalprice"], frame=frames.range_frame(-5000, 20000), near=F.count(F.lit(1)))
+    return near.trace("near >= 4").go_back().show()
+
+
+@query("WITH p AS (SELECT *, sum(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_size DESC RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM part), hit AS (SELECT * FROM p WHERE p_size = 9) SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM p WHERE EXISTS (SELECT * FROM hit WHERE hit.p_brand = p.p_brand AND p.p_size <= hit.p_size)")
+def trace_range_ties(t):
+    """Rows with equal sort values are peers: all or none are in the frame."""
+    rest = t.part.with_windows(["p_brand"], ["p_size"], frame=frames.range_frame(0, frames.FOLLOWING, descending=True), rest=F.sum("p_retailprice"))
+    return rest.trace("p_size = 9").go_back().show()
+
+
+@query("WITH o AS (SELECT *, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS next FROM orders) SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM o WHERE o_totalprice > 50 * before OR next IN (SELECT o_orderkey FROM o WHERE o_totalprice > 50 * before)")
+def trace_lag(t):
+    """The row and the one before it."""
+    jumps = spending(t, frames.rows_frame(-1, -1), before=lambda w: F.lag("o_totalprice").over(w))
+    return jumps.trace("o_totalprice > 50 * before").go_back().show()
+
+
+@query("WITH o AS (SELECT *, row_number() OVER w AS place, lead(o_orderstatus, 2) OVER w AS later FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)), hit AS (SELECT * FROM o WHERE later = 'P' AND o_orderstatus = 'P') SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM o WHERE EXISTS (SELECT * FROM hit WHERE hit.o_custkey = o.o_custkey AND o.place IN (hit.place, hit.place + 2))")
+def trace_lead(t):
+    later = spending(t, frames.rows_frame(2, 2), later=lambda w: F.lead("o_orderstatus", 2).over(w))
+    return later.trace("later = 'P' and o_orderstatus = 'P'").go_back().show()
+
+
+@query("WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders), hit AS (SELECT * FROM o WHERE o_totalprice > 395000) SELECT o_orderkey FROM o WHERE EXISTS (SELECT * FROM hit WHERE hit.o_custkey = o.o_custkey AND hit.place BETWEEN o.place - 2 AND o.place)")
+def forward_rows_frame(t):
+    """The rows into whose sums a large order goes."""
+    recent = spending(t, frames.rows_frame(-2, 0), recent=F.sum("o_totalprice"))
+    reached = recent.trace().go_back().where("o_totalprice > 395000").go_next()
+    return reached.show("o_orderkey")
+
+
+@query("WITH o AS (SELECT *, count(*) OVER (PARTITION BY o_custkey ORDER BY o_totalprice RANGE BETWEEN 5000 PRECEDING AND 20000 FOLLOWING) AS near FROM orders) SELECT o_orderkey, near FROM o WHERE near >= 3")
+def associations_of_frames(t):
+    """Pairs of each row with those of its frame, counted."""
+    near = t.orders.with_windows(["o_custkey"], ["o_totalprice"], frame=frames.range_frame(-5000, 20000), near=F.count(F.lit(1)))
+    at = near.trace("near >= 3")
+    counts = at.associations().groupBy("output").agg(F.count(F.lit(1)).alias("near"))
+    return near.df.select("o_orderkey", "__id").join(counts, F.col("__id") == F.col("output")).select("o_orderkey", "near")
+
+
 # joins and aggregates beyond the plain ones
 
 

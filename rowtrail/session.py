@@ -36,7 +36,7 @@ class RowTrail:
         self.held.clear()
 
     def _source(self, name: str, rows: DataFrame) -> Traced:
-        return Traced(rows, Source((), name, rows), self.granularity, self.held, intact=True)
+        return Traced(rows, Source((), name, rows=rows), self.granularity, self.held, intact=True)
 
     def parquet(self, path: str, name: str | None = None) -> Traced:
         """A Parquet table; a row's id is its file and its place in it, so nothing is copied.
