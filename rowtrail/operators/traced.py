@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +18,9 @@ from pyspark.sql.types import StructType
 
 from ..functions.ids import ID, distinct_ids, key_struct, visible
 from ..plans import frames
-from ..plans.levels import GroupingSets, Joined, Keyed, Level, Peers, Source, Unioned, UnsupportedOperatorError, sources
+from ..plans.levels import GroupingSets, Joined, Keyed, Level, Peers, Scalar, Source, Unioned, UnsupportedOperatorError, sources
 from ..sources.scratch import dropped, written
+from . import ordered_joins
 from .cursor import Cursor
 
 JOINS = {"inner": "inner", "left": "left", "leftouter": "left", "left_outer": "left", "right": "right", "rightouter": "right", "right_outer": "right", "full": "full", "outer": "full", "fullouter": "full", "full_outer": "full", "semi": "left_semi", "leftsemi": "left_semi", "left_semi": "left_semi", "anti": "left_anti", "leftanti": "left_anti", "left_anti": "left_anti", "cross": "inner"}
@@ -199,6 +201,32 @@ class Traced:
         rows = rows.withColumn(ID, F.struct(F.col("__l").alias("l"))).drop("__l")
         return self._opened(rows, Joined((self, other), rows.select(ID), "left_semi", names, matches, self.granularity))
 
+    def scalar(self, name: str, other: Traced, value: str, on: dict[str, str] | None = None) -> Traced:
+        """Every row, with a column ``name``: the value of a scalar subquery, for use in ``where`` and ``select``.
+
+        Without ``on`` the subquery must have one row at most (Spark raises an error
+        otherwise), and null stands for none. Its row stands behind every row, on branch
+        1. With ``on``, own columns by the subquery's, it is correlated: an aggregate grouped
+        by just those columns, looked up by key; behind a row stands its own group.
+        """
+        if on is None:
+            return self._opened(self.df.withColumn(name, other.df.select(value).scalar()), Scalar((self, other)))
+        if not isinstance(other.level, Keyed) or other.level.what != "aggregate" or set(other.level.names or ()) != set(on.values()):
+            raise UnsupportedOperatorError("a correlated scalar subquery is an aggregate grouped by the columns that it is looked up by")
+        keys = {inner: f"__on{i}" for i, inner in enumerate(on.values())}
+        found = replace(other, df=other.df.select(*(F.col(inner).alias(k) for inner, k in keys.items()), F.col(value).alias(name), ID))
+        condition = reduce(Column.__and__, (F.col(own) == F.col(keys[inner]) for own, inner in on.items()))
+        joined = self.join(found, condition, "left")
+        return joined.drop(*keys.values())
+
+    def range_join(self, other: Traced, at: Column, low: Column, high: Column, on: Sequence[str] = (), how: str = "inner") -> Traced:
+        """See ``ordered_joins.range_join``: low <= at <= high by an equi-join on bins."""
+        return ordered_joins.range_join(self, other, at, low, high, on, how)
+
+    def asof_join(self, other: Traced, left_at: str, right_at: str, by: Sequence[str] = (), **how) -> Traced:
+        """See ``ordered_joins.asof_join``: each row with the other side's last one at or before its time."""
+        return ordered_joins.asof_join(self, other, left_at, right_at, by, **how)
+
     def cross_join(self, other: Traced) -> Traced:
         return self.join(other, F.lit(True))
 
@@ -337,5 +365,35 @@ class Grouped:
         grouped = grouped.withColumn(ID, key_struct([*columns, number])).drop("__set")
         return parent._opened(grouped.withColumnsRenamed({f"__g{i}": n for i, n in enumerate(names)}), level)
 
+    def agg_distinct(self, distinct: dict[str, str | Column], *aggregates: Column) -> Traced:
+        """COUNT(DISTINCT) of several values, with a level of distinct values between the groups and the rows.
+
+        ``distinct`` names the counts and tells what they count. Each is a branch, in
+        order: a step back leads to its distinct values, one more to the rows that have
+        them. Nulls are not counted and have no place there. Other ``aggregates`` are on
+        one more branch, which leads to the rows at once.
+        """
+        if not self.plain:
+            raise UnsupportedOperatorError("distinct values of rollups and grouping sets are traced by agg()")
+        parent = self.parent
+        counts = [F.count_distinct(as_column(c)).alias(n) for n, c in distinct.items()]
+        made = self.agg(*counts, *aggregates)
+        names = made.level.names
+        keys = [F.col(f"__k{i}") for i in range(len(names))]
+        values = parent.df.withColumns({f"__k{i}": k for i, k in enumerate(self.keys)})
+        branches, found = [], []
+        for name, counted in distinct.items():
+            # Keyed steps compare keys as columns of the parent's rows
+            rows = replace(parent, df=values.withColumn("__value", as_column(counted)).where("__value is not null"), intact=False)
+            own = rows.df.select(*keys, "__value").distinct().withColumn(ID, key_struct([*keys, F.col("__value")]))
+            level = Keyed((rows,), ([*keys, F.col("__value")],), f"distinct {name}")
+            level.rows = own.select(*(k.alias(n) for k, n in zip(keys, names, strict=True)), F.col("__value").alias(name), ID)
+            branches.append(replace(parent, df=own, level=level, intact=False))
+            found.append(keys)
+        if aggregates:
+            branches.append(parent)
+            found.append(self.keys)
+        return parent._opened(made.df, Keyed(tuple(branches), found, "count distinct"))
+
     def count(self) -> Traced:
         return self.agg(F.count(F.lit(1)).alias("count"))

@@ -13,6 +13,7 @@ import logging
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import TYPE_CHECKING
 
 from pyspark.errors import AnalysisException
@@ -141,22 +142,84 @@ class Keyed(Level):
 class GroupingSets(Keyed):
     """Groups by several sets of the same columns; the set's number is part of the key.
 
-    So a total and a group whose key is null stay apart.
+    So a total and a group whose key is null stay apart. A step back asks first which sets
+    the chosen groups are of, at most as many numbers as there are sets, and then
+    looks for rows by the columns of those sets only.
     """
 
     columns: Sequence[Column] = ()
     sets: Sequence[Sequence[int]] = ()
 
+    def numbers(self, ids: DataFrame) -> list[int]:
+        return sorted(r[0] for r in ids.select(f"{ID}.k{len(self.columns)}").distinct().collect())
+
+    def of_set(self, number: int, rows: DataFrame, ids: DataFrame) -> DataFrame:
+        """The rows in the chosen groups of one set, with their ``__key``."""
+        chosen, of = self.sets[number], f"{ID}.k{len(self.columns)}"
+        if not chosen:  # the total: every row, if it is asked for at all
+            return rows.withColumn("__key", key_struct([*(F.when(F.lit(False), c) for c in self.columns), F.lit(number)]))
+        wanted = ids.where(F.col(of) == number).select(F.struct(*(F.col(f"{ID}.k{i}").alias(f"k{i}") for i in chosen)).alias(ID))
+        met = keeping(rows.withColumn("__of_set", F.struct(*(self.columns[i].alias(f"k{i}") for i in chosen))), F.col("__of_set"), wanted).drop("__of_set")
+        return met.withColumn("__key", self.key(number))
+
+    def key(self, number: int) -> Column:
+        # a column that the set leaves out is null, with the type it has
+        return key_struct([*(c if i in self.sets[number] else F.when(F.lit(False), c) for i, c in enumerate(self.columns)), F.lit(number)])
+
     def rows_back(self, ids: DataFrame, branch: int) -> DataFrame | None:
-        return None  # a row belongs to a group of each set
+        numbers = self.numbers(ids)
+        if len(numbers) != 1:
+            return None  # a row may belong to groups of several sets
+        return self.of_set(numbers[0], self.parents[0].df, ids).drop("__key")
+
+    def met(self, ids: DataFrame) -> DataFrame:
+        rows = self.parents[0].df
+        found = [self.of_set(n, rows, ids).select("__key", ID) for n in self.numbers(ids)]
+        return reduce(DataFrame.unionByName, found) if found else rows.select(self.key(0).alias("__key"), ID).where(F.lit(False))
+
+    def back(self, ids: DataFrame, branch: int) -> DataFrame:
+        return distinct_ids(self.met(ids))
+
+    def associations(self, ids: DataFrame, branch: int) -> DataFrame:
+        return self.met(ids).select(F.col("__key").alias("output"), F.col(ID).alias("input")).distinct()
 
     def pairs(self, branch: int) -> DataFrame:
-        each = []
-        for number, chosen in enumerate(self.sets):
-            # a column that the set leaves out is null, with the type it has
-            keys = [c if i in chosen else F.when(F.lit(False), c) for i, c in enumerate(self.columns)]
-            each.append(key_struct([*keys, F.lit(number)]))
-        return self.parents[0].df.select(F.explode(F.array(*each)).alias("__key"), ID)
+        """All groups of each row; a step forth asks for a few rows only."""
+        return self.parents[0].df.select(F.explode(F.array(*map(self.key, range(len(self.sets))))).alias("__key"), ID)
+
+    def forth(self, ids: DataFrame, branch: int) -> DataFrame:
+        chosen = keeping(self.parents[0].df, F.col(ID), ids)
+        return chosen.select(F.explode(F.array(*map(self.key, range(len(self.sets))))).alias(ID)).distinct()
+
+
+@dataclass(eq=False)
+class Scalar(Level):
+    """A value of a subquery's one row beside every row; rows keep their own ids.
+
+    Behind a row stand its own and, on branch 1, the subquery's row if it has one.
+    """
+
+    def one(self, ids: DataFrame) -> DataFrame:
+        """The subquery's id, if there is any row whose witness it could be."""
+        return self.parents[1].df.select(ID).join(ids.select(F.lit(1).alias("__any")).limit(1), F.lit(True), "left_semi")
+
+    def back(self, ids: DataFrame, branch: int) -> DataFrame:
+        return ids if branch == 0 else self.one(ids)
+
+    def forth(self, ids: DataFrame, branch: int) -> DataFrame:
+        if branch == 0:
+            return ids
+        return self.rows.select(ID).join(ids.select(F.lit(1).alias("__any")).limit(1), F.lit(True), "left_semi")
+
+    def associations(self, ids: DataFrame, branch: int) -> DataFrame:
+        outputs = ids.select(F.col(ID).alias("output"))
+        if branch == 0:
+            return outputs.withColumn("input", F.col("output"))
+        # one value at most, set beside each output
+        return outputs.withColumn("input", self.parents[1].df.select(ID).scalar()).where("input is not null")
+
+    def describe(self) -> str:
+        return "scalar subquery"
 
 
 @dataclass(eq=False)
@@ -281,4 +344,4 @@ def sources(level: Level) -> list[Source]:
     return [s for p in level.parents for s in sources(p.level)]
 
 
-__all__ = ["GroupingSets", "Joined", "Keyed", "Level", "Peers", "Source", "TraceError", "Unioned", "UnsupportedOperatorError", "sources", "visible"]
+__all__ = ["GroupingSets", "Joined", "Keyed", "Level", "Peers", "Scalar", "Source", "TraceError", "Unioned", "UnsupportedOperatorError", "sources", "visible"]

@@ -486,6 +486,123 @@ def trace_existence_join_right(t):
     return indebted(t).where("poor or o_totalprice > 395000").trace().go_back(1).show()
 
 
+def above_mean(t: Tables) -> Traced:
+    """Rich customers' balances against the mean of all."""
+    return t.customer.scalar("mean", t.customer.agg(F.avg("c_acctbal").alias("mean")), "mean")
+
+
+@query("SELECT * FROM customer WHERE c_acctbal > 1.9 * (SELECT avg(c_acctbal) FROM customer) AND c_nationkey = 5")
+def trace_scalar_where(t):
+    """A scalar subquery in a condition: the rows themselves."""
+    return above_mean(t).where("c_acctbal > 1.9 * mean").trace("c_nationkey = 5").go_back(0).show()
+
+
+@query("SELECT * FROM customer")
+def trace_scalar_where_subquery(t):
+    """Behind the subquery's one row stand all rows that it reads."""
+    return above_mean(t).where("c_acctbal > 1.9 * mean").trace("c_nationkey = 5").go_back(1).go_back().show()
+
+
+@query("SELECT * FROM supplier WHERE s_nationkey < 20")
+def trace_scalar_select(t):
+    """A scalar subquery in the select list, below an aggregate."""
+    most = t.supplier.where("s_nationkey < 20").agg(F.max("s_acctbal").alias("most"))
+    share = t.nation.scalar("most", most, "most").select("n_regionkey", (F.col("n_nationkey") / F.col("most")).alias("share"))
+    return share.group_by("n_regionkey").agg(F.sum("share").alias("s")).trace("n_regionkey = 2").go_back().go_back(1).go_back().show()
+
+
+def small_quantities(t: Tables) -> Traced:
+    mean = t.lineitem.group_by("l_partkey").agg(F.avg("l_quantity").alias("mean"))
+    return t.lineitem.scalar("mean", mean, "mean", on={"l_partkey": "l_partkey"}).where("l_quantity < 0.05 * mean")
+
+
+@query("SELECT * FROM lineitem a WHERE l_quantity < 0.05 * (SELECT avg(l_quantity) FROM lineitem b WHERE a.l_partkey = b.l_partkey) AND l_returnflag = 'R'")
+def trace_scalar_correlated(t):
+    return small_quantities(t).trace("l_returnflag = 'R'").go_back(0).show()
+
+
+@query("SELECT * FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem a WHERE l_quantity < 0.05 * (SELECT avg(l_quantity) FROM lineitem b WHERE a.l_partkey = b.l_partkey) AND l_returnflag = 'R')")
+def trace_scalar_correlated_subquery(t):
+    """Behind the correlated subquery stands the group of the row's own key."""
+    return small_quantities(t).trace("l_returnflag = 'R'").go_back(1).go_back().show()
+
+
+def variety(t: Tables) -> Traced:
+    counts = {"parts": "l_partkey", "days": F.to_date("l_shipdate")}
+    return t.lineitem.group_by("l_suppkey").agg_distinct(counts, F.sum("l_quantity").alias("quantity"))
+
+
+@query("SELECT DISTINCT l_suppkey, l_partkey AS parts FROM lineitem WHERE l_suppkey IN (SELECT l_suppkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) > 545)")
+def trace_distinct_values(t):
+    """One hop: the distinct values that were counted."""
+    return variety(t).trace("parts > 545").go_back(0).show()
+
+
+@query("SELECT * FROM lineitem WHERE l_suppkey IN (SELECT l_suppkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) > 545) AND l_partkey < 300")
+def trace_distinct_rows(t):
+    """Two hops: the rows that have some of the values."""
+    return variety(t).trace("parts > 545").go_back(0).where("parts < 300").go_back().show()
+
+
+@query("SELECT * FROM lineitem WHERE l_suppkey IN (SELECT l_suppkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT CAST(l_shipdate AS DATE)) > 575)")
+def trace_distinct_second(t):
+    """The second counted column is a branch of its own."""
+    return variety(t).trace("days > 575").go_back(1).go_back().show()
+
+
+@query("SELECT * FROM lineitem WHERE l_suppkey = 7")
+def trace_distinct_plain_branch(t):
+    """Plain aggregates beside the counts lead to the rows at once."""
+    return variety(t).trace("l_suppkey = 7 and quantity > 0").go_back(2).show()
+
+
+# range and as-of joins
+
+
+def near_balances(t: Tables, how: str = "inner") -> Traced:
+    return t.customer.range_join(t.supplier, F.col("c_acctbal"), F.col("s_acctbal") - F.col("s_suppkey"), F.col("s_acctbal") + 20, how=how)
+
+
+@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_acctbal BETWEEN s_acctbal - s_suppkey AND s_acctbal + 20")
+def answer_range_join(t):
+    return near_balances(t).select("c_custkey", "s_suppkey").result
+
+
+@query("SELECT DISTINCT supplier.* FROM customer JOIN supplier ON c_acctbal BETWEEN s_acctbal - s_suppkey AND s_acctbal + 20 WHERE c_nationkey = 3")
+def trace_range_join(t):
+    return near_balances(t).trace("c_nationkey = 3").go_back(1).show()
+
+
+@query("SELECT customer.* FROM customer LEFT JOIN supplier ON c_acctbal BETWEEN s_acctbal - s_suppkey AND s_acctbal + 20 WHERE s_suppkey IS NULL")
+def trace_range_join_unmatched(t):
+    return near_balances(t, "left").trace("s_suppkey is null").go_back(0).show()
+
+
+def last_view(t: Tables, **how) -> Traced:
+    """Each purchase with the user's last view before it."""
+    views = t.events.where("event_type = 'view'").select("user_id", F.col("ts").alias("seen"), F.col("event_id").alias("view_id"))
+    return t.events.where("event_type = 'purchase'").asof_join(views, "ts", "seen", ["user_id"], ties=["view_id"], **how)
+
+
+LAST_VIEW = "SELECT p.*, v.ts AS seen, v.event_id AS view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p LEFT JOIN LATERAL (SELECT ts, event_id FROM events v WHERE event_type = 'view' AND v.user_id = p.user_id AND v.ts <= p.ts ORDER BY ts DESC, event_id DESC LIMIT 1) v ON true"
+
+
+@query(f"SELECT event_id, view_id, seen FROM ({LAST_VIEW})")
+def answer_asof_join(t):
+    return last_view(t).select("event_id", "view_id", "seen").result
+
+
+@query(f"SELECT e.* FROM events e WHERE event_id IN (SELECT view_id FROM ({LAST_VIEW}) WHERE value > 50)")
+def trace_asof_join(t):
+    """Time is cut into weeks, which changes no row."""
+    return last_view(t, every=604800).trace("value > 50").go_back(1).show()
+
+
+@query(f"SELECT event_id, ts, user_id, event_type, value, props FROM ({LAST_VIEW}) WHERE view_id IS NULL")
+def trace_asof_join_unmatched(t):
+    return last_view(t, every=86400).trace("view_id is null").go_back(0).show()
+
+
 @query("SELECT * FROM lineitem WHERE l_linestatus = 'O'")
 def trace_approximate_aggregates(t):
     made = t.lineitem.group_by("l_linestatus").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("middle"), F.stddev_samp("l_tax").alias("spread"))
