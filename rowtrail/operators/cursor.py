@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.ids import ID, distinct_ids, keeping
 from ..plans.levels import Level, Source, TraceError
 
+#: Files up to which a source's rows are looked up in these alone.
+MOST_FILES = 1000
+
 
 @dataclass(frozen=True)
 class Cursor:
@@ -76,16 +79,24 @@ class Cursor:
             raise TraceError("the cursors stand at different levels")
         return Cursor(self.level, self.ids.intersect(other.ids), self.path)
 
-    def _rows(self) -> DataFrame:
+    def _rows(self, pruned: bool = False) -> DataFrame:
         if self.level.rows is None:
             raise TraceError("this level's rows are not known")
         if self.rows is not None:
             return self.rows.select(self.level.rows.columns)
+        if pruned and self.at_scan and self.level.cut:
+            files = [r[0] for r in self.ids.select(f"{ID}.file").distinct().limit(MOST_FILES + 1).collect()]
+            if len(files) <= MOST_FILES:
+                return keeping(self.level.cut(files), F.col(ID), self.ids)
         return keeping(self.level.rows, F.col(ID), self.ids)
 
-    def show(self, *columns: str) -> DataFrame:
-        """The rows at which the cursor stands, whole or cut to some columns: a source's, or those of a level between."""
-        rows = self._rows().drop(ID)
+    def show(self, *columns: str, pruned: bool = False) -> DataFrame:
+        """The rows at which the cursor stands, whole or cut to some columns: a source's, or those of a level between.
+
+        ``pruned`` asks first in which files of a source the rows lie, and reads only these; of
+        use where the ids cost little, as from an index, and lie in few files.
+        """
+        rows = self._rows(pruned).drop(ID)
         return rows.select(*columns) if columns else rows
 
     def show_json(self, *columns: str) -> DataFrame:

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.ids import ID, distinct_ids, key_struct, visible
-from ..plans import frames
+from ..plans import frames, index
 from ..plans.levels import GroupingSets, Joined, Keyed, Level, Peers, Scalar, Source, Unioned, UnsupportedOperatorError, sources
-from ..sources.scratch import dropped, written
+from ..sources.scratch import dropped, written, written_by
 from . import ordered_joins
 from .cursor import Cursor
 
@@ -100,6 +100,22 @@ class Traced:
         """Write the rows with their ids; for operators that do not give the same rows each time."""
         return self._same(self._written(self.df, "stored"))
 
+    def indexed(self, buckets: int = index.BUCKETS, forward: bool = False) -> Traced:
+        """The same result, stored with a lineage index, so that traces compute nothing anew.
+
+        A trace reads the stored result, and a step back the buckets of the chosen ids. With
+        ``forward`` steps forth have buckets of their own. ``release`` deletes all of it,
+        the session's ``size`` counts it.
+        """
+
+        def write(pairs: DataFrame, name: str) -> DataFrame:
+            table = written_by(pairs, name, "bucket")
+            self.held.append(table)
+            return table
+
+        level = index.indexed(self.level, self.df.select(ID), buckets, forward, write)
+        return replace(self, df=self._written(self.df, "result"), level=level, intact=False)
+
     def map_in_pandas(self, function: Callable, schema: str, granularity: str | None = None) -> Traced:
         """Refused unless it is declared which input rows stand behind an output row.
 
@@ -312,8 +328,10 @@ class Traced:
         return [r[0] for r in self.df.select(ID).collect()]
 
     def release(self) -> None:
-        """Delete what was written for this result, copies of sources aside (limit, top-k, stored); its traces end here."""
-        dropped(self.df, *(s.rows for s in sources(self.level)))
+        """Delete what was written for this result, copies of sources aside (limit, top-k, stored, indexes); its traces end here."""
+        kept = [s.rows for s in sources(self.level)]
+        for table in [self.df, *index.tables_of(self.level)]:
+            dropped(table, *kept)
 
     def trace(self, where: str | Column | None = None) -> Cursor:
         """A cursor at the result's level, on the rows for which ``where`` holds (or all)."""

@@ -10,7 +10,7 @@ forth is a semi-join that Catalyst plans like any other.
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
@@ -80,6 +80,7 @@ class Level:
 @dataclass(eq=False)
 class Source(Level):
     name: str = ""
+    cut: Callable[[list[int]], DataFrame] | None = None  #: the rows of some files only, where ids have a ``file``
 
     def describe(self) -> str:
         return f"source {self.name}"

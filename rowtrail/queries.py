@@ -199,6 +199,27 @@ def trace_nested_aggregate(t):
     return orders.top(1, F.desc("n"), keys=["n"]).trace().go_back_all().show()
 
 
+@query("SELECT o.* FROM orders o JOIN customer c ON o_custkey = c_custkey WHERE c_mktsegment = 'AUTOMOBILE'")
+def trace_indexed(t):
+    """From a stored index: the join and the aggregate are not computed again."""
+    return totals(t).indexed().trace("c_mktsegment = 'AUTOMOBILE'").go_back().go_back(0).show()
+
+
+@query("SELECT DISTINCT c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 398000")
+def forward_indexed(t):
+    back = totals(t).indexed(forward=True).trace().go_back().go_back(0)
+    return back.where("o_totalprice > 398000").go_next().go_next().show("c_mktsegment")
+
+
+@query("SELECT * FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) = (SELECT max(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)))")
+def trace_indexed_nested(t):
+    """An index for each of two aggregates."""
+    sizes = t.lineitem.group_by("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    orders = sizes.group_by("n").agg(F.count(F.lit(1)).alias("orders")).indexed()
+    most = orders.result.agg(F.max("n")).first()[0]
+    return orders.trace(F.col("n") == most).go_back_all().show()
+
+
 def rolled(t: Tables) -> Traced:
     return t.lineitem.rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))
 
@@ -671,6 +692,15 @@ def as_files(t: Tables, table: str, kind: str) -> str:
     return path
 
 
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_acctbal > 9000")
+def trace_csv_in_place(t):
+    """CSV files with headers, read where they are; only the files that hold the rows are looked into."""
+    path = scratch_path(t.trail.spark, "supplier-csv")
+    t.supplier.result.repartition(3, "s_nationkey").write.csv(path, header=True)
+    read = t.trail.csv(path, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double", header=True)
+    return read.where("s_acctbal > 9000").select("s_suppkey").trace().show(pruned=True)
+
+
 @query("SELECT * FROM supplier WHERE s_nationkey = 3")
 def trace_csv_source(t):
     read = t.trail.csv(as_files(t, "supplier", "csv"), "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")

@@ -30,11 +30,19 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, name: str, column: str) -> DataFrame:
+    """The same with a folder for each value of ``column``; Spark evens out values with very many rows."""
+    path = scratch_path(df.sparkSession, name)
+    df.hint("rebalance", column).sortWithinPartitions(column).write.partitionBy(column).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def folders(df: DataFrame) -> set[str]:
     """The scratch folders that ``df`` reads."""
     root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     inside = f"{root.rstrip('/').removeprefix('file:').lstrip('/')}/" if root else None
-    return {f.rpartition("/")[0] for f in df.inputFiles() if inside and inside in f}
+    # the folder right below the root; a table written by a column has more below it
+    return {f[: f.index("/", f.index(inside) + len(inside))] for f in df.inputFiles() if inside and inside in f}
 
 
 def _file_system(spark: SparkSession, path: str):
