@@ -187,6 +187,8 @@ class Traced:
 
         A semi join's right witnesses are found by joining again; an anti join has none.
         """
+        if not isinstance(other, Traced):  # parts of a table that are tried together
+            return other.met_by(self, on, how)
         kind = JOINS[how.lower()]
         names = [on] if isinstance(on, str) else list(on) if not isinstance(on, Column) else []
         left, right = self.df.withColumnRenamed(ID, "__l"), other.df.withColumnRenamed(ID, "__r")

@@ -7,9 +7,11 @@ import pytest
 from made import SHOPS, spoilt, visits
 from pyspark.sql import functions as F
 
+from rowtrail.faults import isolate as iso
 from rowtrail.faults import oracles
 from rowtrail.faults.ddmin import ddmin, remembering, smallest
 from rowtrail.faults.isolate import isolate_frame, isolate_sql
+from rowtrail.faults.parted import Parted, fits
 from rowtrail.harness.recall import leave_one_out, recall_holds
 from rowtrail.session import RowTrail
 
@@ -155,3 +157,49 @@ def test_recall_and_leave_one_out(spark):
     query = lambda s: totals(s["visits"])
     assert recall_holds(t, sources, query, F.col("shop") == SHOPS[1])
     assert leave_one_out(t, sources, query, F.col("shop") == SHOPS[1], "visits")
+
+
+def test_parts_are_tried_in_one_scan(spark):
+    """All parts of a group-by query come out of one scan of the candidates; other queries fall back."""
+    t = RowTrail(spark)
+    base = t.values(FAULTY, SCHEMA)
+    assert fits(totals, base.df) and not fits(lambda s: s.agg(F.sum("spent").alias("total")), base.df) and not fits(lambda s: totals(s).top(1, F.asc("total")), base.df)
+    dealt = base.df.withColumn("__bucket", (F.col("__id.row") % 6).cast("int"))
+    trials = iso.PartedTrials(None, totals, F.col("total") < 0)
+    plain = iso.Trials(lambda rows: totals(base._same(rows)).result.where("total < 0"))
+    parts = [(0, 1), (2,), (3, 4, 5), (0, 1, 2, 3, 4, 5), (), (1, 3, 5)]
+    assert trials.fail(dealt, parts) == plain.fail(dealt, parts) and trials.runs == 6
+    plan = totals(Parted(iso.members(dealt.drop("__id"), parts).withColumnRenamed("__part", "__id"))).df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1
+
+
+@pytest.mark.parametrize("query", [
+    lambda s: s.select("shop", (F.col("spent") * 2).alias("x")).distinct().group_by("shop").agg(F.min("x").alias("total")),
+    lambda s: s.join(s.group_by("shop").agg(F.min("spent").alias("total")), "shop").where("spent > 0"),
+    lambda s: s.join(s.rename("spent", "other").rename("shop", "s2"), F.col("shop") == F.col("s2")).group_by("shop").agg(F.min("other").alias("total")),
+    lambda s: s.union(s.select("shop", "spent")).with_windows(["shop"], total=F.sum("spent")),
+    lambda s: s.explode("half", F.array("spent", F.col("spent") / 2)).group_by("shop").agg(F.sum("half").alias("total")).order_by("total"),
+])
+def test_parted_queries_find_the_same(spark, query):
+    t = RowTrail(spark)
+    base = t.values(FAULTY, SCHEMA)
+    assert fits(query, base.df)
+    found = isolate_frame(t, base, query, F.col("total") < -60_000)
+    # a row that is a witness alone need not be the culprit of a self-join
+    assert FAULTY[FAULT] in [tuple(r) for r in found.culprits.collect()] and found.minimal
+
+
+def test_rows_that_reach_most_faulty_groups_come_first(spark):
+    """One price list entry spoils three of its users' totals; ranked, it takes fewer runs."""
+    t = RowTrail(spark)
+    lists = [(f"user{u}", f"item{i}") for u in range(6) for i in range(u * 40, u * 40 + 45)] + [(f"user{u}", "bad") for u in range(3)]
+    prices = t.keyed(spark.createDataFrame([(f"item{i}", 3) for i in range(300)] + [("bad", -10**6)], "item string, price int"), "item")
+    bought = t.keyed(spark.createDataFrame(lists, "user string, item string"), "user", "item")
+    spent = lambda p: bought.join(p, "item").group_by("user").agg(F.sum("price").alias("total"))
+    runs = {}
+    for ranked in (False, True):
+        found = isolate_frame(t, prices, spent, F.col("total") < 0, ranked=ranked)
+        assert [r.item for r in found.culprits.collect()] == ["bad"] and found.n_faulty == 3
+        runs[ranked] = found.runs
+    assert fits(spent, prices.df)
+    assert runs[True] < runs[False]
