@@ -65,7 +65,12 @@ def chosen(dealt: DataFrame, part: Part) -> DataFrame:
 
 
 class Trials:
-    """Tries parts of an input, each a set of buckets: whether some output row of each is faulty."""
+    """Tries parts of an input, each a set of buckets: whether some output row of each is faulty.
+
+    ``runs`` counts how often the query was run.
+    """
+
+    at_once = False  #: whether any number of parts without common buckets is tried in one run
 
     def __init__(self, faulty_rows: Callable[[DataFrame], DataFrame]):
         self.faulty_rows, self.runs = faulty_rows, 0
@@ -89,8 +94,10 @@ class PartedTrials(Trials):
         super().__init__(faulty_rows)
         self.query, self.test = query, test
 
+    at_once = True
+
     def fail(self, dealt: DataFrame, parts: list[Part]) -> list[bool]:
-        self.runs += len(parts)
+        self.runs += 1
         rows = members(dealt.drop(ID), parts).withColumnRenamed("__part", ID)
         hit = {r[0] for r in self.query(Parted(rows)).df.where(self.test).select(ID).distinct().collect()}
         return [i in hit for i in range(len(parts))]
@@ -113,8 +120,14 @@ def minimised(rows: DataFrame, trials: Trials, on_progress: Callable[[int], None
         else:
             number, count = F.pmod(F.xxhash64(F.lit(round_), ID), F.lit(buckets)), buckets
         dealt = written(rows.withColumn("__bucket", number.cast("int")), "candidates")
-        first = remembering(lambda parts, of=dealt: trials.fail(of, parts), AT_ONCE)
-        kept = smallest(count, first, on_progress if alone else None)
+        failing = trials.fail(dealt, [(i,) for i in range(count)]) if trials.at_once else [False]
+        if any(failing):  # one bucket does it alone
+            kept = (failing.index(True),)
+            if on_progress and alone:
+                on_progress(1)
+        else:
+            first = remembering(lambda parts, of=dealt: trials.fail(of, parts), AT_ONCE)
+            kept = smallest(count, first, on_progress if alone else None)
         rows = chosen(dealt, kept)
         if alone:
             return rows.drop(ID), True
