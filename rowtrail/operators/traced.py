@@ -148,6 +148,44 @@ class Traced:
         out = self.df.drop(ID).groupBy(*named).applyInPandas(function, schema)
         return self._opened(out.withColumn(ID, key_struct([F.col(n) for n in names])), Keyed((self,), (named,), "grouped map"))
 
+    def table_function(self, function: Callable, *arguments: Column, keys: Sequence[str] = (), granularity: str | None = None) -> Traced:
+        """A Python table function (UDTF) over the rows as its table argument; refused unless its granularity is declared.
+
+        "group": it is called for the rows of each group of ``keys``, which its output holds by
+        name; all rows of the group stand behind them. "all": one call gets every row, in one
+        task, so it is for small tables. For one call a row see ``lateral_join``.
+        """
+        table = self.df.drop(ID).asTable() if granularity in ("group", "all") else None
+        if granularity == "group" and keys:
+            out = function(table.partitionBy(*keys), *arguments)
+            return self._opened(out.withColumn(ID, key_struct([F.col(k) for k in keys])), Keyed((self,), ([F.col(k) for k in keys],), "table function", list(keys)))
+        if granularity == "all":
+            return self._opened(function(table.withSinglePartition(), *arguments).withColumn(ID, key_struct([])), Keyed((self,), ([],), "table function"))
+        raise UnsupportedOperatorError("a table function hides which rows it uses; declare granularity 'group' with keys, or 'all'")
+
+    def lateral_join(self, other: Traced | DataFrame, on: Column | None = None, how: str = "inner", granularity: str | None = None) -> Traced:
+        """LATERAL: what ``other``, which refers to this side by ``col.outer()``, gives for each row.
+
+        A traced ``other`` of narrow operators, and ``nearest``, carries its ids: pairs stand
+        behind the rows, as in a join. A plain DataFrame, such as a call of a table function, is
+        taken if ``granularity`` is declared to be "row": it uses the row's values alone.
+        Spark looks names up in ``other`` first, also ones that were renamed there, so
+        the outer columns' names must be none of its source's.
+        """
+        if how not in ("inner", "left"):
+            raise UnsupportedOperatorError("a lateral join is inner or left")
+        if not isinstance(other, Traced):
+            if granularity != "row":
+                raise UnsupportedOperatorError("a table function may keep what it has seen; declare granularity 'row' if it uses each row alone")
+            return self._same(self.df.lateralJoin(other, on, how))
+        joined = self.df.withColumnRenamed(ID, "__l").lateralJoin(other.df.withColumnRenamed(ID, "__r"), on, how)
+        rows = joined.withColumn(ID, F.struct(F.col("__l").alias("l"), F.col("__r").alias("r"))).drop("__l", "__r")
+        return self._opened(rows, Joined((self, other), rows.select(ID), f"lateral {how}", [], granularity="exact"))
+
+    def nearest(self, n: int, *order_by: Column) -> Traced:
+        """The first n rows of a lateral subquery, for each outer row; ties are broken by the rows' ids, so traces see the same ones."""
+        return self._same(self.df.orderBy(*order_by, ID).limit(n))
+
     def _opened(self, df: DataFrame, level: Level) -> Traced:
         level.rows = df
         if isinstance(level, Keyed):

@@ -577,6 +577,62 @@ def trace_distinct_plain_branch(t):
     return variety(t).trace("l_suppkey = 7 and quantity > 0").go_back(2).show()
 
 
+# lateral joins and table functions
+
+
+def latest_orders(t: Tables, how: str = "inner", least: int = 0) -> Traced:
+    """Each customer of nation 4 with the two latest orders of some price."""
+    own = t.orders.where(F.col("o_totalprice") >= least).where(F.col("o_custkey") == F.col("c_custkey").outer()).nearest(2, F.desc("o_orderdate"), F.desc("o_orderkey"))
+    return t.customer.where("c_nationkey = 4").lateral_join(own, how=how)
+
+
+LATEST = "SELECT * FROM (SELECT * FROM customer WHERE c_nationkey = 4) c {} JOIN LATERAL (SELECT * FROM orders WHERE o_custkey = c_custkey AND o_totalprice >= {} ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 2) o ON true"
+
+
+@query(f"SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM ({LATEST.format('', 0)}) WHERE o_totalprice > 100000")
+def trace_lateral_join(t):
+    return latest_orders(t).trace("o_totalprice > 100000").go_back(1).show()
+
+
+@query(f"SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM ({LATEST.format('LEFT', 300000)}) WHERE o_orderkey IS NULL")
+def trace_lateral_left_join(t):
+    return latest_orders(t, "left", 300_000).trace("o_orderkey is null").go_back(0).show()
+
+
+@F.udtf(returnType="word string")
+class Words:
+    def eval(self, text: str):
+        for word in (text or "").split(" "):
+            yield (word,)
+
+
+@F.udtf(returnType="c_nationkey int, debts double")
+class Debts:
+    """Sums what the rows of one nation owe."""
+
+    def __init__(self):
+        self.nation, self.debts = None, 0.0
+
+    def eval(self, row):
+        self.nation, self.debts = row["c_nationkey"], self.debts + min(row["c_acctbal"], 0)
+
+    def terminate(self):
+        yield self.nation, self.debts
+
+
+@query("SELECT DISTINCT p.* FROM part p WHERE list_contains(string_split(p_name, ' '), split_part((SELECT min(p_name) FROM part), ' ', 1))")
+def trace_table_function(t):
+    """A Python table function called for each row, below an aggregate."""
+    words = t.part.lateral_join(Words(F.col("p_name").outer()), granularity="row").group_by("word").count()
+    first = t.part.result.agg(F.split(F.min("p_name"), " ")[0]).first()[0]
+    return words.trace(F.col("word") == first).go_back().show()
+
+
+@query("SELECT * FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM customer GROUP BY 1 HAVING sum(least(c_acctbal, 0)) < -3600)")
+def trace_table_function_groups(t):
+    return t.customer.table_function(Debts, keys=["c_nationkey"], granularity="group").trace("debts < -3600").go_back().show()
+
+
 # range and as-of joins
 
 

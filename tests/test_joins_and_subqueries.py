@@ -142,3 +142,40 @@ def test_grouping_sets_by_the_chosen_sets(spark):
     assert cubed.trace("g = 3").go_back().ids.count() == len(POINTS) and cubed.trace("g = 9").go_back().ids.count() == 0
     assert several.associations().count() == several.go_back().ids.count()
     assert cubed.trace().go_back().where("p = 4").go_next().ids.count() == 4
+
+
+def test_lateral_joins_and_table_functions(spark):
+    @F.udtf(returnType="x long")
+    class Twice:
+        def eval(self, n):
+            for _ in range(2):
+                yield (n * 10,)
+
+    @F.udtf(returnType="n long")
+    class Count:
+        def __init__(self):
+            self.n = 0
+
+        def eval(self, row):
+            self.n += 1
+
+        def terminate(self):
+            yield (self.n,)
+
+    _, points, spans = both(spark)
+    made = points.lateral_join(Twice(F.col("p").outer()), granularity="row")
+    assert made.result.count() == 2 * len(POINTS) and [r.p for r in made.trace("x = 70").show().collect()] == [7]
+    for refused in (lambda: points.lateral_join(Twice(F.col("p").outer())), lambda: points.table_function(Count), lambda: points.table_function(Count, granularity="group"), lambda: points.lateral_join(spans, how="right")):
+        with pytest.raises(UnsupportedOperatorError):
+            refused()
+    total = points.table_function(Count, granularity="all")
+    assert [r.n for r in total.collect()] == [len(POINTS)] and total.trace().go_back().ids.count() == len(POINTS)
+    _, _, spans = both(spark, spans="s long, k2 string, lo double, hi double")
+    own = spans.where(F.col("k2") == F.col("k").outer())
+    pairs = points.lateral_join(own)
+    assert sorted((r.p, r.s) for r in pairs.result.select("p", "s").collect()) == sorted((p[0], s[0]) for p in POINTS for s in SPANS if p[1] and p[1] == s[1])
+    nearest = points.lateral_join(own.nearest(1, F.desc("hi")), how="left")
+    assert nearest.result.count() == len(POINTS)
+    best = {k: max((s for s in SPANS if s[1] == k and s[3] is not None), key=lambda s: (s[3], -s[0]))[0] for k in "xy"}
+    assert {r.s for r in nearest.trace("k = 'x'").go_back(1).show().collect()} == {best["x"]}
+    assert nearest.trace("k is null").go_back(1).ids.count() == 0 and nearest.trace("k is null").go_back(0).ids.count() == sum(p[1] is None for p in POINTS)
