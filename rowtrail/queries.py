@@ -739,6 +739,30 @@ def export_associations(t):
     return pairs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("input").alias("customers"))
 
 
+@query("SELECT * FROM nation")
+def trace_mapped_in_pandas(t):
+    """An opaque map over the whole input, declared so: every row stands behind its result."""
+
+    def least(frames):
+        for rows in frames:
+            yield rows[rows.n_nationkey == 7][["n_nationkey"]]
+
+    return t.nation.map_in_pandas(least, "n_nationkey int", granularity="all").trace("n_nationkey = 7").go_back().show()
+
+
+@query("SELECT * FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 200000")
+def trace_repartitioned(t):
+    return t.orders.repartition(5, "o_custkey").where("o_totalprice > 200000").select("o_orderstatus").trace("o_orderstatus = 'P'").show()
+
+
+@query("SELECT * FROM customer WHERE c_acctbal > 9000 AND c_nationkey IN (1, 2)")
+def trace_intersection(t):
+    """The rows that two traces share."""
+    customers = t.customer
+    by_nation = customers.group_by("c_nationkey").count().trace("c_nationkey in (1, 2)").go_back()
+    return by_nation.intersection(customers.where("c_acctbal > 9000").trace()).show()
+
+
 # sources in other formats: the table is written in the format and read back as a source
 
 
@@ -901,6 +925,29 @@ def rdd_left_outer_join(t):
     return shown(t, joined.lineage(lambda kv: kv[1][1] is None).go_back(0), "c_custkey long, c_mktsegment string")
 
 
+def large_orders(t: Tables) -> TracedRDD:
+    return records(t, "orders", "o_custkey", "o_totalprice").filter(lambda r: r[1] > 350000)
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000)")
+def rdd_right_outer_join(t):
+    joined = large_orders(t).right_outer_join(records(t, "customer", "c_custkey", "c_mktsegment"))
+    return shown(t, joined.lineage(lambda kv: kv[1][0] is None).go_back(1), "c_custkey long, c_mktsegment string")
+
+
+@query("SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 350000 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def rdd_full_outer_join(t):
+    builders = records(t, "customer", "c_custkey", "c_mktsegment").filter(lambda r: r[1] == "BUILDING")
+    joined = large_orders(t).full_outer_join(builders)
+    return shown(t, joined.lineage(lambda kv: kv[1][1] is None).go_back(0), "o_custkey long, o_totalprice double")
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000)")
+def rdd_subtract(t):
+    rest = records(t, "customer", "c_custkey", "c_mktsegment").subtract_by_key(large_orders(t))
+    return shown(t, rest.lineage(lambda kv: kv[1] == "MACHINERY").go_back(0), "c_custkey long, c_mktsegment string")
+
+
 @query("SELECT s_nationkey, s_suppkey FROM supplier WHERE s_nationkey IN (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) > 65)")
 def rdd_cogroup(t):
     groups = records(t, "supplier", "s_nationkey", "s_suppkey").cogroup(records(t, "customer", "c_nationkey", "c_custkey"))

@@ -150,3 +150,20 @@ def test_indexes_of_nested_levels(spark):
     several = several.rename(several.result.columns[0], "g")
     assert sorted(several.indexed(4).trace("g = 2").go_back().collect_ids()) == sorted(several.trace("g = 2").go_back().collect_ids()) != []
     trail.release()
+
+
+def test_jdbc_export(spark, tmp_path):
+    """Associations and ids in the database that comes with Spark."""
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    try:
+        spark._jvm.java.lang.System.setProperty("derby.stream.error.file", f"{tmp_path}/derby.log")
+        spark._jvm.java.lang.Class.forName(driver["driver"])
+    except Exception:
+        pytest.skip("no Derby here")
+    trail = RowTrail(spark)
+    at = orders(trail, spark).trace("city = 'city4'")
+    at.save_associations_jdbc(url, "pairs", properties=driver)
+    at.go_back().go_back(1).save_jdbc(url, "people", properties=driver)
+    pairs, people = (spark.read.jdbc(url, table, properties=driver) for table in ("pairs", "people"))
+    assert pairs.count() == at.associations().count() > 0
+    assert sorted(r[0] for r in people.collect()) == ['{"c":24}', '{"c":4}']
