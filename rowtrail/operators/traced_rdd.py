@@ -6,12 +6,15 @@ ids are the keys themselves, and a step back or forth is a semi-join.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
 from pyspark import RDD, SparkContext
+from pyspark.rdd import portable_hash
 
+from ..plans import hot_keys
 from ..plans.levels import TraceError, UnsupportedOperatorError
 
 
@@ -90,8 +93,42 @@ class RddCursor:
 
 
 def among(pairs: RDD, ids: RDD) -> RDD:
-    """The pairs whose key is among the ids."""
-    return pairs.join(ids.map(lambda i: (i, None))).mapValues(lambda v: v[0])
+    """The pairs whose key is among the ids, which are distinct.
+
+    Both are dealt and sorted by the key's hash, ids first, so a task holds the ids of one
+    hash and never the pairs, however many share a key.
+    """
+    asked = ids.map(lambda i: ((portable_hash(i), 0), (i, None)))
+    dealt = asked.union(pairs.map(lambda p: ((portable_hash(p[0]), 1), p)))
+
+    def swept(records) -> Iterator[tuple]:
+        at, chosen = None, set()
+        for (number, turn), (key, value) in records:
+            if number != at:
+                at, chosen = number, set()
+            if turn == 0:
+                chosen.add(key)
+            elif key in chosen:
+                yield key, value
+
+    return dealt.repartitionAndSortWithinPartitions(dealt.getNumPartitions(), lambda k: k[0]).mapPartitions(swept)
+
+
+def paired(f: Callable, records) -> Iterator[tuple]:
+    """(id, new value) in order; holds the ids of those records alone that ``f`` has taken and not answered yet."""
+    records, waiting = iter(records), deque()
+
+    def values():
+        for i, value in records:
+            waiting.append(i)
+            yield value
+
+    for value in f(values()):
+        if not waiting:
+            raise ValueError("more records came out than went in")
+        yield waiting.popleft(), value
+    if waiting or next(records, None) is not None:
+        raise ValueError("fewer records came out than went in")
 
 
 @dataclass(frozen=True, eq=False)
@@ -165,23 +202,13 @@ class TracedRDD:
         """Opaque; only taken if ``f`` gives one record for each, in order."""
         if not one_to_one:
             raise UnsupportedOperatorError("mapPartitions hides which records it uses; declare one_to_one=True if it keeps their order")
-
-        def paired(it):
-            rows = list(it)
-            return zip((i for i, _ in rows), f(iter([v for _, v in rows])), strict=True)
-
-        return self._same(self.rdd.mapPartitions(paired))
+        return self._same(self.rdd.mapPartitions(lambda records: paired(f, records)))
 
     def map_partitions_with_index(self, f: Callable, one_to_one: bool = False) -> TracedRDD:
         """The same; ``f`` also gets the partition's number."""
         if not one_to_one:
             raise UnsupportedOperatorError("mapPartitionsWithIndex hides which records it uses; declare one_to_one=True if it keeps their order")
-
-        def paired(number, it):
-            rows = list(it)
-            return zip((i for i, _ in rows), f(number, iter([v for _, v in rows])), strict=True)
-
-        return self._same(self.rdd.mapPartitionsWithIndex(paired))
+        return self._same(self.rdd.mapPartitionsWithIndex(lambda number, records: paired(lambda values: f(number, values), records)))
 
     def sort_by(self, f: Callable, ascending: bool = True) -> TracedRDD:
         return self._same(self.rdd.sortBy(lambda r: f(r[1]), ascending))
@@ -249,21 +276,35 @@ class TracedRDD:
     def cogroup(self, other: TracedRDD) -> TracedRDD:
         return self._keyed(self._pairs().cogroup(other._pairs()).mapValues(lambda v: (list(v[0]), list(v[1]))), other)
 
+    def _joined(self, other: TracedRDD, left_outer: bool, right_outer: bool) -> TracedRDD:
+        """Joins of pairs; the records of a hot key are cut into pieces, so no task gets them all."""
+
+        def pairs(tile) -> Iterator[tuple]:
+            key, a, b, a_cut, b_cut = tile
+            # a cut side has records of the key, if not in this tile
+            own = list(a) or ([None] if right_outer and not a_cut else [])
+            others = list(b) or ([None] if left_outer and not b_cut else [])
+            return ((key, (x, y)) for x in own for y in others)
+
+        return self._keyed(hot_keys.tiled(self.rdd, other.rdd).flatMap(pairs), other)
+
     def join(self, other: TracedRDD) -> TracedRDD:
-        return self.cogroup(other).flat_map_values(lambda v: [(a, b) for a in v[0] for b in v[1]])
+        return self._joined(other, False, False)
 
     def left_outer_join(self, other: TracedRDD) -> TracedRDD:
-        return self.cogroup(other).flat_map_values(lambda v: [(a, b) for a in v[0] for b in v[1] or [None]])
+        return self._joined(other, True, False)
 
     def right_outer_join(self, other: TracedRDD) -> TracedRDD:
-        return self.cogroup(other).flat_map_values(lambda v: [(a, b) for a in v[0] or [None] for b in v[1]])
+        return self._joined(other, False, True)
 
     def full_outer_join(self, other: TracedRDD) -> TracedRDD:
-        return self.cogroup(other).flat_map_values(lambda v: [(a, b) for a in v[0] or [None] for b in v[1] or [None]])
+        return self._joined(other, True, True)
 
     def subtract_by_key(self, other: TracedRDD) -> TracedRDD:
         """Pairs whose key the other lacks; those pairs alone are witnesses."""
-        return self.cogroup(other).flat_map_values(lambda v: [] if v[1] else v[0])
+        taken = other._pairs().keys().distinct().map(lambda k: (k, (k, None)))
+        tiles = hot_keys.tiled(self.rdd, taken)
+        return self._keyed(tiles.flatMap(lambda t: [] if list(t[2]) else ((t[0], a) for a in t[1])), other)
 
     def union(self, other: TracedRDD) -> TracedRDD:
         inputs = (self, other)

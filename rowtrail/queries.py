@@ -948,6 +948,24 @@ def rdd_subtract(t):
     return shown(t, rest.lineage(lambda kv: kv[1] == "MACHINERY").go_back(0), "c_custkey long, c_mktsegment string")
 
 
+def flag_lines(t: Tables) -> TracedRDD:
+    """Lines with the regions of their flag; a flag holds a third of all lines or more."""
+    regions = records(t, "region", "r_regionkey", "r_name").map(lambda r: ("NAR"[r[0] % 3], r[1]))
+    return records(t, "lineitem", "l_returnflag", "l_orderkey").join(regions)
+
+
+@query("SELECT l_returnflag AS flag, r_name AS region, count(*) AS n FROM lineitem JOIN region ON l_returnflag = substr('NAR', CAST(r_regionkey % 3 + 1 AS INT), 1) GROUP BY 1, 2")
+def rdd_hot_key_join(t):
+    counts = flag_lines(t).map(lambda kv: ((kv[0], kv[1][1]), 1)).reduce_by_key(lambda a, b: a + b)
+    return t.trail.spark.createDataFrame(counts.rdd.values().map(lambda kv: (*kv[0], kv[1])), "flag string, region string, n long")
+
+
+@query("SELECT l_returnflag, l_orderkey FROM lineitem WHERE l_returnflag = 'A'")
+def rdd_hot_key_trace(t):
+    """All lines of one hot key, through the join."""
+    return shown(t, flag_lines(t).lineage(lambda kv: kv[0] == "A").go_back(0), "l_returnflag string, l_orderkey long")
+
+
 @query("SELECT s_nationkey, s_suppkey FROM supplier WHERE s_nationkey IN (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) > 65)")
 def rdd_cogroup(t):
     groups = records(t, "supplier", "s_nationkey", "s_suppkey").cogroup(records(t, "customer", "c_nationkey", "c_custkey"))
