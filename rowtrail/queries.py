@@ -22,6 +22,7 @@ from .operators.traced_rdd import RddCursor, TracedRDD
 from .plans import frames
 from .session import RowTrail
 from .sources.scratch import scratch_path
+from .streaming.history import BATCH, History
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -996,3 +997,51 @@ def isolate_rdd_maximum(t):
     """The order that makes a customer's largest price the largest of all, over an RDD job."""
     found = isolate_rdd(records(t, "orders", "o_custkey", "o_totalprice"), lambda s: s.reduce_by_key(max), oracle=oracles.rdd_highest(lambda kv: kv[1]))
     return t.trail.spark.createDataFrame(found.culprits, "o_custkey long, o_totalprice double")
+
+
+#: The events in three parts by their number, as they arrive in ``event_history``.
+PARTS = "WITH parts AS (SELECT *, 3 * event_id // ((SELECT max(event_id) FROM events) + 1) AS part FROM events) "
+
+
+def event_history(t: Tables) -> History:
+    """All events, which arrive in three parts; the stream is stopped and started again between them."""
+    spark, folder = t.trail.spark, scratch_path(t.trail.spark, "arriving")
+    events = t.events.result.drop("props")
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    parted = events.withColumn("part", F.expr(f"3 * event_id div {last + 1}"))
+    history = History(t.trail, f"{folder}/history", ["user_id", "event_type"], {"n": ("count", "*"), "least": ("min", "value"), "most": ("max", "value")})
+    for part in range(3):
+        parted.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{folder}/in")
+        history.start(spark.readStream.schema(events.schema).parquet(f"{folder}/in"), f"{folder}/checkpoint").awaitTermination()
+    return history
+
+
+@query(f"{PARTS} SELECT user_id, event_type, count(*) AS n, min(value) AS least, max(value) AS most FROM parts WHERE part <= 1 GROUP BY ALL")
+def stream_history_result(t):
+    """The running result as it was after the second batch."""
+    return event_history(t).result(upto=1)
+
+
+@query(f"""{PARTS} SELECT part AS batch, event_id, user_id, event_type, value FROM parts
+WHERE (user_id, event_type) IN (SELECT (user_id, event_type) FROM events GROUP BY user_id, event_type HAVING max(value) > 50)""")
+def stream_history_trace(t):
+    """The rows of all three batches behind running results."""
+    return event_history(t).trace("most > 50").select(F.col(BATCH).alias("batch"), "event_id", "user_id", "event_type", "value")
+
+
+@query(f"""{PARTS}, firsts AS (SELECT user_id, event_type, min(part) AS first FROM parts WHERE value > 50 GROUP BY ALL),
+touched AS (SELECT DISTINCT user_id, event_type, part FROM parts)
+SELECT t.part AS batch, t.user_id, t.event_type, count(*) AS n, min(p.value) AS least, max(p.value) AS most
+FROM touched t JOIN firsts f ON t.user_id = f.user_id AND t.event_type = f.event_type AND t.part >= f.first
+JOIN parts p ON p.user_id = t.user_id AND p.event_type = t.event_type AND p.part <= t.part GROUP BY ALL""")
+def stream_history_forward(t):
+    """The running results that rows of high value influenced, after each batch that touched them."""
+    return event_history(t).reached("value > 50").withColumnRenamed(BATCH, "batch")
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE user_id = (SELECT user_id FROM events GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 1)")
+def stream_history_rows(t):
+    """Any traced query over the rows of all batches; here the user with most events."""
+    counts = event_history(t).rows().group_by("user_id").count()
+    top = counts.top(1, F.desc("count"), "user_id")
+    return top.trace().all_sources()[0][1].select("event_id", "user_id", "event_type", "value")
