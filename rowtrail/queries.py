@@ -1023,20 +1023,20 @@ def stream_history_result(t):
 
 
 @query(f"""{PARTS} SELECT part AS batch, event_id, user_id, event_type, value FROM parts
-WHERE (user_id, event_type) IN (SELECT (user_id, event_type) FROM events GROUP BY user_id, event_type HAVING max(value) > 50)""")
+WHERE (user_id, event_type) IN (SELECT (user_id, event_type) FROM events GROUP BY user_id, event_type HAVING max(value) > 100)""")
 def stream_history_trace(t):
     """The rows of all three batches behind running results."""
-    return event_history(t).trace("most > 50").select(F.col(BATCH).alias("batch"), "event_id", "user_id", "event_type", "value")
+    return event_history(t).trace("most > 100").select(F.col(BATCH).alias("batch"), "event_id", "user_id", "event_type", "value")
 
 
-@query(f"""{PARTS}, firsts AS (SELECT user_id, event_type, min(part) AS first FROM parts WHERE value > 50 GROUP BY ALL),
+@query(f"""{PARTS}, firsts AS (SELECT user_id, event_type, min(part) AS first FROM parts WHERE value > 100 GROUP BY ALL),
 touched AS (SELECT DISTINCT user_id, event_type, part FROM parts)
 SELECT t.part AS batch, t.user_id, t.event_type, count(*) AS n, min(p.value) AS least, max(p.value) AS most
 FROM touched t JOIN firsts f ON t.user_id = f.user_id AND t.event_type = f.event_type AND t.part >= f.first
 JOIN parts p ON p.user_id = t.user_id AND p.event_type = t.event_type AND p.part <= t.part GROUP BY ALL""")
 def stream_history_forward(t):
     """The running results that rows of high value influenced, after each batch that touched them."""
-    return event_history(t).reached("value > 50").withColumnRenamed(BATCH, "batch")
+    return event_history(t).reached("value > 100").withColumnRenamed(BATCH, "batch")
 
 
 @query("SELECT event_id, user_id, event_type, value FROM events WHERE user_id = (SELECT user_id FROM events GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 1)")
