@@ -19,10 +19,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 #: URL keys from which the cut points of the ranges are taken.
 SAMPLED_KEYS = 20_000
+ADDED = ("host", "path", "rule", "verdict", "__salt")
 
 
 def host_of(url: str = "url") -> Column:
@@ -85,8 +86,11 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     the longer host, then the greater text; of rules with equal host and path the
     greater verdict. Where none fits, ``rule`` is null and the verdict is ``otherwise``.
     A null URL, or one without ``://``, has an empty host and path. Repeated rows and
-    null keys are judged like any other row; an empty table gives an empty table.
+    null keys are judged like any other row; an empty table gives an empty table. A key
+    that is called like a column of the result is refused.
     """
+    if key in ADDED:
+        raise ValueError(f"the key is called {key}, like a column of the result")
     rows = pages.select(F.col(key), host_of(url).alias("host"), path_of(url).alias("path")).withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))})
     clean = rules.select(F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host is not null and instr(host, '/') = 0").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     lo = reversed_key(F.col("host"), F.col("path"))
@@ -101,5 +105,9 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     best = looked.join(found, "key").groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("size"), F.length("suffix").alias("host_size"), "rule", "suffix")).alias("best"))
     verdicts = best.select("host", "path", "best.rule", F.col("best.suffix").alias("rule_host"))
     of_rule = clean.select(F.concat("host", "path").alias("rule"), F.col("host").alias("rule_host"), F.col("verdict").alias("own"))
-    verdicts = verdicts.join(of_rule, ["rule", "rule_host"])
-    return rows.join(verdicts, ["host", "path"], "left").select(key, "host", "path", "rule", F.coalesce("own", F.lit(otherwise)).alias("verdict"))
+    # written, so that the last join meets plain rows on both sides and Spark can split a URL of very many pages
+    verdicts = written(verdicts.join(of_rule, ["rule", "rule_host"]).withColumn("__salt", F.lit(0).cast("long")), "url-verdicts")
+    dropped(looked)
+    # no rule fits an empty host: those rows go to as many tasks as there are
+    rows = rows.withColumn("__salt", F.when(F.col("host") == "", F.xxhash64(key)).otherwise(0))
+    return rows.join(verdicts, ["host", "path", "__salt"], "left").select(key, "host", "path", "rule", F.coalesce("own", F.lit(otherwise)).alias("verdict"))

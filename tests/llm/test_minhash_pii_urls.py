@@ -142,6 +142,25 @@ def test_url_rules_by_brute_force(spark):
         got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, table).collect()}
         assert len(got) == len(urls) and [got[i] for i in range(len(urls))] == [judged(u, used) for u in urls]
     assert url_filter.judge(pages.limit(0), table).count() == 0
+    with pytest.raises(ValueError):
+        url_filter.judge(pages, table, key="host")
+
+
+def test_pages_without_a_host_go_to_many_tasks(spark):
+    """Null URLs are kept out of the join's hot key; a URL of many pages stays right."""
+    urls = F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, "no scheme").otherwise("https://www.example.com/en/x")
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), urls.alias("url"))
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = url_filter.judge(pages, rules)
+    assert {(r.verdict, r.rule, r["count"]) for r in judged.groupBy("verdict", "rule").count().collect()} == {("allow", None, 2000), ("allow", "www.example.com/en/", 1000)}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        per_task = [r["count"] for r in url_filter.judge(pages, rules).where("host = ''").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(per_task) == 2000 and max(per_task) < 1000
 
 
 def test_digest_of_empty_spans(spark):
