@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -97,6 +98,35 @@ def test_media_counts_lost_packets():
         media.demux(b"x" * 188)
 
 
+def test_digest_index_grows_over_batches(spark, tmp_path):
+    """Several batches in one folder that is closed and opened again; held against plain loops."""
+    rng, path, first = random.Random(7), str(tmp_path / "index"), {}
+    for number in range(6):
+        batch = [(100 * number + i, f"text {rng.randrange(60)}") for i in range(40)]
+        docs = spark.createDataFrame(batch, "doc_id long, text string")
+        index = exact_dedup.DigestIndex(spark, path, buckets=3)
+        got = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.deduplicate(docs, index).collect()}
+        for text in {t for _, t in batch} - first.keys():
+            first[text] = max(i for i, t in batch if t == text)
+        assert got == {i: (first[t], first[t] == i) for i, t in batch}
+        assert sorted(r.keep_id for r in index.read().collect()) == sorted(first.values())
+        if number < 5:
+            index.close()
+    assert index.generation > 0 and sorted(p.name for p in (tmp_path / "index").iterdir())[0] == f"base-{index.generation}"
+    # a merge that did not finish leaves the last complete base in place
+    (tmp_path / "index" / f"base-{index.generation + 1}").mkdir()
+    assert exact_dedup.DigestIndex(spark, path, buckets=3).generation == index.generation
+    index.merge()
+    files = list((tmp_path / "index" / f"base-{index.generation}").glob("*.parquet"))
+    assert len(files) == 3 and index.read().count() == len(first)
+    # neither a shuffle nor a sort between the base and the join
+    with exact_dedup.sorted_buckets(spark):
+        base = index.parts()[0].select("digest").hint("merge")
+        plan = docs.select(exact_dedup.digest().alias("digest")).join(base, "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange") == 1 and "SortMergeJoin" in plan
+    assert spark.conf.get(exact_dedup.BUCKET_ORDER) == "false"
+
+
 def test_exact_dedup(docs, spark):
     index = exact_dedup.DigestIndex(spark, buckets=4)
     got = exact_dedup.deduplicate(docs, index)
