@@ -9,7 +9,6 @@ forth is a semi-join that Catalyst plans like any other.
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -17,6 +16,7 @@ from functools import reduce
 from typing import TYPE_CHECKING
 
 from pyspark.errors import AnalysisException
+from pyspark.logger import PySparkLogger
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +29,8 @@ if TYPE_CHECKING:
 @contextmanager
 def quiet() -> Iterator[None]:
     """Keeps PySpark from logging an analysis error that is caught."""
-    loggers = [logging.getLogger(name) for name in ("DataFrameQueryContextLogger", "SQLQueryContextLogger")]
+    # by PySpark's own class: a plain logger made first under these names would fail on what PySpark logs later
+    loggers = [PySparkLogger.getLogger(name) for name in ("DataFrameQueryContextLogger", "SQLQueryContextLogger")]
     before = [x.disabled for x in loggers]
     try:
         for x in loggers:

@@ -2,9 +2,10 @@
 
 import pytest
 from made import READERS, loans, visits
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from rowtrail.plans.levels import TraceError, UnsupportedOperatorError
+from rowtrail.plans.levels import TraceError, UnsupportedOperatorError, quiet
 from rowtrail.session import RowTrail
 
 VISITS, LOANS = visits(), loans()
@@ -286,3 +287,11 @@ def test_empty_tables(spark):
     none = t.values([], "k string, v int")
     assert none.group_by("k").count().trace().go_back().collect_ids() == []
     assert none.agg(F.count("v").alias("n")).trace().go_back().collect_ids() == []
+
+
+def test_analysis_errors_after_a_quiet_part(spark):
+    """PySpark can log an error after a caught one was kept quiet."""
+    with quiet():
+        pass
+    with pytest.raises(AnalysisException):
+        spark.range(1).select(F.col("none_such"))
