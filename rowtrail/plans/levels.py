@@ -41,6 +41,10 @@ def quiet() -> Iterator[None]:
             x.disabled = was
 
 
+#: Keys of groups up to which a step back sends them to all tasks instead of dealing rows by key.
+FEW_KEYS = 10_000
+
+
 class TraceError(ValueError):
     """A step that the trace cannot take."""
 
@@ -74,6 +78,14 @@ class Level:
         """(output, input): the given rows of this level, each with the parent's rows behind it."""
         raise NotImplementedError
 
+    def keys_of(self, ids: DataFrame) -> DataFrame:
+        """The ids of groups, to be sent to all tasks if they are few, which one job tells.
+
+        Else Spark deals rows by key, and one task gets all rows of a large group: adaptive
+        execution broadcasts no side most of whose partitions are empty, as those of a few keys are.
+        """
+        return F.broadcast(ids) if ids.limit(FEW_KEYS + 1).count() <= FEW_KEYS else ids
+
     def describe(self) -> str:
         return type(self).__name__.lower()
 
@@ -122,7 +134,7 @@ class Keyed(Level):
     def rows_back(self, ids: DataFrame, branch: int) -> DataFrame | None:
         if self.keys[branch] is None:
             return None
-        return keeping(self.parents[branch].df.withColumn("__key", key_struct(self.keys[branch])), F.col("__key"), ids).drop("__key")
+        return keeping(self.parents[branch].df.withColumn("__key", key_struct(self.keys[branch])), F.col("__key"), self.keys_of(ids)).drop("__key")
 
     def pairs(self, branch: int) -> DataFrame:
         """(key, id) of the parent's rows."""
@@ -132,13 +144,13 @@ class Keyed(Level):
         return made if keys is not None else made.where(F.lit(False))
 
     def back(self, ids: DataFrame, branch: int) -> DataFrame:
-        return distinct_ids(keeping(self.pairs(branch), F.col("__key"), ids))
+        return distinct_ids(keeping(self.pairs(branch), F.col("__key"), self.keys_of(ids)))
 
     def forth(self, ids: DataFrame, branch: int) -> DataFrame:
         return keeping(self.pairs(branch), F.col(ID), ids).select(F.col("__key").alias(ID)).distinct()
 
     def associations(self, ids: DataFrame, branch: int) -> DataFrame:
-        return keeping(self.pairs(branch), F.col("__key"), ids).select(F.col("__key").alias("output"), F.col(ID).alias("input")).distinct()
+        return keeping(self.pairs(branch), F.col("__key"), self.keys_of(ids)).select(F.col("__key").alias("output"), F.col(ID).alias("input")).distinct()
 
     def describe(self) -> str:
         return self.what
@@ -173,13 +185,14 @@ class GroupingSets(Keyed):
         return key_struct([*(c if i in self.sets[number] else F.when(F.lit(False), c) for i, c in enumerate(self.columns)), F.lit(number)])
 
     def rows_back(self, ids: DataFrame, branch: int) -> DataFrame | None:
+        ids = self.keys_of(ids)
         numbers = self.numbers(ids)
         if len(numbers) != 1:
             return None  # a row may belong to groups of several sets
         return self.of_set(numbers[0], self.parents[0].df, ids).drop("__key")
 
     def met(self, ids: DataFrame) -> DataFrame:
-        rows = self.parents[0].df
+        rows, ids = self.parents[0].df, self.keys_of(ids)
         found = [self.of_set(n, rows, ids).select("__key", ID) for n in self.numbers(ids)]
         return reduce(DataFrame.unionByName, found) if found else rows.select(self.key(0).alias("__key"), ID).where(F.lit(False))
 
@@ -311,7 +324,7 @@ class Peers(Level):
     def rows_back(self, ids: DataFrame, branch: int) -> DataFrame | None:
         if self.granularity == "exact":
             return None
-        keys = ids.select(F.col(f"{ID}.key").alias(ID)).distinct()
+        keys = self.keys_of(ids.select(F.col(f"{ID}.key").alias(ID)).distinct())
         return keeping(self.parents[0].df.withColumn("__key", key_struct(self.keys)), F.col("__key"), keys).drop("__key")
 
     def pairs(self) -> DataFrame:
@@ -320,7 +333,7 @@ class Peers(Level):
     def back(self, ids: DataFrame, branch: int) -> DataFrame:
         if self.granularity == "exact":
             return ids.select(F.col(f"{ID}.own").alias(ID)).distinct()
-        keys = ids.select(F.col(f"{ID}.key").alias(ID)).distinct()
+        keys = self.keys_of(ids.select(F.col(f"{ID}.key").alias(ID)).distinct())
         return distinct_ids(keeping(self.pairs(), F.col("__key"), keys))
 
     def associations(self, ids: DataFrame, branch: int) -> DataFrame:
@@ -334,7 +347,7 @@ class Peers(Level):
         if self.granularity == "exact":
             reached = keeping(own, F.col("__own"), ids)
         else:
-            keys = keeping(own, F.col("__own"), ids).select(F.col("__key").alias(ID)).distinct()
+            keys = self.keys_of(keeping(own, F.col("__own"), ids).select(F.col("__key").alias(ID)).distinct())
             reached = keeping(own, F.col("__key"), keys)
         made = reached.select(F.struct(F.col("__key").alias("key"), F.col("__own").alias("own")).alias(ID)).distinct()
         return made if self.chosen is None else keeping(made, F.col(ID), self.chosen.select(ID))
