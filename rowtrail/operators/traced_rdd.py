@@ -1,7 +1,10 @@
 """Provenance for RDD pipelines, for code that cannot be a DataFrame.
 
 Records travel as (id, value). As with traced frames, a shuffle opens a level whose
-ids are the keys themselves, and a step back or forth is a semi-join.
+ids are the keys themselves, and a step back or forth is a semi-join. Few ids are sent to
+all tasks; with many, both sides are dealt to as many tasks as their number asks for, so
+what a task's Python holds does not grow with the input. A step back to a source takes the
+source's own records along, where map and filter alone lie between.
 """
 
 from __future__ import annotations
@@ -9,22 +12,42 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 from typing import Any
 
 from pyspark import RDD, SparkContext
 from pyspark.rdd import portable_hash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..plans import hot_keys
 from ..plans.levels import TraceError, UnsupportedOperatorError
 
 
+#: About how many records a task gets where they are dealt to tasks.
+RECORDS = 250_000
+#: Ids up to which a step sends them to all tasks instead of dealing records by id.
+FEW_IDS = 10_000
+#: Records up to which a join sends a side to all tasks; their values may be long.
+FEW_RECORDS = 1_000
+
+
+def tasks_for(size: int | None, *rdds: RDD) -> int:
+    """How many tasks to deal ``size`` records to: no fewer than one of the RDDs has."""
+    return max(1, -(-(size or 0) // RECORDS), *(r.getNumPartitions() for r in rdds))
+
+
 @dataclass(frozen=True)
 class RddCursor:
-    """``rdd`` at the cursor's level, the ids chosen there (an RDD of distinct ids) and the way taken."""
+    """``rdd`` at the cursor's level, the ids chosen there (an RDD of distinct ids) and the way taken.
+
+    ``rows`` are the chosen (id, record) of a source, where a step has met them already.
+    """
 
     at: TracedRDD
     ids: RDD
     path: tuple[tuple[TracedRDD, int], ...] = ()
+    rows: RDD | None = None
 
     @property
     def at_source(self) -> bool:
@@ -32,32 +55,37 @@ class RddCursor:
 
     def show(self) -> RDD:
         """The records with the chosen ids; also at levels between result and source."""
-        return among(self.at.rdd, self.ids).values()
+        return among(self.at.rdd, self.ids, self.at.size).values()
 
     def show_source(self) -> RDD:
         """The source's own records, as they were before any narrow operator."""
         if not self.at_source:
             raise TraceError("only at a source")
-        return among(self.at.root.rdd, self.ids).values()
+        return (among(self.at.root.rdd, self.ids, self.at.size) if self.rows is None else self.rows).values()
 
     def filter(self, predicate: Callable[[Any], bool]) -> RddCursor:
         """Only those chosen records for which the predicate holds."""
-        kept = among(self.at.rdd, self.ids).filter(lambda r: predicate(r[1])).keys().distinct()
+        kept = among(self.at.rdd, self.ids, self.at.size).filter(lambda r: predicate(r[1])).keys().distinct(self.at.tasks)
         return RddCursor(self.at, kept, self.path)
 
     def go_back(self, branch: int = 0) -> RddCursor:
         if self.at_source:
             raise TraceError("the cursor is at a source already")
         parent = self.at.parents[branch]
+        path = (*self.path, (self.at, branch))
+        rows_link = self.at.rows_link(branch) if self.at.rows_link and not parent.parents else None
+        if rows_link is not None:
+            rows = among(rows_link, self.ids, parent.size).values()
+            return RddCursor(parent, rows.keys(), path, rows)
         links = self.at.links(branch)  # (own id, parent's id)
-        return RddCursor(parent, among(links, self.ids).values().distinct(), (*self.path, (self.at, branch)))
+        return RddCursor(parent, among(links, self.ids, parent.size).values().distinct(parent.tasks), path)
 
     def go_next(self) -> RddCursor:
         if not self.path:
             raise TraceError("the cursor is at the result already")
         at, branch = self.path[-1]
         flipped = at.links(branch).map(lambda x: (x[1], x[0]))
-        return RddCursor(at, among(flipped, self.ids).values().distinct(), self.path[:-1])
+        return RddCursor(at, among(flipped, self.ids, self.at.size).values().distinct(self.at.tasks), self.path[:-1])
 
     def go_back_all(self, branch: int = 0, times: int | None = None) -> RddCursor:
         """Back to a source, or at most ``times`` steps; at each level the given branch, or the first where there is only one."""
@@ -80,11 +108,11 @@ class RddCursor:
         if self.at_source:
             raise TraceError("the cursor is at a source already")
         parent = self.at.parents[branch]
-        return RddCursor(parent, parent.rdd.keys().distinct(), (*self.path, (self.at, branch)))
+        return RddCursor(parent, parent.rdd.keys().distinct(parent.tasks), (*self.path, (self.at, branch)))
 
     def associations(self, branch: int = 0) -> RDD:
         """(own id, parent's id) for the chosen records."""
-        return among(self.at.links(branch), self.ids)
+        return among(self.at.links(branch), self.ids, self.at.parents[branch].size)
 
     def intersection(self, other: RddCursor) -> RddCursor:
         if other.at is not self.at:
@@ -92,12 +120,22 @@ class RddCursor:
         return RddCursor(self.at, self.ids.intersection(other.ids), self.path)
 
 
-def among(pairs: RDD, ids: RDD) -> RDD:
-    """The pairs whose key is among the ids, which are distinct.
+def among(pairs: RDD, ids: RDD, size: int | None = None) -> RDD:
+    """The pairs, about ``size``, whose key is among the ids, which are distinct.
 
-    Both are dealt and sorted by the key's hash, ids first, so a task holds the ids of one
+    If the ids are few, which a job over no more of them tells, all tasks get them and the
+    pairs stay where they are. Else both are dealt and sorted by the key's hash, ids first, so a task holds the ids of one
     hash and never the pairs, however many share a key.
     """
+    known = ids.take(FEW_IDS + 1)
+    if len(known) <= FEW_IDS:
+        held = pairs.context.broadcast(frozenset(known))
+
+        def kept(records) -> Iterator[tuple]:
+            chosen = held.value
+            return (p for p in records if p[0] in chosen)
+
+        return pairs.mapPartitions(kept)
     asked = ids.map(lambda i: ((portable_hash(i), 0), (i, None)))
     dealt = asked.union(pairs.map(lambda p: ((portable_hash(p[0]), 1), p)))
 
@@ -111,7 +149,24 @@ def among(pairs: RDD, ids: RDD) -> RDD:
             elif key in chosen:
                 yield key, value
 
-    return dealt.repartitionAndSortWithinPartitions(dealt.getNumPartitions(), lambda k: k[0]).mapPartitions(swept)
+    return dealt.repartitionAndSortWithinPartitions(tasks_for(size, pairs, ids), lambda k: k[0]).mapPartitions(swept)
+
+
+def met(records, few: dict[Any, list], alone: list, from_left: bool) -> Iterator[tuple]:
+    """The pairs of a join of ``records`` with the values of a side of few, by key; ``alone`` stands for no partner."""
+    for _, (key, value) in records:
+        for other in few.get(key, alone):
+            yield key, ((value, other) if from_left else (other, value))
+
+
+def ids_where(records, predicate: Callable[[Any], bool] | None) -> Iterator[Any]:
+    """The ids of the records for which the predicate holds; of those met first, each only once."""
+    found: set = set()
+    for i, value in records:
+        if i not in found and (predicate is None or predicate(value)):
+            if len(found) < FEW_IDS:
+                found.add(i)
+            yield i
 
 
 def paired(f: Callable, records) -> Iterator[tuple]:
@@ -135,13 +190,28 @@ def paired(f: Callable, records) -> Iterator[tuple]:
 class TracedRDD:
     """``rdd`` holds (id, value). ``parents`` are empty at a source; ``link`` gives (own id, parent's id) pairs.
 
-    ``root`` is the source or level from which narrow operators made this one.
+    ``root`` is the source or level from which narrow operators made this one. ``size`` is about
+    how many records there are, where a source has told it; it changes the balance alone.
     """
 
     rdd: RDD
     parents: tuple[TracedRDD, ...] = ()
     link: Callable[[int], RDD] | None = None
     origin: TracedRDD | None = None
+    size: int | None = None
+    seen: RDD | None = None  #: see ``with_source``
+    rows_link: Callable[[int], RDD | None] | None = None  #: (own id, (parent's id, source's record)), if the parent is ``with_source``
+
+    @property
+    def tasks(self) -> int:
+        return tasks_for(self.size, self.rdd)
+
+    @property
+    def with_source(self) -> RDD | None:
+        """(id, (value, the source's record)), each id once; None unless a source is followed by map and filter alone."""
+        if self.seen is None and not self.parents and self.origin is None:
+            return self.rdd.mapValues(lambda v: (v, v))
+        return self.seen
 
     @property
     def root(self) -> TracedRDD:
@@ -167,21 +237,37 @@ class TracedRDD:
     @staticmethod
     def of(rdd: RDD) -> TracedRDD:
         """Any RDD that gives the same records in the same order each time; the place is the id."""
-        return TracedRDD(rdd.zipWithIndex().map(lambda x: (x[1], x[0])))
+        counts = rdd.mapPartitions(lambda records: [sum(1 for _ in records)]).collect()
+        starts = [0, *accumulate(counts)]
+        return TracedRDD(rdd.mapPartitionsWithIndex(lambda number, records: enumerate(records, starts[number])), size=starts[-1])
+
+    @staticmethod
+    def of_frame(df: DataFrame) -> TracedRDD:
+        """The rows of a DataFrame as tuples, which come in the same order each time; Spark numbers them.
+
+        Files that have few splits for their rows are dealt to more tasks, with their numbers.
+        """
+        size, numbered = df.count(), df.select(F.monotonically_increasing_id().alias("__id"), "*")
+        tasks = tasks_for(size)
+        if tasks > df.rdd.getNumPartitions():
+            numbered = numbered.repartition(tasks, "__id")
+        return TracedRDD(numbered.rdd.mapPartitions(lambda rows: ((i, tuple(values)) for i, *values in rows)), size=size)
 
     # narrow: ids pass through
 
-    def _same(self, rdd: RDD) -> TracedRDD:
-        return TracedRDD(rdd, self.parents, self.link, self.root)
+    def _same(self, rdd: RDD, seen: RDD | None = None) -> TracedRDD:
+        return TracedRDD(rdd, self.parents, self.link, self.root, self.size, seen, self.rows_link)
 
     def map(self, f: Callable) -> TracedRDD:
-        return self._same(self.rdd.mapValues(f))
+        seen = self.with_source
+        return self._same(self.rdd.mapValues(f), seen and seen.mapValues(lambda v: (f(v[0]), v[1])))
 
     def flat_map(self, f: Callable) -> TracedRDD:
         return self._same(self.rdd.flatMapValues(f))
 
     def filter(self, f: Callable) -> TracedRDD:
-        return self._same(self.rdd.filter(lambda r: f(r[1])))
+        seen = self.with_source
+        return self._same(self.rdd.filter(lambda r: f(r[1])), seen and seen.filter(lambda r: f(r[1][0])))
 
     def key_by(self, f: Callable) -> TracedRDD:
         return self.map(lambda v: (f(v), v))
@@ -249,22 +335,33 @@ class TracedRDD:
     def _keyed(self, result: RDD, *others: TracedRDD) -> TracedRDD:
         """``result`` has (key, value) records of the pair RDDs self and others."""
         inputs = (self, *others)
-        return TracedRDD(result.map(lambda kv: (kv[0], kv)), inputs, lambda b: inputs[b].rdd.map(lambda r: (r[1][0], r[0])))
+
+        def rows_link(branch: int) -> RDD | None:
+            source, seen = inputs[branch], inputs[branch].with_source
+            if seen is not None and source.seen is None:  # the source itself
+                return source.rdd.mapPartitions(lambda records: ((r[1][0], r) for r in records))
+            return seen and seen.mapPartitions(lambda records: ((value[0], (i, record)) for i, (value, record) in records))
+
+        keyed = result.mapPartitions(lambda records: ((kv[0], kv) for kv in records))
+        return TracedRDD(keyed, inputs, lambda b: inputs[b].rdd.map(lambda r: (r[1][0], r[0])), size=self._size(*others), rows_link=rows_link)
+
+    def _size(self, *others: TracedRDD) -> int:
+        return sum(x.size or 0 for x in (self, *others))
 
     def _pairs(self) -> RDD:
         return self.rdd.values()
 
     def reduce_by_key(self, f: Callable) -> TracedRDD:
-        return self._keyed(self._pairs().reduceByKey(f))
+        return self._keyed(self._pairs().reduceByKey(f, self.tasks))
 
     def aggregate_by_key(self, zero, seq: Callable, comb: Callable) -> TracedRDD:
-        return self._keyed(self._pairs().aggregateByKey(zero, seq, comb))
+        return self._keyed(self._pairs().aggregateByKey(zero, seq, comb, self.tasks))
 
     def combine_by_key(self, create: Callable, merge: Callable, combine: Callable) -> TracedRDD:
-        return self._keyed(self._pairs().combineByKey(create, merge, combine))
+        return self._keyed(self._pairs().combineByKey(create, merge, combine, self.tasks))
 
     def group_by_key(self) -> TracedRDD:
-        return self._keyed(self._pairs().groupByKey().mapValues(list))
+        return self._keyed(self._pairs().groupByKey(self.tasks).mapValues(list))
 
     def group_by(self, f: Callable) -> TracedRDD:
         return self.key_by(f).group_by_key()
@@ -274,10 +371,19 @@ class TracedRDD:
         return pairs.reduce_by_key(lambda a, b: a).keys()
 
     def cogroup(self, other: TracedRDD) -> TracedRDD:
-        return self._keyed(self._pairs().cogroup(other._pairs()).mapValues(lambda v: (list(v[0]), list(v[1]))), other)
+        return self._keyed(self._pairs().cogroup(other._pairs(), tasks_for(self._size(other), self.rdd, other.rdd)).mapValues(lambda v: (list(v[0]), list(v[1]))), other)
 
     def _joined(self, other: TracedRDD, left_outer: bool, right_outer: bool) -> TracedRDD:
-        """Joins of pairs; the records of a hot key are cut into pieces, so no task gets them all."""
+        """Joins of pairs: all tasks get a side of few records, whose own records are met by others only.
+
+        Else the records of a hot key are cut into pieces, so no task gets them all.
+        """
+        if not right_outer and (few := other._few()) is not None:
+            held, alone = self.rdd.context.broadcast(few), [None] if left_outer else []
+            return self._keyed(self.rdd.mapPartitions(lambda records, held=held: met(records, held.value, alone, True)), other)
+        if not left_outer and (few := self._few()) is not None:
+            held, alone = self.rdd.context.broadcast(few), [None] if right_outer else []
+            return self._keyed(other.rdd.mapPartitions(lambda records, held=held: met(records, held.value, alone, False)), other)
 
         def pairs(tile) -> Iterator[tuple]:
             key, a, b, a_cut, b_cut = tile
@@ -286,7 +392,14 @@ class TracedRDD:
             others = list(b) or ([None] if left_outer and not b_cut else [])
             return ((key, (x, y)) for x in own for y in others)
 
-        return self._keyed(hot_keys.tiled(self.rdd, other.rdd).flatMap(pairs), other)
+        return self._keyed(hot_keys.tiled(self.rdd, other.rdd, tasks=tasks_for(self._size(other), self.rdd, other.rdd)).flatMap(pairs), other)
+
+    def _few(self) -> dict[Any, list] | None:
+        """The values by key, if there are few."""
+        known, found = self._pairs().take(FEW_RECORDS + 1), {}
+        for key, value in known:
+            found.setdefault(key, []).append(value)
+        return found if len(known) <= FEW_RECORDS else None
 
     def join(self, other: TracedRDD) -> TracedRDD:
         return self._joined(other, False, False)
@@ -302,14 +415,14 @@ class TracedRDD:
 
     def subtract_by_key(self, other: TracedRDD) -> TracedRDD:
         """Pairs whose key the other lacks; those pairs alone are witnesses."""
-        taken = other._pairs().keys().distinct().map(lambda k: (k, (k, None)))
-        tiles = hot_keys.tiled(self.rdd, taken)
+        taken = other._pairs().keys().distinct(other.tasks).map(lambda k: (k, (k, None)))
+        tiles = hot_keys.tiled(self.rdd, taken, tasks=tasks_for(self._size(other), self.rdd, other.rdd))
         return self._keyed(tiles.flatMap(lambda t: [] if list(t[2]) else ((t[0], a) for a in t[1])), other)
 
     def union(self, other: TracedRDD) -> TracedRDD:
         inputs = (self, other)
         tagged = [x.rdd.map(lambda r, b=b: ((b, r[0]), r[1])) for b, x in enumerate(inputs)]
-        return TracedRDD(tagged[0].union(tagged[1]), inputs, lambda b: inputs[b].rdd.map(lambda r: ((b, r[0]), r[0])).distinct())
+        return TracedRDD(tagged[0].union(tagged[1]), inputs, lambda b: inputs[b].rdd.map(lambda r: ((b, r[0]), r[0])).distinct(inputs[b].tasks), size=self._size(other))
 
     # results
 
@@ -332,5 +445,8 @@ class TracedRDD:
 
     def lineage(self, predicate: Callable[[Any], bool] | None = None) -> RddCursor:
         """A cursor on the result records for which the predicate holds, or on all."""
-        rows = self.rdd if predicate is None else self.rdd.filter(lambda r: predicate(r[1]))
-        return RddCursor(self, rows.keys().distinct())
+        seen = None if self.parents else self.with_source
+        if seen is not None:
+            rows = (seen if predicate is None else seen.filter(lambda r: predicate(r[1][0]))).mapValues(lambda v: v[1])
+            return RddCursor(self, rows.keys(), rows=rows)
+        return RddCursor(self, self.rdd.mapPartitions(lambda records: ids_where(records, predicate)).distinct(self.tasks))

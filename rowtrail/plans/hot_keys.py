@@ -70,13 +70,14 @@ def piece_of(record: Any, number: int) -> int:
     return zlib.crc32((repr(record[0]) if " at 0x" in told else told).encode("utf-8", "surrogatepass")) % number
 
 
-def tiled(left: RDD, right: RDD, small: int = SMALL) -> RDD:
+def tiled(left: RDD, right: RDD, small: int = SMALL, *, tasks: int | None = None) -> RDD:
     """(key, left values, right values, left cut, right cut) for each tile of two RDDs of (id, (key, value)).
 
     A key that is not hot has one tile. Else each pair of records meets in one tile; a
-    side that is cut has records of the key, though not in each tile perhaps.
+    side that is cut has records of the key, though not in each tile perhaps. Tiles go to
+    ``tasks`` tasks, or else to as many as both have partitions.
     """
-    tasks = left.getNumPartitions() + right.getNumPartitions()
+    tasks = tasks or left.getNumPartitions() + right.getNumPartitions()
     cut = [pieces(side.map(lambda r: r[1][0]), tasks, small) for side in (left, right)]
     held = left.context.broadcast(cut)
 
@@ -94,4 +95,4 @@ def tiled(left: RDD, right: RDD, small: int = SMALL) -> RDD:
         (key, _, _), (a, b) = tile
         return key, a, b, key in held.value[0], key in held.value[1]
 
-    return left.flatMap(dealt(0)).cogroup(right.flatMap(dealt(1))).map(met)
+    return left.flatMap(dealt(0)).cogroup(right.flatMap(dealt(1)), tasks).map(met)
