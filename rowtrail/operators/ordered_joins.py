@@ -219,6 +219,59 @@ def range_join(left: Traced, right: Traced, at: Column, low: Column, high: Colum
     return left._opened(rows, Ranged((left, right), rows.select(ID), f"range {how}", list(on), sides=sides))
 
 
+@dataclass(eq=False)
+class Less(Joined):
+    """A join by equal keys and ``low`` < ``high``.
+
+    Whether a row has a partner is told by the largest or the least number of its key, so a
+    step back from rows that a condition on one side tells needs no pairs.
+    """
+
+    low: Column | None = None
+    high: Column | None = None
+    keys: Sequence[tuple[str, str]] = ()
+
+    def behind(self, result: DataFrame, where: str | Column | None) -> Callable[[int], DataFrame] | None:
+        sides = [p.df for p in self.parents]
+        # numbers of two types are compared as a third, which may order them in another way
+        if result is not self.rows or sides[0].select(self.low.alias("x")).schema["x"].dataType != sides[1].select(self.high.alias("x")).schema["x"].dataType:
+            return None
+        if where is None:
+            return lambda branch: self.partnered(sides, branch)
+        for i, rows in enumerate(sides):
+            with quiet():
+                try:
+                    rows.drop(ID).where(where)
+                except AnalysisException:  # it speaks of the other side too
+                    continue
+            chosen = [*sides[:i], rows.where(where), *sides[i + 1 :]]
+            return lambda branch: self.partnered(chosen, branch)
+        return None
+
+    def partnered(self, sides: Sequence[DataFrame], branch: int) -> DataFrame:
+        """The rows of one side that have a partner on the other."""
+        best, meets = ((F.max(self.high), self.low < F.col("__best")), (F.min(self.low), F.col("__best") < self.high))[branch]
+        named = [F.col(k[1 - branch]).alias(f"__on{i}") for i, k in enumerate(self.keys)]
+        told = self.keys_of(sides[1 - branch].groupBy(*named).agg(best.alias("__best")))
+        for i, k in enumerate(self.keys):
+            meets = (F.col(k[branch]) == F.col(f"__on{i}")) & meets
+        return sides[branch].join(told, meets, "left_semi")
+
+
+def less_join(left: Traced, right: Traced, low: Column, high: Column, on: Sequence[tuple[str, str]] = ()) -> Traced:
+    """Pairs of ``left`` and ``right`` with low < high, as Spark compares them, and equal keys.
+
+    ``low`` is of the left side, ``high`` of the right; ``on`` has pairs of a left and a right
+    column. Column names of both sides must differ.
+    """
+    meets = low < high
+    for own, other in on:
+        meets = (F.col(own) == F.col(other)) & meets
+    joined = left.join(right, meets)
+    level = Less(joined.level.parents, joined.level.joined, joined.level.how, granularity=left.granularity, low=low, high=high, keys=list(on))
+    return left._opened(joined.df, level)
+
+
 def seconds(df: DataFrame, name: str) -> Column:
     """A number that rises with the time: seconds, or the number itself. Times without a zone are taken as they stand."""
     kind, at = df.schema[name].dataType.simpleString(), F.col(name)

@@ -279,6 +279,10 @@ class Traced:
         """See ``ordered_joins.range_join``: low <= at <= high by an equi-join on bins."""
         return ordered_joins.range_join(self, other, at, low, high, on, how)
 
+    def less_join(self, other: Traced, low: Column, high: Column, on: Sequence[tuple[str, str]] = ()) -> Traced:
+        """See ``ordered_joins.less_join``: low < high and equal keys; traces of one side need no pairs."""
+        return ordered_joins.less_join(self, other, low, high, on)
+
     def asof_join(self, other: Traced, left_at: str, right_at: str, by: Sequence[str] = (), **how) -> Traced:
         """See ``ordered_joins.asof_join``: each row with the other side's last one at or before its time."""
         return ordered_joins.asof_join(self, other, left_at, right_at, by, **how)

@@ -164,8 +164,8 @@ def trace_anti_join(t):
 
 @query("SELECT DISTINCT s.* FROM supplier s JOIN customer c ON s_nationkey = c_nationkey AND s_acctbal < c_acctbal WHERE c_mktsegment = 'FURNITURE'")
 def trace_theta_join(t):
-    near = (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("s_acctbal") < F.col("c_acctbal"))
-    return t.supplier.join(t.customer, near).trace("c_mktsegment = 'FURNITURE'").go_back(0).show()
+    near = t.supplier.less_join(t.customer, F.col("s_acctbal"), F.col("c_acctbal"), on=[("s_nationkey", "c_nationkey")])
+    return near.trace("c_mktsegment = 'FURNITURE'").go_back(0).show()
 
 
 @query("SELECT n.* FROM nation n, region r WHERE r_name = 'ASIA'")
