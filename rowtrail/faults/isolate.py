@@ -202,9 +202,20 @@ def pairs_reaching(pairs: DataFrame, at: Level, level: Level) -> list[DataFrame]
 
 def reaching(cursor, level) -> list[DataFrame]:
     """The ids at ``level`` over every path that leads there."""
+    return [at.ids for at in cursors_at(cursor, level)]
+
+
+def cursors_at(cursor, level) -> list[Cursor]:
+    """The cursor at ``level`` at the end of every path that leads there."""
     if cursor.level is level:
-        return [cursor.ids]
-    return [found for i in range(len(cursor.level.parents)) for found in reaching(cursor.go_back(i), level)]
+        return [cursor]
+    # a step may ask for the number of its keys, so no other path is walked
+    leading = [i for i, p in enumerate(cursor.level.parents) if leads_to(p.level, level)]
+    return [found for i in leading for found in cursors_at(cursor.go_back(i), level)]
+
+
+def leads_to(at: Level, level: Level) -> bool:
+    return at is level or any(leads_to(p.level, level) for p in at.parents)
 
 
 def isolate_sql(trail: RowTrail, table: str, base: DataFrame, sql: str, test: Column, on_progress: Callable[[int], None] | None = None, witnesses: str | Column | None = None) -> Isolated:

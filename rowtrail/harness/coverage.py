@@ -75,7 +75,7 @@ def coverage(trail: RowTrail, table: Callable[[str], Traced]) -> DataFrame:
     for name, (query, tables) in SHAPES.items():
         sources = {n: table(n) for n in tables}
         want = query(sources).result
-        again = want.intersectAll(recalled(trail, sources, query, "true"))
+        again = want.intersectAll(recalled(trail, sources, query, None))
         both = want.select(F.lit(1).alias("r"), F.lit(0).alias("a")).unionAll(again.select(F.lit(0), F.lit(1)))
         counts = both.agg(F.lit(name).alias("shape"), F.coalesce(F.sum("r"), F.lit(0)).alias("rows"), F.coalesce(F.sum("a"), F.lit(0)).alias("recalled"))
         found.append(counts)

@@ -47,7 +47,9 @@ class Cursor:
         found = self.behind(branch) if self.behind is not None else self.level.rows_back(self.ids, branch) if parent.shows_source else None
         if found is None:
             return Cursor(parent.level, self.level.back(self.ids, branch), path)
-        return Cursor(parent.level, distinct_ids(found), path, found if parent.shows_source else None)
+        # all of the parent's rows: what stands behind them may be told without their ids too
+        behind = parent.level.behind(found, None) if found is parent.df else None
+        return Cursor(parent.level, distinct_ids(found), path, found if parent.shows_source else None, behind)
 
     def go_next(self) -> Cursor:
         """One level towards the result, along the branch last taken."""

@@ -114,11 +114,12 @@ class Keyed(Level):
     keys: Sequence[Sequence[Column] | None] = ()
     what: str = "aggregate"
     names: Sequence[str] | None = None  #: of the keys in ``out``, the level's own result
+    takes_all = False  #: without names too, each of the parent's rows is behind some row
     out: DataFrame | None = None
 
     def behind(self, result: DataFrame, where: str | Column | None) -> Callable[[int], DataFrame] | None:
         """The parent's rows of the groups for which ``where`` holds, if it speaks of the keys alone; without it, of all groups."""
-        if result is not self.out or self.names is None:
+        if result is not self.out or (self.names is None and not (where is None and self.takes_all)):
             return None
         rows = self.parents[0].df
         if where is None:
@@ -167,6 +168,7 @@ class GroupingSets(Keyed):
 
     columns: Sequence[Column] = ()
     sets: Sequence[Sequence[int]] = ()
+    takes_all = True
 
     def numbers(self, ids: DataFrame) -> list[int]:
         return sorted(r[0] for r in ids.select(f"{ID}.k{len(self.columns)}").distinct().collect())
