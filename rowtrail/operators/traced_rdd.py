@@ -25,7 +25,7 @@ from ..plans.levels import TraceError, UnsupportedOperatorError
 
 
 #: About how many records a task gets where they are dealt to tasks.
-RECORDS = 250_000
+RECORDS = 100_000
 #: Ids up to which a step sends them to all tasks instead of dealing records by id.
 FEW_IDS = 10_000
 #: Records up to which a join sends a side to all tasks; their values may be long.

@@ -74,3 +74,11 @@ def test_steps_to_a_source_take_its_records_along(spark):
         assert sorted(at.ids.collect()) == sorted(v for _, v in want) and Counter(at.show().collect()) == Counter((k[-1], v * 10) for k, v in want)
     twice = source.flat_map(lambda r: [r, r]).lineage(lambda r: r[1] < 3)
     assert twice.rows is None and sorted(twice.show_source().collect()) == PAIRS[:3]
+
+
+def test_a_task_gets_few_records_of_a_frame_at_any_size(spark):
+    for size in (100_000, 400_000):  # the second as it comes: one split
+        source = TracedRDD.of_frame(spark.range(0, size, 1, 1).selectExpr("id % 1000 AS k", "id AS v"))
+        sums = source.reduce_by_key(max)
+        assert max(source.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()) < 130_000
+        assert partitions(sums.rdd) == partitions(source.join(source).lineage()) // 2 == size // 100_000
