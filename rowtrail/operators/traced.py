@@ -113,7 +113,7 @@ class Traced:
             self.held.append(table)
             return table
 
-        level = index.indexed(self.level, self.df.select(ID), buckets, forward, write)
+        level = index.indexed(self.level, self.df, buckets, forward, write)
         return replace(self, df=self._written(self.df, "result"), level=level, intact=False)
 
     def map_in_pandas(self, function: Callable, schema: str, granularity: str | None = None) -> Traced:

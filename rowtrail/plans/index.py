@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import ID, keeping
-from .levels import Joined, Keyed, Level, Source
+from .levels import FEW_KEYS, Joined, Keyed, Level, Source
 
 BUCKETS = 64
 
@@ -36,9 +36,10 @@ class Indexed(Level):
     forward: tuple[DataFrame | None, ...] = ()
 
     def matching(self, table: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-        """The pairs whose ``column`` is among the ids; only their buckets are read."""
-        buckets = sorted(r[0] for r in ids.select(bucket_of(F.col(ID), self.buckets)).distinct().collect())
-        return keeping(table.where(F.col("bucket").isin(buckets)), F.col(column), ids)
+        """The pairs whose ``column`` is among the ids; only their buckets are read. Few ids are sent to all tasks."""
+        numbers = dict(ids.groupBy(bucket_of(F.col(ID), self.buckets)).count().collect())
+        wanted = F.broadcast(ids) if sum(numbers.values()) <= FEW_KEYS else ids
+        return keeping(table.where(F.col("bucket").isin(sorted(numbers))), F.col(column), wanted)
 
     def back(self, ids: DataFrame, branch: int) -> DataFrame:
         if self.tables[branch] is None:
@@ -61,17 +62,17 @@ class Indexed(Level):
         return f"{self.inner.describe()}, indexed"
 
 
-def indexed(level: Level, ids: DataFrame, buckets: int, forward: bool, write: Callable[[DataFrame, str], DataFrame]) -> Level:
+def indexed(level: Level, result: DataFrame, buckets: int, forward: bool, write: Callable[[DataFrame, str], DataFrame]) -> Level:
     """The level and those below it, with tables for steps that would compute rows anew.
 
-    ``ids`` are those of the level that its result has; ``write`` stores a table by its bucket.
+    ``result`` has the rows of the level that are asked for; ``write`` stores a table by its bucket.
     """
     if isinstance(level, Source):
         return level
-    parents = tuple(replace(p, level=indexed(p.level, p.df.select(ID), buckets, forward, write), intact=False) for p in level.parents)
+    parents = tuple(replace(p, level=indexed(p.level, p.df, buckets, forward, write), intact=False) for p in level.parents)
 
     def table(branch: int, by: str) -> DataFrame:
-        pairs = level.associations(ids, branch)
+        pairs = level.associations_of(result, branch)
         return write(pairs.withColumn("bucket", bucket_of(F.col(by), buckets)), "index")
 
     kept = [isinstance(level, Keyed) or isinstance(level, Joined) and level.how == "left_semi" and i == 1 for i in range(len(parents))]

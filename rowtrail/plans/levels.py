@@ -78,6 +78,10 @@ class Level:
         """(output, input): the given rows of this level, each with the parent's rows behind it."""
         raise NotImplementedError
 
+    def associations_of(self, result: DataFrame, branch: int) -> DataFrame:
+        """(output, input) for all rows of ``result``."""
+        return self.associations(result.select(ID), branch)
+
     def keys_of(self, ids: DataFrame) -> DataFrame:
         """The ids of groups, to be sent to all tasks if they are few, which one job tells.
 
@@ -132,6 +136,19 @@ class Keyed(Level):
                 return None
         return lambda branch: named.where(where).select("__row.*")
 
+    def whole(self, result: DataFrame) -> bool:
+        """Whether ``result`` has a row for each group and no other, so each id once."""
+        return result is self.out and self.what in ("aggregate", "distinct")
+
+    def associations_of(self, result: DataFrame, branch: int) -> DataFrame:
+        """Where all groups are asked for, the parent's rows are neither looked up nor, if each has an id of its own, made distinct."""
+        if not self.whole(result):
+            return super().associations_of(result, branch)
+        parent = self.parents[branch]
+        pairs = self.pairs(branch).select(F.col("__key").alias("output"), F.col(ID).alias("input"))
+        single = parent.shows_source or isinstance(parent.level, Keyed) and parent.level.whole(parent.df)
+        return pairs if single else pairs.distinct()
+
     def rows_back(self, ids: DataFrame, branch: int) -> DataFrame | None:
         if self.keys[branch] is None:
             return None
