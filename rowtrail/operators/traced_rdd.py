@@ -245,11 +245,13 @@ class TracedRDD:
     def of_frame(df: DataFrame) -> TracedRDD:
         """The rows of a DataFrame as tuples, which come in the same order each time; Spark numbers them.
 
-        Files that have few splits for their rows are dealt to more tasks, with their numbers.
+        Files that have few splits for their rows are dealt to more tasks, with their numbers; so are files whose
+        rows lie in few of their splits, as splits go by size and a row group is read by one of them.
         """
-        size, numbered = df.count(), df.select(F.monotonically_increasing_id().alias("__id"), "*")
+        size, most = df.groupBy(F.spark_partition_id().alias("__split")).count().agg(F.sum("count"), F.max("count")).first()
+        size, numbered = size or 0, df.select(F.monotonically_increasing_id().alias("__id"), "*")
         tasks = tasks_for(size)
-        if tasks > df.rdd.getNumPartitions():
+        if tasks > df.rdd.getNumPartitions() or (most or 0) > 2 * RECORDS:
             numbered = numbered.repartition(tasks, "__id")
         return TracedRDD(numbered.rdd.mapPartitions(lambda rows: ((i, tuple(values)) for i, *values in rows)), size=size)
 

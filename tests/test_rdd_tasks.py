@@ -82,3 +82,20 @@ def test_a_task_gets_few_records_of_a_frame_at_any_size(spark):
         sums = source.reduce_by_key(max)
         assert max(source.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()) < 130_000
         assert partitions(sums.rdd) == partitions(source.join(source).lineage()) // 2 == size // 100_000
+
+
+def test_rows_that_lie_in_few_of_many_splits_are_dealt_anew(spark, tmp_path):
+    spark.range(0, 400_000, 1, 1).selectExpr("id % 1000 AS k", "id AS v").write.parquet(str(tmp_path / "t"))  # one row group
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        frame = spark.read.parquet(str(tmp_path / "t"))
+        assert partitions(frame.rdd) > 4
+        source = TracedRDD.of_frame(frame)
+        held = source.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()
+        none = TracedRDD.of_frame(frame.where("v < 0"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert source.size == sum(held) == 400_000 and max(held) < 130_000
+    assert none.size == 0 and none.collect() == []
+    assert len(set(source.rdd.keys().collect())) == 400_000
