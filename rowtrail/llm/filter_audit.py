@@ -7,6 +7,10 @@ a filter removes after a set is its table's left-semi join with the survivors; w
 finds removed already is its left-anti join with them. Rows that fail nothing survive
 every set and are only counted. An order's prefix matters by its set alone, so the
 orders look their figures up by (set, filter).
+
+All these joins are sort-merge joins by their hints. Stored ids take about a byte a row and
+some 40 in memory, so Spark would take the files of millions for small, and send
+several such relations at once through the driver.
 """
 
 from __future__ import annotations
@@ -50,12 +54,14 @@ def repeated(rows: DataFrame) -> DataFrame:
     groups = rows.groupBy("digest").agg(F.min("key").alias("least"), F.max("key").alias("most"))
     # written, so that Spark can split a text with very many rows
     first = written(groups.where("most > least").select("digest", "least"), "audit-repeats")
-    return rows.join(first, "digest").where("key > least").select("row")
+    return rows.join(first.hint("merge"), "digest").where("key > least").select("row")
 
 
 def labelled(rows: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """(row, part, good, toxic) of rows: good and toxic are 1 if any label of the row's key says so."""
     said = labels.groupBy(F.col(key).alias("key")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+    # written, so that Spark can split a key with very many rows
+    said = written(said, "audit-labels").hint("merge")
     keyed = rows.where("key is not null").join(said, "key", "left").select("row", "part", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
     # rows without a key meet no label, and do not all go to one task to learn that
     return keyed.unionByName(rows.where("key is null").select("row", "part", F.lit(0).alias("good"), F.lit(0).alias("toxic")))
@@ -68,7 +74,7 @@ def survivors(rows: DataFrame, failing: dict[str, DataFrame]) -> DataFrame:
         bit = 1 << i
         alive = alive.withColumn("state", F.explode(F.array(F.col("state"), F.col("state") + bit)))
         asked = (F.col("row") == F.col("failed")) & (F.col("state").bitwiseAND(bit) != 0)
-        alive = alive.join(ids.select(F.col("row").alias("failed")), asked, "left_anti")
+        alive = alive.join(ids.select(F.col("row").alias("failed")).hint("merge"), asked, "left_anti")
     return alive
 
 
@@ -77,7 +83,7 @@ def figures(rows: DataFrame, failing: dict[str, DataFrame]) -> tuple[DataFrame,
 
     ``state`` is the set of filters applied before; there are no rows for counts of 0.
     """
-    failed = reduce(DataFrame.unionByName, failing.values()).distinct()
+    failed = reduce(DataFrame.unionByName, failing.values()).distinct().hint("merge")
     met, clean = rows.join(failed, "row", "left_semi"), rows.join(failed, "row", "left_anti")
     alive = written(survivors(met, failing), "audit-survivors")
     every = list(range(1 << len(failing)))
@@ -85,10 +91,11 @@ def figures(rows: DataFrame, failing: dict[str, DataFrame]) -> tuple[DataFrame,
     kept = alive.groupBy("part", "state").agg(F.count(F.lit(1)).alias("n")).unionByName(clean).groupBy("part", "state").agg(F.sum("n").alias("kept"))
     each = []
     for i, (name, ids) in enumerate(failing.items()):
+        ids = ids.select("row").hint("merge")
         without = [s for s in every if not s >> i & 1]
-        removed = alive.where(F.col("state").isin(without)).join(ids.select("row"), "row", "left_semi").groupBy("part", "state")
+        removed = alive.where(F.col("state").isin(without)).join(ids, "row", "left_semi").groupBy("part", "state")
         removed = removed.agg(F.count(F.lit(1)).alias("removed"), F.sum("good").alias("good_lost"), F.sum("toxic").alias("toxic_lost"), F.lit(0).cast("long").alias("redundant"))
-        earlier = rows.join(ids.select("row"), "row", "left_semi").select("row", "part", F.explode(F.array(*map(F.lit, without))).alias("state")).join(alive.select("row", "state"), ["row", "state"], "left_anti")
+        earlier = rows.join(ids, "row", "left_semi").select("row", "part", F.explode(F.array(*map(F.lit, without))).alias("state")).join(alive.select("row", "state").hint("merge"), ["row", "state"], "left_anti")
         zeros = [F.lit(0).cast("long").alias(n) for n in ("removed", "good_lost", "toxic_lost")]
         earlier = earlier.groupBy("part", "state").agg(*zeros, F.count(F.lit(1)).alias("redundant"))
         each.append(removed.unionByName(earlier).withColumn("filter", F.lit(name)))
@@ -126,7 +133,7 @@ def audit(rows: DataFrame, failing: dict[str, DataFrame]) -> DataFrame:
     same = lambda *columns: reduce(Column.__and__, (F.col(f"g.{a}").eqNullSafe(F.col(f"x.{b}")) for a, b in columns))
     for found, on in ((facts, ("filter", "state")), (of_filter, ("filter",)), (kept.withColumnRenamed("state", "after"), ("after",))):
         pairs = [("part", "part"), *((c, c) for c in on)]
-        grid = grid.alias("g").join(found.alias("x"), same(*pairs), "left").select("g.*", *(f"x.{c}" for c in found.columns if c in FIGURES))
+        grid = grid.alias("g").join(found.alias("x").hint("merge"), same(*pairs), "left").select("g.*", *(f"x.{c}" for c in found.columns if c in FIGURES))
     return grid.select("part", "filter_order", "step", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in FIGURES))
 
 

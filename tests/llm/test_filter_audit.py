@@ -67,3 +67,14 @@ def test_any_filters(spark):
     assert len(got) == 18 and got["xyz", 1] == (6, 4, 0, 0, 4, 12) and got["xyz", 2] == (0, 6, 4, 6, 6, 48) and got["yxz", 2] == (0, 0, 4, 0, 0, 12) and got["zyx", 1] == (10, 0, 0, 0, 0, 0)
     with pytest.raises(ValueError, match="more than"):
         filter_audit.audit(rows, {str(i): rows for i in range(7)})
+
+
+def test_relations_of_rows_are_not_broadcast(spark):
+    """However small their files: stored ids take a byte a row, and many times that in memory. The 600 steps of the orders alone are sent."""
+    docs, labels = spark.createDataFrame(ROWS, DOCS), spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
+    judged = filter_audit.judged(docs)
+    rows = filter_audit.labelled(judged, labels)
+    failing = {name: filter_audit.written(judged.where(name).select("row"), "failing") for name in "AB"}
+    plans = [rows, filter_audit.repeated(judged), filter_audit.survivors(rows, failing), *filter_audit.figures(rows, failing), filter_audit.audit(rows, failing)]
+    sent = [df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") for df in plans]
+    assert sent == [0, 0, 0, 0, 0, 1]
