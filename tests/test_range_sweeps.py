@@ -56,3 +56,31 @@ def test_no_pairs_are_made_where_one_side_tells(spark):
     for where, branch in (("no is null", 0), ("id < 5", 1)):
         shown = joined.trace(where).go_back(branch).show()
         assert "__bin" not in shown._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("block", [1, 3])
+def test_blocks_keep_every_column_and_null(spark, monkeypatch, block):
+    monkeypatch.setattr(ordered_joins, "BLOCK", block)
+    monkeypatch.setattr(ordered_joins, "TILE", 2)
+    monkeypatch.setattr(ordered_joins, "CELLS", 4)
+    points, spans, left, right = made(spark, 32)
+    joined = left.range_join(right.rename("k", "other"), F.col("at"), F.col("lo"), F.col("hi"))
+    got = sorted(map(tuple, joined.result.select("id", "k", "at", "no", "other", "lo", "hi").collect()), key=repr)
+    pairs = met(points, spans, False)
+    assert got == sorted(((*points[a], *spans[b]) for a, b in pairs), key=repr) and any(r[1] is None for r in got)
+    # what is not asked for is not packed
+    packed = joined.result.select("id", "no")._jdf.queryExecution().optimizedPlan().toString()
+    assert packed.count("collect_list") == 2
+
+
+def test_pairs_are_written_in_runs_that_pack(spark, tmp_path):
+    """Wide intervals: pairs grow with the square of the tables, and so do the files that they are written to."""
+    rng = random.Random(33)
+    trail = RowTrail(spark)
+    points = spark.createDataFrame([(i, rng.random()) for i in range(4000)], "id long, at double")
+    spans = spark.createDataFrame([(i, rng.random() - 0.4, rng.random() + 0.5) for i in range(2000)], "no long, lo double, hi double")
+    joined = trail.frame(points, "points").range_join(trail.frame(spans, "spans"), F.col("at"), F.col("lo"), F.col("hi"))
+    joined.select("id", "no").result.write.parquet(str(tmp_path / "pairs"))
+    pairs = spark.read.parquet(str(tmp_path / "pairs")).count()
+    assert pairs > 5_000_000
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 0.4 * pairs
