@@ -9,7 +9,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rowtrail.llm import quality
+from rowtrail.llm import quality, queries
 
 SPACE = " \t\n\v\f\r"
 WORDS = "the cat sat on a mat and then it went away to see what they all said about that".split()
@@ -110,3 +110,71 @@ def test_stored_model_and_empty_tables(spark):
     assert again == {r.doc_id: r.log_ppl for r in quality.rate(docs).where("doc_id < 5").collect()}
     assert quality.rate(docs.where("false")).count() == 0
     assert quality.rate(docs.select("doc_id", "lang", docs.text.substr(1, 0).alias("text"))).where("kept").count() == 0
+
+
+def byte_symbols(text):
+    return [255] * 3 + list((text or "").encode("utf-8", "surrogatepass")) + [255]
+
+
+def byte_model(texts):
+    """p(gram) over all 256 bytes, by the book."""
+    counts = [collections.Counter() for _ in range(5)]
+    for t in texts:
+        s = byte_symbols(t)
+        counts[4].update(tuple(s[i - 3 : i + 1]) for i in range(3, len(s)))
+    for n in (3, 2, 1):
+        counts[n].update(g[1:] for g in counts[n + 1])
+    models = {}
+    for n in range(1, 5):
+        of = collections.Counter(counts[n].values())
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] else 0.0
+        d = [k - (k + 1) * y * of[k + 1] / of[k] if of[k] else 0.5 * k for k in (1, 2, 3)]
+        d = [x if 0 < x < k else 0.5 * k for k, x in enumerate(d, 1)]
+        total, left = collections.Counter(), collections.Counter()
+        for g, c in counts[n].items():
+            total[g[:-1]] += c
+            left[g[:-1]] += d[min(c, 3) - 1]
+        models[n] = d, total, left
+
+    def p(gram):
+        if not gram:
+            return 1 / 256
+        d, total, left = models[len(gram)]
+        c, context = counts[len(gram)][gram], gram[:-1]
+        if context not in total:
+            return p(gram[1:])
+        return (c - d[min(c, 3) - 1] if c else 0) / total[context] + left[context] / total[context] * p(gram[1:])
+
+    return p
+
+
+def test_query_tells_all_bytes_apart(spark, tmp_path):
+    """Signs, capitals, digits and letters beyond ASCII that one class of the folded alphabet holds."""
+    texts = [f"Un été à {i} {t}, dit-il. " for i, t in enumerate(made(n=20)[:20])]
+    other = "".join(c.swapcase() if c.isascii() else c for c in texts[0].translate(str.maketrans(".,é", "$\"Ñ")))
+    texts = [*texts, other]
+    assert np.array_equal(quality.packed([texts[0]])[0], quality.packed([other])[0])
+    spark.createDataFrame([(i, t, "fr") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.log_ppl for r in queries.QUERIES["op12_quality"](spark, str(tmp_path)).collect()}
+    p = byte_model(texts)
+    for i, t in enumerate(texts):
+        s = byte_symbols(t)
+        assert abs(got[i] + statistics.fmean(math.log10(p(tuple(s[j - 3 : j + 1]))) for j in range(3, len(s)))) < 1e-5
+    assert abs(got[20] - got[0]) > 0.01
+
+
+def test_slices_of_a_byte_model_rate_as_the_whole(spark, monkeypatch):
+    """Texts that were fitted, and others, whose n-grams the model has not."""
+    texts, others = made(n=20), [*made(seed=4, n=3)[:3], "Żółw 42 % <tag>", None, "\0\x7f"]
+    docs, foreign = (spark.createDataFrame([(i, t, "en") for i, t in enumerate(x)], "doc_id long, text string, lang string") for x in (texts, others))
+    model = quality.fit(docs, alphabet=quality.BYTES)
+    rated = lambda: [sorted(map(tuple, quality.rate(d, model=model, alphabet=quality.BYTES).collect())) for d in (docs, foreign)]
+    whole = rated()
+    p = byte_model(texts)
+    for t, r in zip(others, whole[1], strict=True):
+        s = byte_symbols(t)
+        assert abs(r[-1] + statistics.fmean(math.log10(p(tuple(s[j - 3 : j + 1]))) for j in range(3, len(s)))) < 1e-5
+    monkeypatch.setattr(quality, "SLICE", 200)
+    assert len(quality.slices(model)) > 3
+    for a, b in zip(sum(whole, []), sum(rated(), []), strict=True):
+        assert a[:-1] == b[:-1] and abs(a[-1] - b[-1]) < 1e-9
